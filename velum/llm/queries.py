@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from velum.llm import sharding
+from velum.llm import bpe, line_dedup, sharding
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.query,
     "op3_sharding": sharding.query,
+    "op9_bpe": bpe.query,
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op3_sharding": sharding.ORACLE,
 }

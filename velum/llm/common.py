@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by a Python worker; longer single texts are a slice of their own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,9 @@ def string(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def text_slices(batch: pa.RecordBatch, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices of a batch with about ``max_bytes`` of ``text`` each (one row at least)."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
+def text_slices(batch: pa.RecordBatch, max_bytes: int = SLICE_BYTES, column: int = -1) -> Iterator[pa.RecordBatch]:
+    """Row slices of a batch with about ``max_bytes`` each in the given column, the last by default (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column % batch.num_columns)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     at, n = 0, batch.num_rows
     while at < n:

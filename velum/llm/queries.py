@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from velum.llm import bpe, line_dedup, sharding
+from velum.llm import bpe, language_id, line_dedup, quality_rules, sharding
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
     "op2_line_dedup": line_dedup.query,
     "op3_sharding": sharding.query,
+    "op6_language_id": language_id.query,
     "op9_bpe": bpe.query,
 }
 

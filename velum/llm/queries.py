@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from velum.llm import bpe, language_id, line_dedup, quality_rules, sharding
+from velum.llm import bpe, language_id, line_dedup, near_dedup, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.query,
     "op6_language_id": language_id.query,
     "op9_bpe": bpe.query,
+    "op10_near_dedup": near_dedup.query,
 }
 
 ORACLE_SQL = {

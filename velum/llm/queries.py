@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from velum.llm import bpe, language_id, line_dedup, near_dedup, quality_rules, sharding
+from velum.llm import bpe, decontamination, language_id, line_dedup, near_dedup, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_line_dedup": line_dedup.query,
     "op3_sharding": sharding.query,
     "op6_language_id": language_id.query,
+    "op8_decontamination": decontamination.query,
     "op9_bpe": bpe.query,
     "op10_near_dedup": near_dedup.query,
 }

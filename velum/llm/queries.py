@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from velum.llm import bpe, decontamination, language_id, line_dedup, near_dedup, quality_rules, sharding, substring_dedup
+from velum.llm import bpe, decontamination, language_id, line_dedup, near_dedup, quality_crf, quality_rules, sharding, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_line_dedup": line_dedup.query,
     "op3_sharding": sharding.query,
+    "op4_quality_crf": quality_crf.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_language_id": language_id.query,
     "op8_decontamination": decontamination.query,

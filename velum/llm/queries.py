@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from velum.llm import bpe, decontamination, language_id, line_dedup, near_dedup, quality_crf, quality_rules, sharding, substring_dedup
+from velum.llm import bpe, decontamination, language_id, line_dedup, near_dedup, quality_crf, quality_rules, sharding, substring_dedup, surrogates
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_crf": quality_crf.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_language_id": language_id.query,
+    "op7_surrogates": surrogates.query,
     "op8_decontamination": decontamination.query,
     "op9_bpe": bpe.query,
     "op10_near_dedup": near_dedup.query,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SPAN = "struct<type:string,start:int,end:int,value:string,rule_id:int,source:string>"
 
 
-def matches(text: Column, pattern: Column | str, group: bool = False) -> Column:
+def matches(text: Column, pattern: Column | str, group: bool = False, trigger: str = "") -> Column:
     """array<struct<start,end>> of the matches, or of the group that ends each match; empty if there are none or the text is null."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: F.length(m))
@@ -27,6 +27,8 @@ def matches(text: Column, pattern: Column | str, group: bool = False) -> Column:
 
     rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
     found = text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, p)
+    if trigger:
+        found = text.rlike(trigger) & found
     return F.when(found, F.aggregate(rows, start, step)["found"]).otherwise(empty)
 
 

@@ -37,7 +37,7 @@ from velum.llm.common import prefix_hash, range_hash, table, text_bytes, text_sl
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pre-tokens that a worker keeps between batches.
 CACHE_WORDS = 2_000_000
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 12 << 20
 
 
 class RankBitmap:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from velum import fixed_values as V
-from velum.functions.text import contains_any, normalise
+from velum.functions.text import contains_any, listed, normalise
 
 _BASE = [*V.STOPWORDS, *V.MONTHS, *V.LEGAL_TERMS]
 
@@ -17,7 +17,7 @@ def _keep_name(norm: Column, parts: Column) -> Column:
     court = reduce(lambda a, b: a | b, [norm.startswith(p) for p in V.COURT_PREFIXES])
     return (
         (F.size(parts) >= 2)
-        & ~F.exists(parts, lambda t: t.isin(*V.MONTHS, *V.LEGAL_TERMS))
+        & ~F.exists(parts, lambda t: listed(t, [*V.MONTHS, *V.LEGAL_TERMS]))
         & ~court
         & ~norm.contains("juez de lo")
         & ~(norm.contains("juez") & norm.contains("en turno"))
@@ -25,8 +25,8 @@ def _keep_name(norm: Column, parts: Column) -> Column:
 
 
 def _keep_organization(norm: Column, parts: Column) -> Column:
-    listed = F.forall(parts, lambda t: t.isin(*_BASE, *V.COMMON_NOUNS))
-    return contains_any(norm, V.COMPANY_FORMS) | (~listed & ((F.size(parts) > 1) | (F.length(norm) >= V.MIN_SINGLE_ORGANIZATION)))
+    known = F.forall(parts, lambda t: listed(t, [*_BASE, *V.COMMON_NOUNS]))
+    return contains_any(norm, V.COMPANY_FORMS) | (~known & ((F.size(parts) > 1) | (F.length(norm) >= V.MIN_SINGLE_ORGANIZATION)))
 
 
 def _keep_identifier(norm: Column, parts: Column) -> Column:
@@ -42,7 +42,7 @@ def should_keep(value: Column, kind: Column) -> Column:
         F.when(kind == "name", _keep_name(norm, parts))
         .when(kind == "organization", _keep_organization(norm, parts))
         .when(kind == "identifier", _keep_identifier(norm, parts))
-        .when(kind == "address", (F.length(norm) >= V.MIN_ADDRESS) & ~norm.isin(*V.BARE_PLACES))
+        .when(kind == "address", (F.length(norm) >= V.MIN_ADDRESS) & ~listed(norm, V.BARE_PLACES))
         .otherwise(F.length(norm) >= V.MIN_OTHER)
     )
-    return F.coalesce((norm != "") & ~F.forall(parts, lambda t: t.isin(*_BASE)) & own, F.lit(False))
+    return F.coalesce((norm != "") & ~F.forall(parts, lambda t: listed(t, _BASE)) & own, F.lit(False))

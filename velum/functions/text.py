@@ -47,6 +47,12 @@ def needle_pattern(needle: Column) -> Column:
     return F.concat(F.lit("(?iuU)"), F.array_join(F.transform(tokens(needle), token), "\\s+"))
 
 
+def listed(token: Column, words) -> Column:
+    """Whether a token is one of the words; the list is one literal array."""
+    items = ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
+    return F.array_contains(F.expr(f"array({items})"), token)
+
+
 def contains_any(text: Column, hints) -> Column:
     out = F.lit(False)
     for h in hints:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -41,13 +42,22 @@ def likely(text: Column, rules: Iterable[Rule] = RULES) -> Column:
     return F.coalesce(text.rlike("|".join(signs)) | named if signs else named, F.lit(False))
 
 
+@functools.lru_cache(maxsize=64)
+def _built(context: int, text: str, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
+    """(likely, layer) of a named text column, made once a session: they are large expressions."""
+    return likely(F.col(text), rules), rule_layer(F.col(text), rules)
+
+
 def findings(docs: DataFrame, rules: Iterable[Rule] = RULES, model: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, type, start, end, value, rule_id, source): one row per finding.
 
     model: (key, spans) of the model layer, merged into the rules' spans. Null texts have no findings.
     """
-    some = docs.select(key, text) if model is not None else docs.select(key, text).filter(likely(F.col(text), rules))
-    found = some.withColumn("spans", F.when(likely(F.col(text), rules), rule_layer(F.col(text), rules)).otherwise(F.array().cast(f"array<{S.SPAN}>")) if model is not None else rule_layer(F.col(text), rules))
+    maybe, layer = _built(id(docs.sparkSession._jvm), text, tuple(rules))
+    if model is None:
+        found = docs.select(key, text).filter(maybe).withColumn("spans", layer)
+    else:
+        found = docs.select(key, text).withColumn("spans", F.when(maybe, layer).otherwise(F.array().cast(f"array<{S.SPAN}>")))
     if model is not None:
         found = found.join(model.select(key, F.col("spans").alias("more")), key, "left").withColumn("spans", S.by_start(S.merge(F.col("spans"), F.coalesce("more", F.array().cast(f"array<{S.SPAN}>")))))
     # The outer form keeps Spark from testing the size of the spans first, which would make them twice.

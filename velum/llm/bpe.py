@@ -32,11 +32,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from velum.llm.common import prefix_hash, range_hash, table, text_bytes, text_slices
+from velum.llm.common import prefix_hash, range_hash, table, text_bytes, text_slices, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pre-tokens that a worker keeps between batches.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 500_000
 BATCH_BYTES = 12 << 20
 
 
@@ -397,7 +397,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                 names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(*keep, docs["text"].alias("text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs["text"].alias("text")).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm.common import materialise, mix64, prefix_hash, range_hash, rows_of, stream64, string, table, text_bytes, text_slices, words
+from velum.llm.common import materialise, mix64, prefix_hash, range_hash, rows_of, stream64, string, table, text_bytes, text_slices, tidy, words
 
 MAX_EDITS = 0.25
 WALKS, TABLES, SAMPLES = 8, 4, 3
@@ -231,7 +231,7 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("do
                         names=[*keep, "item_id", "n_item_words", "edits"],
                     )
 
-        found.append(narrow.mapInArrow(run, schema))
+        found.append(narrow.mapInArrow(tidy(run), schema))
     return reduce(DataFrame.union, found)
 
 

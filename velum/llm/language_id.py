@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from velum.llm.common import table, text_bytes, text_slices
+from velum.llm.common import table, text_bytes, text_slices, tidy
 
 N, BITS = 3, 7
 TRAIN_PER_LANG = 300
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
                     names, scores = (["und"] * batch.num_rows, np.zeros(batch.num_rows)) if m is None else m.predict(batch.column(len(keep)))
                     yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).alias("velum_text")).mapInArrow(run, ", ".join(fields))
+    return docs.select(*keep, F.col(text).alias("velum_text")).mapInArrow(tidy(run), ", ".join(fields))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from velum.llm.common import mix64, prefix_hash, range_hash, table, text_bytes, text_slices, words
+from velum.llm.common import mix64, prefix_hash, range_hash, table, text_bytes, text_slices, tidy, words
 
 TRAIN_PER_LABEL = 1500
 TRAIN_BYTES = 40_000
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     # At most 2 * TRAIN_PER_LABEL rows, so their ids may be broadcast.
     joined = docs.join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= TRAIN_BYTES).select("y", "text")
-    found = sorted((r["y"], bytes(r["x"])) for r in joined.mapInArrow(run, "y int, x binary").collect())
+    found = sorted((r["y"], bytes(r["x"])) for r in joined.mapInArrow(tidy(run), "y int, x binary").collect())
     parts, labels_, sizes_ = [], [], []
     for y, raw in found:
         own = np.frombuffer(raw, np.float32).reshape(-1, OWN)
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
                 scores = np.full(batch.num_rows, 0.5) if m is None else m.score(batch.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col(text).alias("velum_text")).mapInArrow(run, fields + ", score double")
+    return docs.select(*keep, F.col(text).alias("velum_text")).mapInArrow(tidy(run), fields + ", score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm.common import materialise, mix64, prefix_hash, range_hash, string, table, text_bytes, text_slices
+from velum.llm.common import materialise, mix64, prefix_hash, range_hash, string, table, text_bytes, text_slices, tidy
 
 LENGTH = 200
 GRAM = 48
@@ -161,7 +161,7 @@ def _extents(texts: DataFrame) -> DataFrame:
                     names=["h", "e", "node", "t", "start", "windows"],
                 )
 
-    return texts.select("node", "t", "text").mapInArrow(run, _EXTENT)
+    return texts.select("node", "t", "text").mapInArrow(tidy(run), _EXTENT)
 
 
 def _sort_batches(keep: str):
@@ -235,7 +235,7 @@ def _window_hashes(rows: DataFrame) -> DataFrame:
                 place = part.column(4).to_numpy(zero_copy_only=False)[owner] + step
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(part.column(i).take(back) for i in (0, 1, 2, 3)), pa.array(place.astype(np.int32))], names=["w", "h", "n", "node", "t", "p"])
 
-    return rows.mapInArrow(run, "w long, h long, n long, node long, t int, p int")
+    return rows.mapInArrow(tidy(run), "w long, h long, n long, node long, t int, p int")
 
 
 def stretches(texts: DataFrame, keep: str = "none") -> DataFrame:
@@ -255,7 +255,7 @@ def stretches(texts: DataFrame, keep: str = "none") -> DataFrame:
     body = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("windows") + LENGTH - 1)
     bodies = texts.join(_small(edges), ["node", "t"]).select("h", "n", "node", "t", "start", "windows", body.alias("body"), "kinds")
     columns = ["h", "n", "node", "t", "start", "windows", "body"]
-    sorted_ = bodies.filter(F.col("kinds") <= GROUP).select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(_sort_batches(keep), "node long, t int, a int, b int")
+    sorted_ = bodies.filter(F.col("kinds") <= GROUP).select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_sort_batches(keep)), "node long, t int, a int, b int")
     out = copies.union(sorted_)
     if mixed.filter(F.col("kinds") > GROUP).isEmpty():
         return out
@@ -310,7 +310,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(run, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("key", key)
+    return joined.mapInArrow(tidy(run), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("key", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,12 @@ def test_history(spark, tmp_path):
     assert [r["id"] for r in store.load_index(spark, index, f"{tmp_path}/records").collect()] == ["b"]
 
 
+def test_progress(spark):
+    df, seen = store.with_progress(docs_of(spark, ["a", None, "c"]), "scan", "text")
+    df.collect()
+    assert seen.get == {"rows": 3, "text": 2}
+
+
 def test_known_files_are_not_read_again(spark):
     files = spark.createDataFrame([("a.txt", bytearray(b"uno")), ("b.txt", bytearray(b"dos"))], "path string, content binary")
     known = history(spark, [("k", "x", 1)]).withColumn("file_hash", F.sha2(F.lit("uno").cast("binary"), 256))

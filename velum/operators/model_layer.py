@@ -23,6 +23,14 @@ Model = Callable[[str], dict[str, list[str]]]
 ANSWER = ", ".join(f"{f} array<string>" for f, _, _ in V.MODEL_FIELDS)
 
 
+#: What a generative model is asked; a model that takes instructions gets it before each chunk.
+INSTRUCTIONS = (
+    "Lee el fragmento de un documento legal y copia, tal como aparecen, los datos que identifican a las partes: personas, empresas, domicilios completos, "
+    "teléfonos, correos, cédulas profesionales y otros identificadores. No inventes ni corrijas nada; deja vacía la lista de la que no haya datos. "
+    "No incluyas autoridades, leyes, fechas sueltas ni importes."
+)
+
+
 def cut_points(text: str) -> list[tuple[int, int]]:
     """(start, end) of each chunk: CHUNK characters at most, ending after the window's last line break if it has one, the next
     beginning CHUNK_OVERLAP before that, but always after the last start."""

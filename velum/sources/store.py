@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from velum.operators import history as H
@@ -60,3 +60,9 @@ def notification(n: Column, active: Column, watching: Column) -> Column:
     """The message after a scan, in the singular or plural; none while the user is looking on."""
     message = F.when(n == 1, "1 hallazgo para revisar").otherwise(F.concat(n.cast("string"), F.lit(" hallazgos para revisar")))
     return F.when(~(active & watching), message)
+
+
+def with_progress(df: DataFrame, name: str, *counted: str) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation that holds, once an action is done, its rows and the non-null values of the given columns."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(F.col(c)).alias(c) for c in counted]), seen

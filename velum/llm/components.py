@@ -2,7 +2,8 @@
 
 Links stay distributed; every step is written to the shared folder, so a lost executor costs one step at most.
 A step keeps at most as many links as it got plus one per node, and the number of steps grows with the logarithm
-of the longest chain.
+of the longest chain. Up to ``ONE_TASK`` links (16 bytes each, counted before each step) a step is one task without a shuffle;
+more are dealt out by node.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from velum.llm.common import materialise
 
 
+ONE_TASK = 400_000
+
+
 def _mark(links: DataFrame) -> tuple:
     # Wrapping sums: only compared with the step before.
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -25,6 +29,8 @@ def components(links: DataFrame) -> DataFrame:
     )  # a > b always
     mark = _mark(now)
     while mark[0]:
+        if mark[0] <= ONE_TASK:
+            now = now.coalesce(1)
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()

@@ -34,7 +34,6 @@ from velum.llm.common import (
     mix64,
     prefix_hash,
     range_hash,
-    rows_of,
     stream64,
     string,
     table,

@@ -32,12 +32,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from velum.llm.common import prefix_hash, range_hash, table, text_bytes, text_slices, tidy
+from velum.llm.common import prefix_hash, range_hash, small_batches, table, text_bytes, text_slices, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pre-tokens that a worker keeps between batches.
 CACHE_WORDS = 500_000
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 
 
 class RankBitmap:
@@ -129,11 +129,13 @@ class Codec:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(pieces) + 1, np.int64)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        piece = np.repeat(np.arange(len(pieces)), sizes)
+        place = np.int32 if n < 2**31 - 1 else np.int64
+        piece = np.repeat(np.arange(len(pieces), dtype=place), sizes)
         # Node n is a sentinel on both ends of every list.
         tok = np.append(self.byte_id[data], np.int32(-1))
-        at = np.arange(n + 1)
-        nxt, prv = at + 1, at - 1
+        at = np.arange(n + 1, dtype=place)
+        nxt, prv = at + place(1), at - place(1)
+        del at
         filled = sizes > 0
         nxt[bounds[1:][filled] - 1] = n
         prv[bounds[:-1][filled]] = n
@@ -155,7 +157,7 @@ class Codec:
                 queue[r].append(part)
                 filled_ranks.add(r)
 
-        live = np.flatnonzero(pair >= 0)
+        live = np.flatnonzero(pair >= 0).astype(place)
         push(live, pair[live])
         while (r := filled_ranks.first()) >= 0:
             parts = queue.pop(r)
@@ -397,6 +399,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                 names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select(*keep, docs["text"].alias("text")).mapInArrow(tidy(run), schema)
 
 

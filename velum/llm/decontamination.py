@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm.common import materialise, mix64, prefix_hash, range_hash, rows_of, stream64, string, table, text_bytes, text_slices, tidy, words
+from velum.llm.common import materialise, mix64, prefix_hash, range_hash, rows_of, small_batches, stream64, string, table, text_bytes, text_slices, tidy, words
 
 MAX_EDITS = 0.25
 WALKS, TABLES, SAMPLES = 8, 4, 3
@@ -213,6 +213,7 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("do
     total = sized.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     narrow = docs.select(*keep, F.col(text).alias("velum_text"))
     found = []
     for b in range(blocks):

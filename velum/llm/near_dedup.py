@@ -34,6 +34,7 @@ from velum.llm.common import (
     mix64,
     prefix_hash,
     range_hash,
+    small_batches,
     stream64,
     string,
     table,
@@ -128,6 +129,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 bands = pa.ListArray.from_arrays(np.arange(0, batch.num_rows * BANDS + 1, BANDS, dtype=np.int32), folded.ravel().view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), bands], names=["node", "n_shingles", "c1", "c2", "bands"])
 
+    small_batches(docs.sparkSession)
     return docs.select("node", "text").mapInArrow(tidy(run), "node long, n_shingles long, c1 long, c2 long, bands array<long>")
 
 

@@ -120,6 +120,18 @@ def test_bands_keep_prose_and_reject_noise(spark):
     assert len(kept & set(range(300))) >= 295 and not any(i >= 1000 for i in kept)
 
 
+def test_copies_do_not_set_the_band(spark, monkeypatch):
+    good = [(i, prose(i, 200), "en") for i in range(300)]
+    copies = [(1000 + i, prose(999, 200), "en") for i in range(350)]
+    docs = spark.createDataFrame(good + copies, "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in quality_rules.judge(docs).filter("kept").select("doc_id").collect()}
+    assert len(kept & set(range(300))) >= 295 and {i for i, *_ in copies} <= kept
+    want = sorted(map(tuple, quality_rules.count_grams(docs.filter("doc_id < 1001")).collect()))
+    assert sorted(map(tuple, quality_rules.count_grams(quality_rules.distinct_texts(docs)).collect())) == want
+    monkeypatch.setattr(quality_rules, "BROADCAST_COPIES", -1)
+    assert sorted(map(tuple, quality_rules.count_grams(quality_rules.distinct_texts(docs)).collect())) == want
+
+
 def test_line_dedup_by_hand(spark, sf_dir, data):
     out = line_dedup.query(spark, sf_dir).collect()
     pages = collections.Counter(s for _, _, _, s, _ in data)

@@ -251,6 +251,20 @@ def test_substrings_by_hand(spark, monkeypatch, keep, group):
         assert r["kept_sha256"] == hashlib.sha256(want[r["doc_id"]]).hexdigest() and r["n_removed"] == r["n_bytes"] - len(want[r["doc_id"]])
 
 
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_passage_with_two_contexts_of_two_texts(spark, monkeypatch, group):
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    texts = {}
+    for i, size in enumerate((200, 250, 300, 350)):
+        passage = prose(400 + i, 100)[:size]
+        for j in range(4):
+            side = 500 + 10 * i + 2 * (j // 2)
+            texts[4 * i + j] = f"{prose(600 + 4 * i + j, 20)} {prose(side, 80)} {passage} {prose(side + 1, 80)} {prose(700 + 4 * i + j, 20)}"
+    out = substring_dedup.remove(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), keep="first").collect()
+    want = removed_by_hand({i: t.encode() for i, t in texts.items()}, substring_dedup.LENGTH, "first")
+    assert {r["doc_id"]: bytes(r["kept"]) for r in out} == want
+
+
 def test_previous_factor_by_hand():
     r = random.Random(2)
     text = "".join(r.choice("ab") for _ in range(200))

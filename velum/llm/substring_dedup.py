@@ -249,8 +249,9 @@ def stretches(texts: DataFrame, keep: str = "none") -> DataFrame:
     if keep == "first":
         copies = copies.filter("not (node = n0 and t = t0 and start = s0)")
     copies = copies.select("node", "t", F.col("start").alias("a"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("b"))
-    # Anchors with several kinds of extents, one of which at least is there once.
-    mixed = materialise(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("h", "kinds"), "mixed")
+    # Anchors with several kinds of extents; if no occurrence stays, one of them at least must be there once.
+    several = "kinds > 1" if keep == "first" else "kinds > 1 and least = 1"
+    mixed = materialise(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter(several).select("h", "kinds"), "mixed")
     edges = materialise(kinds.join(_small(mixed), "h").select("h", "kinds", "n", "x.node", "x.t", "x.start", "x.windows"), "edges")
     body = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("windows") + LENGTH - 1)
     bodies = texts.join(_small(edges), ["node", "t"]).select("h", "n", "node", "t", "start", "windows", body.alias("body"), "kinds")

@@ -142,6 +142,13 @@ def test_line_dedup_by_hand(spark, sf_dir, data):
     assert sorted(repr((r["doc_id"], r["text"])) for r in out) == want
 
 
+def test_line_stage_keeps_copied_documents(spark):
+    texts = [prose(1, 60)] * 15 + [prose(100 + i, 60) + "\n" + LINE for i in range(15)] + [prose(200 + i, 60) for i in range(15)]
+    docs = spark.createDataFrame([(i, t, "src", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, docs, "").collect()}
+    assert out == {i: t.removesuffix("\n" + LINE) for i, t in enumerate(texts)}
+
+
 def test_line_dedup_beyond_the_broadcast(spark, sf_dir, monkeypatch):
     want = sorted(map(repr, line_dedup.query(spark, sf_dir).collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)

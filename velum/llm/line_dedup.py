@@ -9,6 +9,9 @@ of all pages costs one row per task. A host keeps fewer than (mean distinct line
 boilerplate lines, so each host's array is small; all arrays together are broadcast only when their counted
 number is below ``BROADCAST_LINES``. Beyond it they are joined by (host, salt), which splits a hot host.
 
+Each row is a page, so a document copied on more than ``MAX_RATIO`` of a host's pages loses all its lines on every
+page. The pipeline's stage, after which one copy should stay, counts a line and a host's pages over its distinct texts.
+
 Defined cases: a null host is a host of its own; a null text stays null; lines without a word are never
 dropped; repeated rows count as pages each; an empty table gives an empty result; other columns pass through.
 """
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.llm.common import materialise, string, table
+from velum.llm.quality_rules import distinct_texts
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -41,9 +45,11 @@ def _marked(text: Column) -> Column:
     return F.transform(F.filter(_lines(text), lambda x: x.rlike(_WORD)), lambda x: F.xxhash64(x))
 
 
-def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, lines): the hashes of each host's boilerplate lines, for hosts that have any."""
+def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+    """(host, lines): the hashes of each host's boilerplate lines, for hosts that have any; without ``copies`` equal texts of a host are one page."""
     pages = docs.select(_host(host).alias("h"), text.alias("t"))
+    if not copies:
+        pages = distinct_texts(pages, "h", "t")
     totals = pages.groupBy("h").agg(F.count(F.lit(1)).alias("total"))
     # The number of hosts' totals isn't bounded; Spark picks this join's kind from the sizes it measures.
     seen = pages.select("h", F.explode(F.array_distinct(_marked(F.col("t")))).alias("line")).groupBy("h", "line").agg(F.count(F.lit(1)).alias("n"))
@@ -56,9 +62,9 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float =
     )
 
 
-def clean(docs: DataFrame, host: Column, text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def clean(docs: DataFrame, host: Column, text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """``docs`` with ``text`` lacking its host's boilerplate lines, and ``velum_dropped``: the number of lines that went."""
-    found = materialise(boilerplate(docs, host, F.col(text), max_ratio, min_pages), "boilerplate")
+    found = materialise(boilerplate(docs, host, F.col(text), max_ratio, min_pages, copies), "boilerplate")
     size = found.agg(F.sum(F.size("lines")).alias("n")).first()["n"] or 0
     pages = docs.withColumn("velum_h", _host(host))
     if size <= BROADCAST_LINES:
@@ -86,8 +92,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their sources' boilerplate lines; n_chars follows the text."""
-    return clean(docs, F.col("source")).drop("velum_dropped").withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    """The documents without their sources' boilerplate lines, counted over distinct texts; n_chars follows the text."""
+    return clean(docs, F.col("source"), copies=False).drop("velum_dropped").withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 ORACLE = f"""

@@ -199,6 +199,15 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in out]) >= 0.97
 
 
+def test_languages_of_short_or_long_texts_are_learned(spark):
+    r = random.Random(4)
+    own = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, *x) for i, x in enumerate([(prose(i, 60), "en") for i in range(40)] + [(own("kqwz", 12), "short") for _ in range(40)] + [(own("xvjy", 1500), "long") for _ in range(40)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.identify(docs, language_id.train(docs), keep=("lang",)).collect()
+    assert all(x["lang_pred"] == x["lang"] for x in out)
+
+
 def test_string_kernel_by_hand():
     def grams(t):
         t = re.sub(r"[^a-z]+", " ", " " + t.lower() + " ")

@@ -27,7 +27,8 @@ from velum.llm.common import table, text_bytes, text_slices, tidy
 N, BITS = 3, 7
 TRAIN_PER_LANG = 300
 LANDMARKS_PER_LANG = 32
-#: Texts of other sizes (bytes) are not learned from; this bounds what the driver gets.
+#: Texts of these sizes (bytes) are learned from first; of others, which fill a language's sample, the first so many
+#: characters. This bounds what the driver gets.
 TRAIN_BYTES = (200, 8_000)
 RIDGE = 1e-3
 #: Presence vectors that are multiplied at once.
@@ -122,10 +123,11 @@ class Model:
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model | None:
     """A model of the labelled rows of ``docs``, from a bounded sample of each language's; None if there are none."""
-    order = W.partitionBy("lang").orderBy("h", "text")
+    order = W.partitionBy("lang").orderBy("other", "h", "text")
+    other = ~F.octet_length(text).between(*TRAIN_BYTES)
     sample = (
-        docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
-        .filter(F.col("lang").isNotNull() & F.octet_length("text").between(*TRAIN_BYTES))
+        docs.select(F.col(lang).cast("string").alias("lang"), F.substring(text, 1, TRAIN_BYTES[1]).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), other.alias("other"))
+        .filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= TRAIN_PER_LANG)
         .select("lang", "text", "place")

@@ -329,6 +329,56 @@ def test_surrogates_stay_distinct(spark):
     assert len(found) == len(names) == len(set(found)) and not set(found) & {f"Adam {n}" for n in names}
 
 
+def test_surrogates_of_formats_without_room(spark):
+    """Masked passwords are no entities; used-up and one-letter formats get longer surrogates; nothing fails."""
+    texts = ["password: ________", "token = .......", *[f"{a}@x.org" for a in "abcdefghijklmnopqrstuvwxyz"], "__@x.org"]
+    texts += [f"secret: aaaaaa{i}" for i in range(10)]
+    out = surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    new = {r["doc_id"]: r["text"] for r in out}
+    assert new[0] == texts[0] and new[1] == texts[1]
+    mails = [new[i] for i in range(2, 29)]
+    assert len(set(mails)) == 27 and not set(mails) & set(texts)
+    assert len({new[i] for i in range(29, 39)}) == 10
+
+
+def test_surrogates_when_every_draw_is_taken(spark, monkeypatch):
+    """With one draw for all, collisions end in digests."""
+    monkeypatch.setattr(surrogates, "MAX_ROUNDS", 2)
+    monkeypatch.setattr(surrogates, "_surname", lambda norm, seed, attempt: F.lit("same"))
+    text = " and ".join(f"Mr. {n}" for n in ("Fooson", "Barson", "Kelson", "Same"))
+    (row,) = surrogates.pseudonymise(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert len(set(re.findall(r"Mr[.] (\w+)", row["text"]))) == 4 and not re.search("Fooson|Barson|Kelson", row["text"])
+
+
+@pytest.mark.parametrize("limit", [surrogates.BROADCAST_BYTES, -1])
+def test_surrogates_keep_coreference(spark, monkeypatch, limit):
+    """Random texts of people: each mention, titled or not, full or in part, gets its person's surrogate; people stay distinct."""
+    monkeypatch.setattr(surrogates, "BROADCAST_BYTES", limit)
+    r = random.Random(11)
+    givens, surnames = ["John", "Mary", "Quentin", "Ottilie", "Adam"], ["Fooson", "Barlow", "Quux", "Zamora", "Li"]
+    rows, people = [], []
+    for i in range(30):
+        own = [(r.choice(givens), s) for s in r.sample(surnames, 2)]
+        shapes = [("Mr. {g} {s}", "gs"), ("{g} {s}", "gs"), ("{s}", "s"), ("Mr. {s}", "s"), ("{S}", "S"), ("{g} {s}", "gs")]
+        mentions = [(p, *shapes[0]) for p in own] + [(r.choice(own), *r.choice(shapes)) for _ in range(8)]
+        r.shuffle(mentions)
+        rows.append((i, " met; ".join(f.format(g=g, s=s, S=s.upper()) for (g, s), f, _ in mentions)))
+        people.append(mentions)
+    out = {x["doc_id"]: x["text"] for x in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    given, surname = {}, {}
+    for i, text in out.items():
+        for new, ((g, s), _, shape) in zip(text.split(" met; "), people[i], strict=True):
+            words = new.removeprefix("Mr. ").split(" ")
+            assert len(words) == (2 if shape == "gs" else 1), new
+            assert shape != "S" or words[-1] == words[-1].upper()
+            assert surname.setdefault(s, words[-1].lower()) == words[-1].lower()
+            if shape == "gs":
+                assert given.setdefault(g, words[0]) == words[0]
+    every = [*surname.values(), *(x.lower() for x in given.values())]
+    assert len(set(every)) == len(every) == len(givens) + len(surnames)
+    assert not set(every) & {x.lower() for x in (*givens, *surnames)}
+
+
 def edited(text, share, seed):
     r, words = random.Random(seed), text.split()
     for _ in range(int(share * len(words))):

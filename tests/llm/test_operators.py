@@ -256,9 +256,11 @@ def repeats():
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("group", [20_000, 1])
-def test_substrings_by_hand(spark, monkeypatch, keep, group):
+@pytest.mark.parametrize(("group", "rows"), [(2_000, 200_000), (1, 200_000), (3, -1)])
+def test_substrings_by_hand(spark, monkeypatch, keep, group, rows):
+    """Also with groups that are split until their windows are equal, and without any broadcast list."""
     monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", rows)
     texts = repeats()
     out = substring_dedup.remove(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), keep=keep).collect()
     want = removed_by_hand({i: t.encode() for i, t in texts.items()}, substring_dedup.LENGTH, keep)
@@ -267,7 +269,7 @@ def test_substrings_by_hand(spark, monkeypatch, keep, group):
         assert r["kept_sha256"] == hashlib.sha256(want[r["doc_id"]]).hexdigest() and r["n_removed"] == r["n_bytes"] - len(want[r["doc_id"]])
 
 
-@pytest.mark.parametrize("group", [20_000, 1])
+@pytest.mark.parametrize("group", [2_000, 1])
 def test_passage_with_two_contexts_of_two_texts(spark, monkeypatch, group):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
     texts = {}
@@ -281,6 +283,36 @@ def test_passage_with_two_contexts_of_two_texts(spark, monkeypatch, group):
     assert {r["doc_id"]: bytes(r["kept"]) for r in out} == want
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_substrings_on_tables(spark, keep):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = substring_dedup.remove(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), keep=keep).collect()
+    want = removed_by_hand(texts, substring_dedup.LENGTH, keep)
+    assert {r["doc_id"]: bytes(r["kept"]) for r in out} == want
+
+
+def test_suffix_arrays_and_factors_by_hand():
+    r = random.Random(12)
+    strings = ["".join(r.choice("ab") for _ in range(r.randint(1, 60))).encode() for _ in range(30)] + [b"", b"ab" * 40, b"ab" * 30, b"\0\0\xff"]
+    strings += [strings[0], strings[1][3:]]
+    data, offsets = np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+    rest = [x[k:] for x in strings for k in range(len(x))]
+    order, common = substring_dedup.suffix_array(data, offsets)
+    assert order.tolist() == sorted(range(len(rest)), key=lambda i: (rest[i], i))
+    lcp = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    assert common.tolist() == [0] + [lcp(rest[order[i]], rest[order[i - 1]]) for i in range(1, len(rest))]
+    turn = np.array(r.sample(range(len(strings)), len(strings)))
+    again = np.array([r.random() < 0.2 for _ in strings])
+    owner = [i for i, x in enumerate(strings) for _ in x]
+    place = [(turn[i], p - offsets[i]) for p, i in enumerate(owner)]
+    for keep in ("first", "none"):
+        got = substring_dedup.factors(data, offsets, turn, again, keep)
+        for p in range(len(rest)):
+            others = [q for q in range(len(rest)) if q != p and (keep == "none" or place[q] < place[p])]
+            best = max([lcp(rest[p], rest[q]) for q in others], default=0)
+            assert got[p] == (len(rest[p]) if again[owner[p]] and keep == "none" else best)
+
+
 def test_previous_factor_by_hand():
     r = random.Random(2)
     text = "".join(r.choice("ab") for _ in range(200))

@@ -9,12 +9,18 @@ have equal anchors at equal places, so windows with different anchors are never
 is an extent (one per 77 bytes or so).
 
 1. Equal texts are found by digest and stand for each other from then on.
-2. Anchors that occur once are dropped; extents whose bytes all recur are repeated as a whole, known by their hash.
-3. The other extents of an anchor that has several meet in one task with their bytes. There the suffixes at their windows
-   are sorted (prefix doubling), and previous and next smaller positions in suffix order give each suffix its longest
-   previous factor: with the text order reversed, its longest later one. A factor of LENGTH bytes is a repeat. Anchors with
-   over ``GROUP`` different extents are counted by the hash of each window instead, which needs no group in one task.
-4. A text's repeated stretches are gathered and cut out.
+2. Extents are written once. Those whose anchor may occur again (a bitmap of fixed size tells) are counted by anchor and bytes:
+   extents of equal bytes are one kind, whose first occurrence stands for it. A later copy's factor is the whole copy.
+3. The kinds of an anchor that has several meet in one task with their bytes. There a suffix array of all their suffixes is made
+   by prefix doubling, its common prefixes are read off the ranks of the doubling's steps, and previous and next smaller
+   positions in suffix order give each suffix its longest previous factor; with the text order reversed, its longest later one.
+   A kind that recurs stands twice in these arrays. A factor of LENGTH bytes or more is a repeat.
+4. A group of more than ``GROUP`` kinds is split by the bytes around the anchor: windows that have the anchor in one part of them
+   and the bytes in common that every window of that part has. Halving the part again and again ends with groups of equal
+   windows, so any group gets small, and each is treated as in 2 and 3.
+5. A text's repeated stretches are gathered and cut out.
+
+Memory: a worker holds a slice of texts (at least one whole text, about 60 bytes a byte) or ``SORT_BYTES`` of suffixes and one group.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all bytes; a null doc_id is replaced by a hash of the
 text; repeated rows are copies of each other; an empty table gives an empty result; other columns are not looked at.
@@ -26,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.llm.common import materialise, mix64, prefix_hash, range_hash, string, table, text_bytes, text_slices, tidy
@@ -34,20 +40,23 @@ from velum.llm.common import materialise, mix64, prefix_hash, range_hash, string
 LENGTH = 200
 GRAM = 48
 GRAMS = LENGTH - GRAM + 1
-#: Different extents of one anchor that are sorted in one task (350 bytes each), and bytes sorted at once.
-GROUP = 20_000
-SORT_BYTES = 1 << 20
+#: Kinds of one anchor that are sorted in one task (280 bytes each), and bytes sorted at once.
+GROUP = 2_000
+SORT_BYTES = 1 << 19
 #: Rows up to which a counted list is broadcast.
-BROADCAST_ROWS = 1_500_000
+BROADCAST_ROWS = 200_000
+#: Bits of the bitmaps that are sent to all tasks: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 _PLACES = 1 << 21
 
 
 def extents(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, windows, anchor, whole): each run of windows with one anchor, its first window's place in the row, the
-    number of windows, and the hashes of the anchor and of all the run's bytes."""
+    """(row, start, windows, at, anchor, whole): each run of windows with one anchor, its first window's place in the row, the
+    number of windows, the anchor's place in the first, and the hashes of the anchor and of all the run's bytes."""
     n = len(data)
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return none
     prefix = prefix_hash(data)
     at = np.arange(n - GRAM + 1)
     gram = range_hash(prefix, at, at + GRAM)
@@ -69,29 +78,66 @@ def extents(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         chosen[a : a + len(part)] = part
     start, chosen = start[whole], chosen[whole]
     if not len(start):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return none
     first = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (start[1:] != start[:-1] + 1)))
     windows = np.diff(np.append(first, len(start)))
     begin, anchor = start[first], chosen[first]
     with np.errstate(over="ignore"):
         body = mix64(range_hash(prefix, begin, begin + windows - 1 + LENGTH) + ((anchor - begin) * 1000 + windows).astype(np.uint64))
-    return row[begin], begin - offsets[row[begin]], windows, gram[anchor], body
-
-
-def sorted_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The rank of each start's LENGTH bytes among all starts', equal for equal bytes. Each start has LENGTH bytes within data."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    now = np.zeros(len(data), np.uint64)
-    for j in range(8):
-        now = now << np.uint64(8) | padded[j : j + len(data)]
-    have, rank = 8, np.unique(now, return_inverse=True)[1].astype(np.int64)
-    while 2 * have <= LENGTH:  # ranks of 16, 32, ... bytes
-        following = np.zeros(len(rank), np.int64)
-        following[: len(rank) - have] = rank[have:]
-        rank = np.unique(rank * (len(rank) + 1) + following, return_inverse=True)[1].astype(np.int64)
+    return row[begin], begin - offsets[row[begin]], windows, anchor - begin, gram[anchor], body
+
+
+#: Symbols (bytes + 1, 0 for the end) in the first step of the doubling: nine bits each.
+_FIRST = 7
+
+
+def suffix_array(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the suffixes of strings data[offsets[i]:offsets[i+1]], each up to its string's end, in sorted order, and the
+    length that each has in common with the one before (0 for the first). Equal suffixes are in order of place."""
+    n = len(data)
+    ends = np.repeat(offsets[1:], np.diff(offsets))
+    left = ends - np.arange(n)
+    symbols = data.astype(np.int64) + 1
+    key = np.zeros(n, np.int64)
+    for j in range(_FIRST):
+        part = np.zeros(n, np.int64)
+        part[: max(n - j, 0)] = symbols[j:]
+        part[left <= j] = 0
+        key = key << 9 | part
+    order = np.argsort(key, kind="stable")
+    fresh = np.append(True, key[order[1:]] != key[order[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # of equal ones the first's place
+    steps, have = [rank.astype(np.int32)], _FIRST
+    while have < left.max(initial=0):
+        alone = fresh & np.append(fresh[1:], True)
+        open_ = np.flatnonzero(~alone)  # places in order, whole classes
+        if not len(open_):
+            break
+        own = order[open_]
+        following = np.where(left[own] > have, rank[np.minimum(own + have, n - 1)] + 1, 0)
+        by = np.argsort(rank[own] * (n + 2) + following, kind="stable")
+        own, following = own[by], following[by]
+        order[open_] = own
+        differs = np.append(True, (rank[own[1:]] != rank[own[:-1]]) | (following[1:] != following[:-1]))
+        fresh[open_] = differs
+        rank = rank.copy()
+        rank[own] = np.maximum.accumulate(np.where(differs, open_, 0))
+        steps.append(rank.astype(np.int32))
         have *= 2
-    rest = rank[starts + LENGTH - have] if LENGTH > have else np.zeros(len(starts), np.int64)
-    return np.unique(rank[starts] * (len(rank) + 1) + rest, return_inverse=True)[1]
+    a, b = order[1:].copy(), order[:-1].copy()
+    least = np.minimum(left[a], left[b])
+    common = np.zeros(len(a), np.int64)
+    for i in range(len(steps) - 1, -1, -1):
+        same = steps[i][np.minimum(a, n - 1)] == steps[i][np.minimum(b, n - 1)]
+        size = _FIRST << i
+        common[same] += size
+        a[same] += size
+        b[same] += size
+    apart = key[np.minimum(a, n - 1)] ^ key[np.minimum(b, n - 1)]
+    for j in range(1, _FIRST):
+        common += (apart >> (9 * (_FIRST - j))) == 0
+    return order, np.append(0, np.minimum(common, least))[:n]
 
 
 def previous_factor(order: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -108,12 +154,12 @@ def previous_factor(order: np.ndarray, common: np.ndarray, place: np.ndarray) ->
         where = at if side == 1 else at[::-1]
         shared = common if side == 1 else np.append(0, common[1:][::-1])
         to, least = np.arange(n) - 1, shared.copy()
-        todo = np.flatnonzero((to >= 0) & (where[to] > where))
+        todo = np.flatnonzero((to >= 0) & (least > 0) & (where[to] > where))
         while len(todo):
             jump = to[todo]
             new_to, new_least = to[jump], np.minimum(least[todo], least[jump])
             to[todo], least[todo] = new_to, new_least
-            todo = todo[(to[todo] >= 0) & (where[to[todo]] > where[todo])]
+            todo = todo[(to[todo] >= 0) & (least[todo] > 0) & (where[to[todo]] > where[todo])]
         found = np.where(to >= 0, least, 0)
         out = np.maximum(out, found if side == 1 else found[::-1])
     factors = np.empty(n, np.int64)
@@ -121,15 +167,27 @@ def previous_factor(order: np.ndarray, common: np.ndarray, place: np.ndarray) ->
     return factors
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, place: np.ndarray, keep: str) -> np.ndarray:
-    """Whether the LENGTH bytes at each start are at an earlier start too, or (keep="none") at any other."""
-    rank = sorted_ranks(data, starts)
-    order = np.lexsort((place, rank))
-    common = np.zeros(len(order), np.int64)
-    common[1:] = np.where(rank[order[1:]] == rank[order[:-1]], LENGTH, 0)  # shorter common lengths don't matter
-    out = previous_factor(order, common, place) >= LENGTH
+def factors(data: np.ndarray, offsets: np.ndarray, turn: np.ndarray, again: np.ndarray, keep: str) -> np.ndarray:
+    """The longest previous factor at each byte of strings, or (keep="none") the longest factor elsewhere.
+
+    turn: the strings' order in the text; again: those of which a later copy is in the text, which stands for itself in the arrays.
+    """
+    order, common = suffix_array(data, offsets)
+    owner = np.repeat(np.arange(len(turn)), np.diff(offsets))
+    copies = 1 + again[owner[order]].astype(np.int64)
+    first = np.cumsum(copies) - copies
+    entries, shared = np.repeat(order, copies), np.repeat(common, copies)
+    second = np.ones(len(entries), bool)
+    second[first] = False
+    shared[second] = (offsets[1:][owner] - np.arange(len(data)))[entries[second]]  # a copy has the whole rest in common
+    place = turn[owner] * 1000 + np.arange(len(data)) - offsets[owner]
+    places = place[entries] + second * (len(turn) + 1) * 1000
+    every = np.arange(len(entries))
+    best = previous_factor(every, shared, places)
     if keep == "none":
-        out |= previous_factor(order, common, -place) >= LENGTH
+        best = np.maximum(best, previous_factor(every, shared, -places))
+    out = np.empty(len(data), np.int64)
+    out[order] = best[first]
     return out
 
 
@@ -146,40 +204,107 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-_EXTENT = "h long, e long, node long, t int, start int, windows int"
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Which of FILTER_BITS values the column h takes, modulo their number: for leaving out most of what isn't in it."""
+    at = F.pmod("h", F.lit(FILTER_BITS)) + 1
+    rows = hashes.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for r in rows.toLocalIterator():  # as many rows as the bitmap has parts, at most
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.view(np.int64) % FILTER_BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+_EXTENT = "h long, e long, node long, t int, start int, windows int, at int"
+_BODY = _EXTENT + ", body binary"
+
+
+def _batch_extents(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of _EXTENT for a batch of (node, t, text), and each extent's place in data."""
+    row, start, windows, at, anchor, body = extents(data, offsets)
+    node, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    small = [x.astype(np.int32) for x in (start, windows, at)]
+    return [anchor.view(np.int64), body.view(np.int64), node[row], t[row], *small], offsets[row] + start
+
+
+def _ident(h: np.ndarray, node: np.ndarray, t: np.ndarray, start: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = mix64(h.astype(np.int64).view(np.uint64) + np.uint64(1)) + node.astype(np.int64).view(np.uint64)
+        return mix64(mix64(x) + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.int64).view(np.uint64))
 
 
 def _extents(texts: DataFrame) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in text_slices(whole):
-                data, offsets = text_bytes(batch.column(2))
-                row, start, windows, anchor, body = extents(data, offsets)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(body.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
-                    names=["h", "e", "node", "t", "start", "windows"],
-                )
+                columns, _ = _batch_extents(batch, *text_bytes(batch.column(2)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "e", "node", "t", "start", "windows", "at"])
 
     return texts.select("node", "t", "text").mapInArrow(tidy(run), _EXTENT)
 
 
+def _marked(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The extents whose anchor is in a bitmap."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bitmap(shared.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(tidy(run), _EXTENT)
+
+
+def _bodies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The extents (h, node, t, start) of ``wanted`` with its further columns and their bytes; found again in the texts, which don't move."""
+    keys = ["h", "node", "t", "start"]
+
+    def idents(batches):
+        for batch in batches:
+            own = _ident(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["h"])
+
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(*keys).mapInArrow(idents, "h long")))
+
+    def run(batches):
+        for whole in batches:
+            for batch in text_slices(whole):
+                data, offsets = text_bytes(batch.column(2))
+                columns, places = _batch_extents(batch, data, offsets)
+                here = np.flatnonzero(_in_bitmap(shared.value, _ident(columns[0], *columns[2:5])))
+                columns, places = [x[here] for x in columns], places[here]
+                yield _with_bodies(columns, data, places, columns[5] + LENGTH - 1, ["h", "e", "node", "t", "start", "windows", "at"])
+
+    found = texts.select("node", "t", "text").mapInArrow(tidy(run), _BODY)
+    return found.join(wanted, keys)
+
+
+def _with_bodies(columns: list[np.ndarray], data: np.ndarray, places: np.ndarray, sizes: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A batch of the columns and the bytes from each place."""
+    sizes = sizes.astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    picked = data[np.arange(ends[-1]) + np.repeat(places - ends[:-1], sizes)]
+    body = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(picked.tobytes())])
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), body], names=[*names, "body"])
+
+
 def _sort_batches(keep: str):
-    """Rows (h, n, node, t, start, windows, body), those of one h together: the repeated stretches of those with n = 1."""
+    """Rows (h, n, node, t, start, windows, body), those of one h together: the repeated stretches of each."""
 
     def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         data, offsets = text_bytes_of(rows.column(6))
         n, node, t, start, windows = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+        by = np.lexsort((start, t, node))
+        turn = np.empty(len(n), np.int64)
+        turn[by] = np.arange(len(n))
+        longest = factors(data, offsets, turn, n > 1, keep)
         owner = np.repeat(np.arange(len(n)), windows)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        order = np.lexsort((start, t, node))
-        turn = np.empty(len(n), np.int64)
-        turn[order] = np.arange(len(n))
-        again = repeated(data, offsets[owner] + step, turn[owner] * 1000 + step, keep)
-        if keep == "none":
-            again &= n[owner] == 1  # the others are repeated as they stand
-        first, last = _runs(again, step == 0)
+        first, last = _runs(longest[offsets[owner] + step] >= LENGTH, step == 0)
         own = owner[first]
         return pa.RecordBatch.from_arrays(
             [pa.array(node[own], pa.int64()), pa.array(t[own], pa.int32()), pa.array((start[own] + step[first]).astype(np.int32)), pa.array((start[own] + step[last] + LENGTH).astype(np.int32))],
@@ -220,95 +345,111 @@ def text_bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _window_hashes(rows: DataFrame) -> DataFrame:
+def _split(level: int):
+    """Extents (_BODY and n) parted by where the anchor is in a window: within 256 >> level places. h is then a hash of the bytes around
+    the anchor that all windows of the part have."""
+    width = 256 >> level
+
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, 1 << 20):
-                data, offsets = text_bytes_of(part.column(6))
-                windows = part.column(5).to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(len(windows)), windows)
-                step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = offsets[owner] + step
-                prefix = prefix_hash(data)
-                w = range_hash(prefix, at, at + LENGTH)
-                back = pa.array(owner)
-                place = part.column(4).to_numpy(zero_copy_only=False)[owner] + step
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(part.column(i).take(back) for i in (0, 1, 2, 3)), pa.array(place.astype(np.int32))], names=["w", "h", "n", "node", "t", "p"])
+            if not batch.num_rows:
+                continue
+            data, offsets = text_bytes_of(batch.column(7))
+            h, _, node, t, start, windows, at = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7))
+            low = (at - windows + 1) // width  # the last window has the anchor nearest to its start
+            parts = at // width - low + 1
+            row = np.repeat(np.arange(len(at)), parts)
+            cell = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            most, least = np.minimum(at[row], (cell + 1) * width - 1), np.maximum(at[row] - windows[row] + 1, cell * width)
+            begin, size = at[row] - most, most - least + 1  # windows of the part
+            place = offsets[row] + begin
+            prefix = prefix_hash(data)
+            anchor = offsets[row] + at[row]
+            with np.errstate(over="ignore"):
+                around = range_hash(prefix, anchor - cell * width, anchor + LENGTH - np.minimum((cell + 1) * width - 1, GRAMS - 1))
+                group = mix64(around + mix64(h.view(np.uint64)[row] + (cell + 1000 * level).astype(np.uint64)))
+                whole = mix64(range_hash(prefix, place, place + size + LENGTH - 1) + (most * 1000 + size).astype(np.uint64))
+            columns = [group.view(np.int64), whole.view(np.int64), node[row], t[row].astype(np.int32), *(x.astype(np.int32) for x in (start[row] + begin, size, most))]
+            out = _with_bodies(columns, data, place, size + LENGTH - 1, ["h", "e", "node", "t", "start", "windows", "at"])
+            yield out.append_column("n", batch.column(8).take(pa.array(row)))
 
-    return rows.mapInArrow(tidy(run), "w long, h long, n long, node long, t int, p int")
+    return run
 
 
 def stretches(texts: DataFrame, keep: str = "none") -> DataFrame:
     """(node, t, a, b): stretches of different texts (node, t, text) that are repeated, in bytes; they may overlap."""
-    found = _extents(texts)
-    often = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "anchors")
-    some = materialise(found.join(_small(often), "h", "left_semi"), "extents")
-    kinds = materialise(some.groupBy("h", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "t", "start", "windows")).alias("x")), "kinds")
-    whole = kinds.filter("n > 1").select("h", "e", F.col("x.node").alias("n0"), F.col("x.t").alias("t0"), F.col("x.start").alias("s0"))
-    copies = some.join(_small(materialise(whole, "whole")), ["h", "e"])
-    if keep == "first":
-        copies = copies.filter("not (node = n0 and t = t0 and start = s0)")
-    copies = copies.select("node", "t", F.col("start").alias("a"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("b"))
-    # Anchors with several kinds of extents; if no occurrence stays, one of them at least must be there once.
-    several = "kinds > 1" if keep == "first" else "kinds > 1 and least = 1"
-    mixed = materialise(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter(several).select("h", "kinds"), "mixed")
-    edges = materialise(kinds.join(_small(mixed), "h").select("h", "kinds", "n", "x.node", "x.t", "x.start", "x.windows"), "edges")
-    body = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("windows") + LENGTH - 1)
-    bodies = texts.join(_small(edges), ["node", "t"]).select("h", "n", "node", "t", "start", "windows", body.alias("body"), "kinds")
-    columns = ["h", "n", "node", "t", "start", "windows", "body"]
-    sorted_ = bodies.filter(F.col("kinds") <= GROUP).select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_sort_batches(keep)), "node long, t int, a int, b int")
-    out = copies.union(sorted_)
-    if mixed.filter(F.col("kinds") > GROUP).isEmpty():
-        return out
-    windows = _window_hashes(bodies.filter(F.col("kinds") > GROUP).select(*columns))
-    twice = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "t", "p")).alias("x")).filter("c > 1")
-    again = windows.join(twice, ["h", "w"]).filter("n = 1" if keep == "none" else "not (node = x.node and t = x.t and p = x.p)")
-    return out.union(again.select("node", "t", F.col("p").alias("a"), (F.col("p") + LENGTH).alias("b")))
+    found = materialise(_extents(texts), "extents")
+    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    rows = materialise(_marked(found, _bitmap(often)), "recurring").withColumn("n", F.lit(1).cast("long"))
+    out, level = None, 0
+    while True:
+        # Kinds: extents of equal bytes, of which the first stands for all; a later one's factor is its whole length.
+        kinds = materialise(rows.groupBy("h", "e").agg(F.sum("n").alias("n"), F.min(F.struct("node", "t", "start", "windows")).alias("x")), "kinds")
+        first = F.struct("node", "t", "start", "windows") == F.col("x")
+        copies = rows.drop("n").join(kinds.filter("n > 1"), ["h", "e"])
+        if keep == "first":
+            copies = copies.filter(~first)
+        done = copies.select("node", "t", F.col("start").alias("a"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("b"))
+        # Anchors with several kinds; if no occurrence stays, one of them at least must be there once.
+        several = "kinds > 1" if keep == "first" else "kinds > 1 and least = 1"
+        mixed = materialise(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter(several).select("h", "kinds"), "mixed")
+        if level == 0:
+            wanted = materialise(kinds.join(mixed, "h").select("h", "x.node", "x.t", "x.start", "n", "kinds"), "wanted")
+            bodies = materialise(_bodies(texts, wanted), "bodies")
+        else:
+            bodies = rows.drop("n").join(kinds.join(mixed, "h"), ["h", "e"]).filter(first)
+        columns = ["h", "n", "node", "t", "start", "windows", "body"]
+        group = bodies.filter(F.col("kinds") <= GROUP).select(*columns)
+        done = done.unionByName(group.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_sort_batches(keep)), "node long, t int, a int, b int"))
+        out = done if out is None else out.unionByName(done)
+        large = mixed.filter(F.col("kinds") > GROUP)
+        if large.isEmpty():
+            return out
+        level += 1
+        big = bodies.filter(F.col("kinds") > GROUP).select("h", "e", "node", "t", "start", "windows", "at", "body", "n")
+        rows = materialise(big.mapInArrow(tidy(_split(level)), _BODY + ", n long"), "split")
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = string(text)
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(body)).alias("node"), F.hash(body).alias("t"), F.col(key).alias("key"), body.alias("text"), F.md5(body.cast("binary")).alias("digest"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(body)).alias("node"), F.hash(body).alias("t"), F.col(key).alias("key"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("digest"))
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "none", output: Column | None = None) -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "none") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row; kept is the bytes that stay, as binary."""
     rows = _keyed(docs, key, text)
     copies = materialise(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("one")).filter("copies > 1").select("digest", "one"), "copies")
     marked = rows.join(_small(copies), "digest", "left")
     texts = marked.filter("one is null or one = node").select("node", "t", "text")
-    parts = stretches(texts, keep).groupBy("node", "t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("parts"))
+    parts = stretches(texts, keep).groupBy("node", "t").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("parts"))
     cut = materialise(parts, "stretches")
     gone = F.col("one").isNotNull() if keep == "none" else F.col("one").isNotNull() & (F.col("one") != F.col("node"))
     joined = marked.join(_small(cut), ["node", "t"], "left").select(
-        "key", (gone & (F.octet_length("text") >= LENGTH)).alias("gone"), F.col("parts.a").alias("a"), F.col("parts.b").alias("b"), "text"
+        "key", (gone & (F.octet_length("text") >= LENGTH)).alias("gone"), F.coalesce("parts.a", F.array().cast("array<int>")).alias("a"), F.coalesce("parts.b", F.array().cast("array<int>")).alias("b"), "text"
     )
 
     def run(batches):
         for whole in batches:
-            for batch in text_slices(whole, 8 << 20):
-                sizes, removed, spans, digests, kept = [], [], [], [], []
-                gone_, a_, b_ = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            for batch in text_slices(whole, 4 << 20):
                 data, offsets = text_bytes(batch.column(4))
-                for i in range(batch.num_rows):
-                    own = data[offsets[i] : offsets[i + 1]]
-                    if gone_[i]:
-                        starts, ends = [0], [len(own)]
-                    else:
-                        starts, ends = [], []
-                        for a, b in zip(a_[i] or (), b_[i] or (), strict=True):
-                            if ends and a <= ends[-1]:
-                                ends[-1] = max(ends[-1], b)
-                            else:
-                                starts.append(a)
-                                ends.append(b)
-                    rest = b"".join(own[x:y].tobytes() for x, y in zip([0, *ends], [*starts, len(own)], strict=True))
-                    sizes.append(len(own))
-                    removed.append(len(own) - len(rest))
-                    spans.append(len(starts))
-                    digests.append(hashlib.sha256(rest).hexdigest())
-                    kept.append(rest)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                all_gone = batch.column(1).to_numpy(zero_copy_only=False)
+                starts, ends = (batch.column(i) for i in (2, 3))
+                owner = np.repeat(np.arange(batch.num_rows), starts.value_lengths().to_numpy(zero_copy_only=False))
+                marks = np.zeros(len(data) + 1, np.int32)
+                np.add.at(marks, offsets[owner] + starts.flatten().to_numpy(zero_copy_only=False), 1)
+                np.add.at(marks, offsets[owner] + ends.flatten().to_numpy(zero_copy_only=False), -1)
+                lost = np.cumsum(marks)[:-1] > 0
+                lost |= np.repeat(all_gone, np.diff(offsets))
+                head = np.zeros(len(data) + 1, bool)
+                head[offsets] = True
+                fresh = lost & (head[:-1] | ~np.append(False, lost[:-1])[: len(lost)])
+                total, spans = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (lost, fresh))
+                rest = data[~lost]
+                at = offsets - total
+                digests = [hashlib.sha256(rest[a:b].data).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                kept = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(rest.tobytes())])
+                counts = [pa.array(x, pa.int64()) for x in (np.diff(offsets), np.diff(total), np.diff(spans))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), kept], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
     return joined.mapInArrow(tidy(run), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("key", key)

@@ -535,22 +535,42 @@ def chains():
     return out | {900: out[3], 901: out[3].upper(), 902: "a b", 903: "A  b", 904: "b a", 905: "", 906: None, 907: " ", 908: "a b c d"}
 
 
-@pytest.mark.parametrize(("family", "members"), [(20_000, 400), (3, 3), (20_000, 4)])
-def test_near_duplicates_by_hand(spark, monkeypatch, family, members):
-    monkeypatch.setattr(near_dedup, "FAMILY", family)
+@pytest.mark.parametrize(("members", "broadcast"), [(400, 500_000), (3, -1), (4, 500_000)])
+def test_near_duplicates_by_hand(spark, monkeypatch, members, broadcast):
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast)
     texts = chains()
     out = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r["node"]: (r["component_id"], r["n_shingles"]) for r in out} == groups_by_hand(texts, near_dedup.PERCENT)
 
 
-def test_near_duplicates_on_tables(spark):
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    out = near_dedup.query(spark, SF).collect()
+def test_rows_of_one_id_with_different_texts(spark):
+    base = chains()
+    rows = [(1, base[0]), (1, base[100]), (1, base[0]), (2, base[1]), (3, base[101]), (4, base[200])]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["node"], r["component_id"]) for r in out) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+@pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.01"])
+def test_near_duplicates_on_tables(spark, folder):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    out = near_dedup.query(spark, folder).collect()
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in out} == groups_by_hand(texts, near_dedup.PERCENT)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_only_pairs_that_share_a_band_are_compared():
+    texts = list(chains().values())[:20]
+    marks = near_dedup.signatures(*near_dedup.shingles(pa.array(texts)))
+    bands = [[tuple(m[5 * b : 5 * b + 5]) for b in range(near_dedup.BANDS)] for m in marks.tolist()]
+    share = lambda i, j: any(x == y for x, y in zip(bands[i], bands[j], strict=True))
+    got = set(zip(*(x.tolist() for x in near_dedup.candidates(marks, np.zeros(20, bool))), strict=True))
+    assert got == {(i, j) for i, j in itertools.combinations(range(20), 2) if share(i, j)}
+    left = np.arange(20) < 5
+    got = set(zip(*(x.tolist() for x in near_dedup.candidates(marks, left)), strict=True))
+    assert got == {(i, j) for i in range(5) for j in range(5, 20) if share(i, j)}
+
+
 def test_posterior_bound():
     """Fewer matches than asked for leave less than the miss probability; by summing the posterior on a grid."""
     x = np.linspace(0, 1, 200_001)

@@ -92,6 +92,32 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, sizes: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups, from rows of which those with equal first ``keys`` columns (integers) stand together: as many groups as
+    reach ``limit`` in the column ``sizes``, one at least."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)], 1)
+        cuts = np.append(0, np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1)
+        ends = np.concatenate([[0], np.cumsum(batch.column(sizes).to_numpy(zero_copy_only=False).astype(np.int64))])
+        taken = 0
+        for cut in cuts.tolist():
+            if size + ends[cut] - ends[taken] >= limit and (cut > 0 or (own[0] != last).any()):
+                if cut > taken:
+                    held.append(batch.slice(taken, cut - taken))
+                yield joined()
+                held, size, taken = [], 0, cut
+        held.append(batch.slice(taken))
+        size += int(ends[-1] - ends[taken])
+        last = own[-1]
+    if held:
+        yield joined()
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

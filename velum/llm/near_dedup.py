@@ -1,22 +1,25 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1. Each text's set of word shingles gives a MinHash signature of BANDS * ROWS values; texts of equal sets are one
-   class from then on, so thousands of copies cost one row.
-2. Classes that share a band's hash are banded candidates. Each bucket links its members to one of them (a star,
-   linear in the bucket); the connected parts of these links are families, and any pair of candidates is within one.
-3. A family is cut into blocks of bounded size, and every pair of blocks is compared by one task: signatures are
-   compared in batches of ``BATCH`` values, a pair being given up once the posterior probability that its similarity
-   reaches the threshold falls below ``MISS`` (uniform prior). Survivors are verified on their full shingle sets, the
-   likeliest first, unless links already found connect the two. So no pair is emitted but those that connect.
-   A family of more than ``FAMILY`` members is compared bucket by bucket instead, in the same blocks.
-4. The connected parts of the verified links are the components.
+   class from then on, so thousands of copies cost one row. Signatures are written once.
+2. Classes that share a band's values are banded candidates; only such pairs are ever compared. To ship each text once,
+   the classes that buckets connect (families) are compared in one task where a family fits one, else bucket by bucket
+   (buckets of equal members once).
+3. Within a task signatures of candidates are compared in batches of ``BATCH`` values, a pair being given up once the
+   posterior probability that its similarity reaches the threshold falls below ``MISS`` (uniform prior). Survivors are
+   verified on their full shingle sets, the likeliest first, unless links already found connect the two. So no pair is
+   emitted but those that connect.
+4. A bucket too large for one task is cut into blocks. Each block is compared in itself and with the bucket's first class,
+   which connects a large group of near copies in one pass. Then what isn't in a bucket's largest component is compared with
+   all blocks, pairs already connected left out. So every pair of a bucket is compared or connected, at any size.
+5. The connected parts of the verified links are the components.
 
 At BANDS, ROWS a pair at the threshold 0.85 shares a band with probability 1 - 4e-7 (0.8: 1 - 5e-5).
 
 Defined cases: null and empty texts, and texts without a word, have no shingles and are linked with nothing;
 fewer than five words are one shingle; a null doc_id is replaced by a hash of the text; rows of one doc_id
 are one node; an empty table gives an empty result; other columns are not looked at. Shingles are compared by
-64-bit hashes.
+64-bit hashes. Memory: a worker holds a slice of texts (one whole text at least, about 60 bytes a byte) or one block.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +36,13 @@ from velum.llm.common import (
     mix64,
     prefix_hash,
     range_hash,
-    small_batches,
     stream64,
     string,
     table,
     text_bytes,
     text_slices,
     tidy,
+    whole_groups,
     windows,
     words,
 )
@@ -52,12 +54,13 @@ BATCH = 25
 MISS = 1e-4
 PERCENT = 85
 STAGE_PERCENT = 80
-#: Shingles of a block of a family, and members of a family that is compared whole.
+#: Shingles and members of a block.
 BLOCK_SHINGLES = 300_000
 BLOCK_MEMBERS = 400
-FAMILY = 20_000
+#: Shingles of the blocks that one task gets, about.
+TASK_SHINGLES = 4_000_000
 #: Numbers (8 bytes each) up to which an id list is broadcast.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,25 +115,26 @@ def _row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
         return total[first[1:]] - total[first[:-1]]
 
 
+def _set_hash(hashes: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
+    return _row_sums(mix64(hashes ^ np.uint64(seed)), first)
+
+
+_C1, _C2 = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """(node, n_shingles, c1, c2, bands) of each row of (node, text); c1, c2 identify the set, bands are the bands' hashes."""
+    """(node, n_shingles, c1, c2, signature) of each row of (node, text); c1, c2 identify the set; a signature's values are in bytes."""
 
     def run(batches):
         for whole in batches:
             for batch in text_slices(whole):
                 hashes, first = shingles(batch.column(1))
-                with np.errstate(over="ignore"):
-                    c1, c2 = (_row_sums(mix64(hashes ^ np.uint64(s)), first) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-                    marks = signatures(hashes, first).astype(np.uint64).reshape(batch.num_rows, BANDS, ROWS)
-                    folded = np.zeros((batch.num_rows, BANDS), np.uint64) + stream64(9, BANDS)[None, :]
-                    for j in range(ROWS):
-                        folded = mix64(folded * np.uint64(0x2545F4914F6CDD1D) + marks[:, :, j])
-                n = np.diff(first)
-                bands = pa.ListArray.from_arrays(np.arange(0, batch.num_rows * BANDS + 1, BANDS, dtype=np.int32), folded.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), bands], names=["node", "n_shingles", "c1", "c2", "bands"])
+                c1, c2 = (_set_hash(hashes, first, c).view(np.int64) for c in (_C1, _C2))
+                marks = signatures(hashes, first)
+                raw = pa.Array.from_buffers(pa.binary(), len(marks), [None, pa.py_buffer((np.arange(len(marks) + 1) * marks.shape[1] * 4).astype(np.int32).tobytes()), pa.py_buffer(marks.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(c1), pa.array(c2), raw], names=["node", "n_shingles", "c1", "c2", "signature"])
 
-    small_batches(docs.sparkSession)
-    return docs.select("node", "text").mapInArrow(tidy(run), "node long, n_shingles long, c1 long, c2 long, bands array<long>")
+    return docs.select("node", "text").mapInArrow(tidy(run), "node long, n_shingles long, c1 long, c2 long, signature binary")
 
 
 def least_matches(percent: int, miss: float = MISS) -> list[int]:
@@ -162,31 +166,44 @@ class _Sets:
         return x
 
 
-def connect(ids: np.ndarray, left: np.ndarray, column: pa.Array, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is similar between the rows marked left and the others, or among all if none is left."""
-    hashes, first = shingles(column)
-    marks = signatures(hashes, first)
-    need = least_matches(percent)
-    out, sets, n = [], _Sets(len(ids)), len(ids)
+def candidates(marks: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): the pairs that share a band, between rows marked left and the others, or among all if none is left."""
+    bands = marks.reshape(len(marks), BANDS, ROWS).astype(np.uint64)
+    keys = np.zeros((len(marks), BANDS), np.uint64)
+    for j in range(ROWS):
+        keys = mix64(keys + bands[:, :, j] + np.uint64(j + 1))
+    rows, others = (np.flatnonzero(left), np.flatnonzero(~left)) if left.any() else (np.arange(len(marks)),) * 2
+    shared = np.zeros((len(rows), len(others)), bool)
+    for b in range(BANDS):
+        shared |= keys[rows, b][:, None] == keys[others, b][None, :]
+    if not left.any():
+        shared = np.triu(shared, 1)
+    a, b = np.nonzero(shared)
+    return rows[a], others[b]
+
+
+def connect(ids: np.ndarray, left: np.ndarray, known: np.ndarray, marks: np.ndarray, hashes: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect the similar candidates; rows of equal ``known`` component are connected already.
+
+    hashes[first[i]:first[i+1]] are row i's shingles, marks its signature.
+    """
+    out, sets = [], _Sets(len(ids))
+    seen: dict[int, int] = {}
+    for i, c in enumerate(known.tolist()):
+        sets.up[i] = sets.find(seen.setdefault(c, i))
+    a, b = candidates(marks, left)
     sizes = np.diff(first)
-    rows, others = (np.flatnonzero(left), np.flatnonzero(~left)) if left.any() else (np.arange(n), np.arange(n))
-    pairs = []
-    for a in rows.tolist():
-        b = others if left.any() else others[others > a]
-        b = b[ids[b] != ids[a]]
-        # The smaller set must hold the share of the larger that the threshold asks for.
-        b = b[(100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])) & (sizes[b] > 0)]
-        matches = np.zeros(len(b), np.int64)
-        for i, least in enumerate(need):
-            at = slice(i * BATCH, (i + 1) * BATCH)
-            matches += (marks[b, at] == marks[a, at]).sum(1)
-            b, matches = b[matches >= least], matches[matches >= least]
-            if not len(b):
-                break
-        pairs.append((np.full(len(b), a), b, matches))
-    if not pairs:
-        return out
-    a, b, matches = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    # The smaller set must hold the share of the larger that the threshold asks for.
+    good = (known[a] != known[b]) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])) & (sizes[b] > 0)
+    a, b = a[good], b[good]
+    matches = np.zeros(len(a), np.int64)
+    for i, least in enumerate(least_matches(percent)):
+        at = slice(i * BATCH, (i + 1) * BATCH)
+        matches += (marks[a, at] == marks[b, at]).sum(1)
+        good = matches >= least
+        a, b, matches = a[good], b[good], matches[good]
+        if not len(a):
+            return out
     own: dict[int, np.ndarray] = {}
 
     def members(i: int) -> np.ndarray:
@@ -210,43 +227,88 @@ def connect(ids: np.ndarray, left: np.ndarray, column: pa.Array, percent: int) -
     return out
 
 
+def _compare(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): verified links within the groups (g, i, j, id, left, known) of classes (id, n, c1, signature) with texts (id, text)."""
+    rows = groups.join(classes.select("id", "n", "c1", "signature"), "id").join(texts, "id")
+    total = groups.join(classes.select("id", "n"), "id").agg(F.sum("n").alias("n")).first()["n"] or 0
+    spark = groups.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_SHINGLES))
+    keys = ["g", "i", "j"]
+
+    def run(batches):
+        for batch in whole_groups(batches, 3, 6, BLOCK_SHINGLES):
+            hashes, first = shingles(batch.column(9))
+            g, i, j, ids, left, known, _, c1 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+            marks = np.frombuffer(pa.concat_arrays([batch.column(8)]).buffers()[2], np.uint32)[: batch.num_rows * BANDS * ROWS].reshape(batch.num_rows, BANDS * ROWS)
+            # Rows of one doc_id may have different texts: each text goes with its own signature, once.
+            right = _set_hash(hashes, first, _C1).view(np.int64) == c1
+            starts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            found: list[tuple[int, int]] = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                mine = a + np.flatnonzero(right[a:b])
+                if len(mine) < 2:
+                    continue
+                own_first = np.concatenate([[0], np.cumsum(np.diff(first)[mine])])
+                own = np.concatenate([hashes[first[k] : first[k + 1]] for k in mine.tolist()])
+                found += connect(ids[mine], left[mine].astype(bool), known[mine], marks[mine], own, own_first, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    dealt = rows.select(*keys, "id", "left", "known", "n", "c1", "signature", "text").repartition(tasks, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(tidy(run), "a long, b long")
+
+
 def _keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join with a written id list, broadcast if its counted size allows."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
 
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _block(seed: int, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(blocks)).cast("int")
+
+
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): verified links that connect the similar classes. docs: (node, text); classes: (id, n, bands)."""
-    keyed = classes.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub")
-    members = materialise(keyed.join(buckets, "key").select("key", "id", "hub"), "buckets")
+    """(a, b): verified links that connect the similar classes. docs: (node, text); classes: (id, n, c1, signature)."""
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * ROWS * 4 + 1, F.lit(ROWS * 4)))))
+    keyed = classes.select("id", band.alias("key"))
+    marks = [F.sum(F.xxhash64(F.lit(s), "id").cast("decimal(20,0)")).alias(f"s{s}") for s in (1, 2)]
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), *marks).filter("hub <> last")
+    distinct = materialise(buckets.groupBy("s1", "s2", "hub", "last").agg(F.min("key").alias("key")).select("key", "hub"), "buckets")
+    members = materialise(keyed.join(distinct, "key").select("key", "id", "hub").distinct(), "members")
     families = materialise(components(members.select(F.col("id").alias("a"), F.col("hub").alias("b"))), "families")
-    weighed = families.join(classes.select("id", "n"), "id")
+    weighed = families.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
     count = [F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")]
-    sized = materialise(weighed.groupBy("component").agg(*count), "sizes")
-    small = weighed.join(sized.filter(F.col("size") <= FAMILY), "component").select(F.col("component").alias("g1"), F.lit(0).cast("long").alias("g2"), "id", "size", "weight")
-    if sized.filter(F.col("size") > FAMILY).isEmpty():
-        grouped = small
-    else:
-        large = members.join(families.join(sized.filter(F.col("size") > FAMILY), "component").select("id"), "id", "left_semi").join(classes.select("id", "n"), "id")
-        per = large.groupBy("key").agg(*count)
-        grouped = small.union(large.join(per, "key").select(F.col("key").alias("g1"), F.lit(1).cast("long").alias("g2"), "id", "size", "weight"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = (
-        grouped.withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .select("g1", "g2", "id", "block", other.alias("other"))
-        .select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), ((F.col("block") < F.col("other"))).alias("left"), "id")
-    )
-    ids = materialise(families.select(F.col("id").alias("node")).distinct(), "ids")
+    sized = materialise(weighed.groupBy("component").agg(*count).withColumn("blocks", _blocks()), "sizes")
+    zero, no = F.lit(0), F.lit(False)
+    small = weighed.join(sized.filter("blocks = 1"), "component").select(F.col("component").alias("g"), F.lit(-1).alias("i"), zero.alias("j"), "id", no.alias("left"), F.col("id").alias("known"))
+    ids = materialise(families.select(F.col("id").alias("node")), "ids")
     texts = materialise(_keep_ids(docs, ids, "node", "left_semi").dropDuplicates(["node", "text"]).select(F.col("node").alias("id"), "text"), "texts")
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = connect(pdf["id"].to_numpy(), pdf["left"].to_numpy(bool), pa.array(pdf["text"], pa.string()), percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return tasks.join(texts, "id").groupBy("g1", "g2", "i", "j").applyInPandas(verify, "a long, b long")
+    many = sized.filter("blocks > 1").select("component")
+    if many.isEmpty():
+        return _compare(small, classes, texts, percent)
+    crowded = weighed.join(many, "component").select("id", "n")
+    large = members.join(crowded, "id")
+    per = large.groupBy("key").agg(*count).withColumn("blocks", _blocks()).select("key", "blocks")
+    cut = materialise(large.join(per, "key").select("key", "id", "hub", "n", "blocks", _block(1, "blocks").alias("block")), "blocks")
+    hubs = cut.filter("id = hub").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id")
+    once = cut.select("key", "block", "id").filter("id is not null").unionByName(hubs).distinct()
+    first = once.select(F.col("key").alias("g"), F.col("block").alias("i"), zero.alias("j"), "id", no.alias("left"), F.col("id").alias("known"))
+    found = materialise(_compare(small.unionByName(first), classes, texts, percent), "links-first")
+    # What isn't in its bucket's largest component meets all blocks.
+    parts = materialise(components(found).withColumnsRenamed({"component": "known"}), "parts")
+    placed = cut.filter("blocks > 1").join(parts, "id", "left").withColumn("known", F.coalesce("known", "id"))
+    most = placed.groupBy("key", "known").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("known", "c").alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    placed = materialise(placed.join(most.select("key", "most"), "key"), "placed")
+    outside = placed.filter("known <> most")
+    sizes = outside.groupBy("key").agg(*count).select("key", _blocks().alias("outer"))
+    several = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = outside.join(sizes, "key").withColumn("i", _block(2, "outer")).select(F.col("key").alias("g"), "i", several("blocks").alias("j"), "id", F.lit(True).alias("left"), "known")
+    within = placed.join(sizes, "key").select(F.col("key").alias("g"), several("outer").alias("i"), F.col("block").alias("j"), "id", no.alias("left"), "known")
+    return found.unionByName(_compare(out.unionByName(within), classes, texts, percent))
 
 
 def _node(key: Column, text: Column) -> Column:
@@ -259,7 +321,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     sketched = materialise(sketch(narrow), "sketch")
     some = F.col("n_shingles") > 0
     classes = materialise(
-        sketched.filter(some).groupBy("c1", "c2").agg(F.min("node").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
+        sketched.filter(some).groupBy("c1", "c2").agg(F.min("node").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes"
     )
     found = links(narrow, classes, percent)
     # Rows of one set hang on its class; rows of one doc_id and different sets are one node.

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm.common import materialise, mix64, prefix_hash, range_hash, string, table, text_bytes, text_slices, tidy
+from velum.llm.common import materialise, mix64, prefix_hash, range_hash, string, table, text_bytes, text_slices, tidy, whole_groups
 
 LENGTH = 200
 GRAM = 48
@@ -294,8 +294,7 @@ def _with_bodies(columns: list[np.ndarray], data: np.ndarray, places: np.ndarray
 def _sort_batches(keep: str):
     """Rows (h, n, node, t, start, windows, body), those of one h together: the repeated stretches of each."""
 
-    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes_of(rows.column(6))
         n, node, t, start, windows = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
         by = np.lexsort((start, t, node))
@@ -312,27 +311,8 @@ def _sort_batches(keep: str):
         )
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        size, last = 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            cuts = np.append(np.append(0, np.flatnonzero(h[1:] != h[:-1]) + 1), batch.num_rows)
-            taken = 0
-            sizes = np.cumsum(batch.column(5).to_numpy(zero_copy_only=False).astype(np.int64) + LENGTH - 1)
-            for cut in cuts[:-1].tolist():
-                so_far = size + int(sizes[cut - 1] if cut else 0) - int(sizes[taken - 1] if taken else 0)
-                if so_far >= SORT_BYTES and (cut > 0 or h[0] != last):
-                    if cut > taken:
-                        held.append(batch.slice(taken, cut - taken))
-                    yield found(held)
-                    held, size, taken = [], 0, cut
-            held.append(batch.slice(taken))
-            size += int(sizes[-1]) - int(sizes[taken - 1] if taken else 0)
-            last = h[-1]
-        if held:
-            yield found(held)
+        for rows in whole_groups(batches, 1, 5, SORT_BYTES * 77 // 276):
+            yield found(rows)
 
     return run
 

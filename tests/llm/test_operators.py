@@ -184,6 +184,46 @@ def test_crf_marginals_by_enumeration():
         assert np.allclose(got[c, :n], place / weight) and np.allclose(pairs[c], move / weight) and np.isclose(total[c], np.log(weight))
 
 
+def test_crf_slopes_by_differences():
+    r = np.random.default_rng(7)
+    x, first, labels = r.normal(size=(14, 3)), np.array([0, 5, 5, 6, 14]), np.array([1, 0, 0, 1])
+    weights, moves = r.normal(size=3), r.normal(size=(2, 2))
+    _, by_weights, by_moves = quality_crf.objective(x, first, labels, weights, moves)
+    for values, slopes in ((weights, by_weights), (moves, by_moves)):
+        for at in np.ndindex(values.shape):
+            up, down = values.copy(), values.copy()
+            up[at] += 1e-5
+            down[at] -= 1e-5
+            loss = [quality_crf.objective(x, first, labels, *((v, moves) if values is weights else (weights, v)))[0] for v in (up, down)]
+            assert np.isclose((loss[0] - loss[1]) / 2e-5, slopes[at], atol=1e-6)
+    # The loss is the negative log likelihood of the labels, by enumeration.
+    want = 0.0
+    for c, n in enumerate(np.diff(first)):
+        s = x[first[c] : first[c + 1]] @ weights
+        score = lambda path: sum(s[i] for i, y in enumerate(path) if y) + sum(moves[a, b] for a, b in itertools.pairwise(path))  # noqa: B023, E731
+        if n:
+            want += np.log(sum(np.exp(score(p)) for p in itertools.product((0, 1), repeat=int(n)))) - score([labels[c]] * int(n))
+    penalty = quality_crf.L2 / 2 * ((weights**2).sum() + (moves**2).sum())
+    assert np.isclose(quality_crf.objective(x, first, labels, weights, moves)[0], want / 14 + penalty)
+
+
+def test_crf_sample_is_bounded_and_fixed(spark, monkeypatch):
+    """Ties, repeated ids and long texts: each chosen id teaches once, whatever the order of the rows."""
+    monkeypatch.setattr(quality_crf, "TRAIN_PER_LABEL", 20)
+    r = random.Random(3)
+    rows = [(i, prose(i, 40) if i % 2 else "# $ %\n" * (20_000 if i == 0 else 60)) for i in range(400)] + [(5, prose(999, 10)), (5, prose(5, 40))]
+    labels = [(i, i % 2) for i in range(400)] * 2
+    seen = []
+    for _ in range(2):
+        r.shuffle(rows)
+        r.shuffle(labels)
+        caught = {}
+        monkeypatch.setattr(quality_crf, "Model", lambda x, first, y, caught=caught: caught.update(n=len(x), x=x.sum(), chains=len(y)))
+        quality_crf.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+        seen.append(caught)
+    assert seen[0]["n"] == seen[1]["n"] <= 40 * quality_crf.TRAIN_LINES and np.isclose(seen[0]["x"], seen[1]["x"])
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}

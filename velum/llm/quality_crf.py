@@ -4,10 +4,13 @@ Each line with a word has features of its own (shape, signs, repetition) and its
 bad. Forward-backward gives each line's probability of being good given all lines of its text, and the text's score is their mean
 weighted by length.
 
-Training takes the labelled texts' labels as the labels of their lines, from a documented bound of TRAIN_PER_LABEL texts of at most
-TRAIN_BYTES of each label; longer chains are cut into pieces of PIECE lines for training only. Scoring takes whole texts.
+Training takes the labelled texts' labels as the labels of their lines, from a documented bound of TRAIN_PER_LABEL texts of each label
+(those with the least hashes of their doc_id) and TRAIN_LINES lines of each text; chains are cut into pieces of PIECE lines for training
+only. So the driver gets 2 * TRAIN_PER_LABEL * TRAIN_LINES lines at most (37 MB), and the fit's cost is bounded. Scoring takes whole texts.
 
-Defined cases: a text without a line with a word (also null and empty ones) gets the share of good texts among those learned from;
+Memory: a worker holds a slice of texts, one whole text at least (about 150 bytes a byte of one-letter lines, less else).
+
+Defined cases: of texts that share a doc_id the least is learned from; a text without a line with a word (also null and empty ones) gets the share of good texts among those learned from;
 without any label to learn from every score is 0.5; null labels teach nothing; repeated rows are scored each; empty tables
 give an empty result; other columns are not looked at.
 """
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 
 from velum.llm.common import mix64, prefix_hash, range_hash, table, text_bytes, text_slices, tidy, words
 
-TRAIN_PER_LABEL = 1500
-TRAIN_BYTES = 40_000
+TRAIN_PER_LABEL = 1_000
+TRAIN_LINES = 256
 PIECE = 64
-STEPS = 250
+STEPS = 200
 RATE = 0.1
 L2 = 1e-3
 
@@ -139,6 +142,23 @@ def _padded(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, sizes
 
 
+def objective(x: np.ndarray, first: np.ndarray, labels: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of a line with its penalty, and its slopes by weights and moves; all lines of a chain have its label."""
+    sizes = np.diff(first)
+    y = np.repeat(labels, sizes).astype(np.float64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    seen = np.zeros((2, 2))
+    for label in (0, 1):
+        seen[label, label] = np.maximum(sizes[labels == label] - 1, 0).sum()
+    scores = x @ weights
+    padded, _ = _padded(scores, first)
+    marginals, pairs, total = forward_backward(np.stack([np.zeros_like(padded), padded], 2), sizes, moves)
+    n = len(x)
+    loss = (total[sizes > 0].sum() - (scores * y).sum() - (seen * moves).sum()) / n + L2 / 2 * ((weights**2).sum() + (moves**2).sum())
+    slope = x.T @ (marginals[row, np.arange(n) - first[:-1][row]] - y) / n + L2 * weights
+    return float(loss), slope, (pairs.sum(0) - seen) / n + L2 * moves
+
+
 class Model:
     """Weights of label 1 against label 0, and the moves between labels."""
 
@@ -148,20 +168,10 @@ class Model:
         self.mean, self.scale = features.mean(0), np.maximum(features.std(0), 1e-3)
         x = self._scaled(features)
         self.weights, self.moves = np.zeros(x.shape[1]), np.zeros((2, 2))
-        sizes = np.diff(first)
-        y = np.repeat(labels, sizes).astype(np.float64)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(x)) - first[:-1][row]
-        seen = np.zeros((2, 2))
-        for label in (0, 1):
-            seen[label, label] = np.maximum(sizes[labels == label] - 1, 0).sum()
         parameters = [self.weights, self.moves]
         slow = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
-        for step in range(1, STEPS + 1):  # Adam on the mean log likelihood of a line
-            padded, _ = _padded(x @ self.weights, first)
-            scores = np.stack([np.zeros_like(padded), padded], 2)
-            marginals, pairs, _ = forward_backward(scores, sizes, self.moves)
-            slopes = [x.T @ (marginals[row, place] - y) / len(x) + L2 * self.weights, (pairs.sum(0) - seen) / len(x) + L2 * self.moves]
+        for step in range(1, STEPS + 1):  # Adam
+            _, *slopes = objective(x, first, labels, self.weights, self.moves)
             for p, g, m in zip(parameters, slopes, slow, strict=True):
                 m[0] += 0.1 * (g - m[0])
                 m[1] += 0.01 * (g * g - m[1])
@@ -198,27 +208,29 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from the labelled texts: docs (doc_id, text), labels (doc_id, quality). None if no label or no line is there."""
     good = F.col("quality").cast("int")
-    order = W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sizes = docs.filter(F.octet_length("text") <= TRAIN_BYTES).select("doc_id")
-    chosen = (
+    labelled = (
         labels.filter(good.isin(0, 1) & F.col("doc_id").isNotNull())
         .select("doc_id", good.alias("y"))
         .distinct()
-        .join(sizes, "doc_id", "left_semi")
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= TRAIN_PER_LABEL)
-        .select("doc_id", "y")
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
+        .withColumn("h", F.xxhash64("doc_id"))
     )
+    # The least hashes of each label: all but a few times as many rows as are wanted go before the window, by the counted share.
+    counts = F.broadcast(labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")))
+    share = (F.col("h").cast("double") / 2.0**63 + 1) / 2
+    few = labelled.join(counts, "y").filter(share * F.col("n") <= 2 * TRAIN_PER_LABEL + 400)
+    order = W.partitionBy("y").orderBy("h", "doc_id")
+    chosen = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRAIN_PER_LABEL).select("doc_id", "y")
 
     def run(batches):
         for whole in batches:
             for batch in text_slices(whole):
                 own, _, first = line_features(*text_bytes(batch.column(1)))
-                raw = [own[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                raw = [own[a : min(b, a + TRAIN_LINES)].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["y", "x"])
 
-    # At most 2 * TRAIN_PER_LABEL rows, so their ids may be broadcast.
-    joined = docs.join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= TRAIN_BYTES).select("y", "text")
+    # At most 2 * TRAIN_PER_LABEL rows, so their ids may be broadcast; each gives one row.
+    joined = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     found = sorted((r["y"], bytes(r["x"])) for r in joined.mapInArrow(tidy(run), "y int, x binary").collect())
     parts, labels_, sizes_ = [], [], []
     for y, raw in found:

@@ -25,7 +25,7 @@ import base64
 import functools
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,9 @@ class Codec:
         self.vocab: list[bytes] = [b""] * self.n
         for token, r in ranks.items():
             self.vocab[r] = token
+        #: All tokens end to end, and where each begins.
+        self.flat = np.frombuffer(b"".join(self.vocab), np.uint8)
+        self.begin = np.concatenate([[0], np.cumsum([len(t) for t in self.vocab])])
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, r in ranks.items():
@@ -210,8 +213,11 @@ class Codec:
         kept = np.concatenate([[0], np.cumsum(alive)])
         return tok[:n][alive].astype(np.uint32), kept[bounds]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        sizes = self.begin[ids + 1] - self.begin[ids]
+        at = np.repeat(self.begin[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.flat[at].tobytes()
 
     def encode_alone(self, text: bytes) -> np.ndarray:
         """The ids of one text, by its pre-tokens as they stand."""
@@ -383,10 +389,10 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                 if len(words.known) > CACHE_WORDS:
                     words.clear()
                 for own, text in zip(codec.encode_rows(words, column), texts, strict=True):
-                    back = codec.decode(own.tolist())
+                    back = codec.decode(own)
                     if back != text.as_py():  # two pre-tokens with one 64-bit hash: encoded again, apart
                         own = codec.encode_alone(text.as_py())
-                        back = codec.decode(own.tolist())
+                        back = codec.decode(own)
                     counts.append(len(own))
                     digests.append(hashlib.sha256(own.tobytes()).hexdigest())
                     decoded.append(hashlib.sha256(back).hexdigest())

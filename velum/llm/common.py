@@ -37,11 +37,48 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/velum-shared"
 
 
+#: Paths written within each open :func:`scratch`, the innermost last.
+_WRITTEN: list[list[str]] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/velum-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.velum_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` gave and nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.velum_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Operators' intermediate tables written inside are deleted at the end, when their results have been used.
+
+    Yields a function that takes tables of :func:`materialise` which stay. Not for several threads at once.
+    """
+    mine: list[str] = []
+    stays: set[str] = set()
+    _WRITTEN.append(mine)
+    try:
+        yield lambda t: stays.add(t.velum_path)
+    finally:
+        _WRITTEN.remove(mine)
+        for path in mine:
+            if path not in stays:
+                _delete(spark, path)
 
 
 def string(c: Column | str) -> Column:
@@ -72,9 +109,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 2,000 rows, so that an executor and its workers hold few texts at once; a session's own setting stays."""
+    """Arrow batches of 2,000 rows, so that an executor and its workers hold few texts at once.
+
+    It is the one setting that this package makes, as the number of rows is set nowhere else, and every operator that runs Python makes
+    it. A value that the session was given, also 10,000, stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(key):
         spark.conf.set(key, "2000")
 
 

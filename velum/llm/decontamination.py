@@ -7,15 +7,16 @@ Windows of an item's size are mapped by random walks (Chakraborty, Goldenberg, K
 at each of 3n steps and moves on or stays by a random bit of (step, word), so sequences at a small edit distance get
 outputs at a small Hamming distance. Locality-sensitive hashing by bit sampling looks each window up: TABLES times per
 walk, SAMPLES of the output positions make a key, and windows and items of one length that share a key are candidates.
-WALKS * TABLES repetitions reach ``RECALL`` at the largest allowed distance (tests measure it). Candidates are verified
+WALKS * TABLES repetitions reach ``RECALL`` at the largest allowed distance (a test measures it at floor(MAX_EDITS * n) edits). Candidates are verified
 by the exact edit distance of the item to the best stretch around the window.
 
 A window is embedded only if it can match: k edits leave at least n - q + 1 - qk of an item's q-grams of words intact,
 and q is the largest for which that is positive, so a window without one of them in place is no match. That test loses
 nothing and spares all but a small part of the windows of clean text.
 
-The benchmark is read in blocks of ``BLOCK_BYTES``, each broadcast in its turn against all documents, so its size has no
-bound. Documents are never shuffled, and no pair of documents is ever made.
+The benchmark is read in blocks of ``BLOCK_BYTES``, PASS_BLOCKS of them broadcast in their turn against all documents, so its size
+has no bound (its passes grow with it). Memory: a worker holds those indexes, a slice of texts (one whole text at least) and arrays of
+BLOCK_NUMBERS, or of one window where an item is longer. Documents are never shuffled, and no pair of documents is ever made.
 
 Defined cases: null or empty texts, and items without a word, match nothing; equal items are found each; repeated rows
 are judged each; empty tables give an empty result; other columns are not looked at.
@@ -38,10 +39,12 @@ WALKS, TABLES, SAMPLES = 8, 4, 3
 RECALL = 0.99
 MAX_GRAM = 3
 BLOCK_BYTES = 4 << 20
-#: Windows that are embedded at once.
-BLOCK_WINDOWS = 4_000
+#: Numbers (8 bytes each) of the widest array for the windows that are embedded, or compared, at once: fewer windows of longer items.
+BLOCK_NUMBERS = 2_000_000
+#: Blocks that are searched in one pass over the documents, each after the other.
+PASS_BLOCKS = 4
 #: Numbers (8 bytes each) up to which a list of contaminated rows is broadcast.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -116,6 +119,17 @@ def best_edits(item: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> np.ndar
     return best
 
 
+def _blocks(sizes: np.ndarray, times: int):
+    """Row numbers in blocks of like size, ``times`` * the largest size * rows at most BLOCK_NUMBERS (one row at least)."""
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        to = at + max(1, BLOCK_NUMBERS // (times * int(sizes[order[at]])))
+        to = at + max(1, BLOCK_NUMBERS // (times * int(sizes[order[min(to, len(order)) - 1]])))
+        yield order[at:to]
+        at = min(to, len(order))
+
+
 class Index:
     """A block of items: their q-grams and LSH tables."""
 
@@ -126,12 +140,11 @@ class Index:
         self.ids = np.array(ids, np.int64)[some]
         self.sizes = sizes[some]
         self.edits = np.floor(MAX_EDITS * self.sizes + 1e-9).astype(np.int64)
-        width = int(self.sizes.max(initial=1))
-        self.words = np.zeros((len(some), width), np.uint64)
+        self.flat = hashes
+        self.starts = first[some]
         grams: dict[int, list] = {}
         for i, s in enumerate(some.tolist()):
             own = hashes[first[s] : first[s + 1]]
-            self.words[i, : len(own)] = own
             n, k = len(own), int(self.edits[i])
             q = max([q for q in range(1, MAX_GRAM + 1) if n - q + 1 - q * k >= 1], default=1)
             grams.setdefault(q, []).append((_q_hashes(own, q), i))
@@ -144,11 +157,18 @@ class Index:
             bits = np.zeros(1 << 20, bool)
             bits[(h >> np.uint64(44)).astype(np.int64)] = True
             self.grams[q] = (h[by], item[by], place[by], bits)
-        keys = lsh_keys(self.words, self.sizes) if len(some) else np.zeros((0, WALKS * TABLES), np.uint64)
+        keys = np.zeros((len(some), WALKS * TABLES), np.uint64)
+        for part in _blocks(self.sizes, 3):
+            keys[part] = lsh_keys(self.words(part, int(self.sizes[part].max())), self.sizes[part])
         flat = keys.ravel()
         by = np.argsort(flat, kind="stable")
         self.keys, self.key_item = flat[by], by // keys.shape[1]
 
+    def words(self, items: np.ndarray, width: int) -> np.ndarray:
+        """(items, width): the items' words, 0 after their end."""
+        at = np.arange(width)[None, :]
+        return np.where(at < self.sizes[items][:, None], self.flat[np.minimum(self.starts[items][:, None] + at, len(self.flat) - 1)], np.uint64(0))
+
     def windows(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, start, size) of the item-sized windows that can match, each once; a start may lie before its row's."""
         row = rows_of(first)
@@ -173,8 +193,7 @@ class Index:
         """(row, item number, edits) of each item found in a row, once."""
         row, start, size = self.windows(h, first)
         hits: dict[tuple[int, int], int] = {}
-        for a in range(0, len(row), BLOCK_WINDOWS):
-            part = slice(a, a + BLOCK_WINDOWS)
+        for part in _blocks(size, 3):
             self._search(h, first, row[part], start[part], size[part], hits)
         pairs = np.array(list(hits), np.int64).reshape(-1, 2)
         return pairs[:, 0], pairs[:, 1], np.array(list(hits.values()), np.int64)
@@ -195,11 +214,11 @@ class Index:
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         pairs = np.unique(np.stack([np.repeat(window, n), self.key_item[entry]]), axis=1)
         pairs = pairs[:, self.sizes[pairs[1]] == size[pairs[0]]]
-        for a in range(0, pairs.shape[1], BLOCK_WINDOWS):
-            window, item = pairs[:, a : a + BLOCK_WINDOWS]
-            slack = int(self.edits[item].max())
+        for part in _blocks(self.sizes[pairs[1]], 2):
+            window, item = pairs[:, part]
+            width, slack = int(self.sizes[item].max()), int(self.edits[item].max())
             text = self._cut(h, first[row[window]], first[row[window] + 1], start[window] - slack, width + 2 * slack)
-            edits = best_edits(self.words[item, :width], self.sizes[item], text)
+            edits = best_edits(self.words(item, width), self.sizes[item], text)
             good = edits <= self.edits[item]
             for r, i, e in zip(row[window[good]].tolist(), item[good].tolist(), edits[good].tolist(), strict=True):
                 hits[r, i] = min(e, hits.get((r, i), e))
@@ -216,21 +235,25 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("do
     small_batches(docs.sparkSession)
     narrow = docs.select(*keep, F.col(text).alias("velum_text"))
     found = []
-    for b in range(blocks):
-        rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    for p in range(0, blocks, PASS_BLOCKS):
+        indexes = []
+        for b in range(p, min(p + PASS_BLOCKS, blocks)):
+            rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+            indexes.append(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        shared = spark.sparkContext.broadcast(indexes)
+        del indexes  # the driver keeps the broadcast's file alone
 
         def run(batches, shared=shared):
-            index = shared.value
             for whole in batches:
                 for batch in text_slices(whole):
                     h, first = word_hashes(batch.column(len(keep)))
-                    row, item, edits = index.search(h, first)
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(i).take(at) for i in range(len(keep))), pa.array(index.ids[item]), pa.array(index.sizes[item]), pa.array(edits)],
-                        names=[*keep, "item_id", "n_item_words", "edits"],
-                    )
+                    for index in shared.value:
+                        row, item, edits = index.search(h, first)
+                        at = pa.array(row)
+                        yield pa.RecordBatch.from_arrays(
+                            [*(batch.column(i).take(at) for i in range(len(keep))), pa.array(index.ids[item]), pa.array(index.sizes[item]), pa.array(edits)],
+                            names=[*keep, "item_id", "n_item_words", "edits"],
+                        )
 
         found.append(narrow.mapInArrow(tidy(run), schema))
     return reduce(DataFrame.union, found)
@@ -244,7 +267,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that contain no benchmark item."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01null")), string("text"))
-    marked = docs.withColumn("velum_key", key)
-    bad = materialise(contaminated(marked, table(spark, sf_dir, "benchmark"), ("velum_key",)).select("velum_key").distinct(), "contaminated")
-    return marked.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "velum_key", "left_anti").select(*docs.columns)
+    # Two hashes of different seeds stand for a row: one of 64 bits could drop a clean document in a large table.
+    keys = ["velum_key1", "velum_key2"]
+    marked = docs
+    for i, k in enumerate(keys):
+        marked = marked.withColumn(k, F.xxhash64(F.lit(i), F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01null")), string("text")))
+    bad = materialise(contaminated(marked, table(spark, sf_dir, "benchmark"), tuple(keys)).select(*keys).distinct(), "contaminated")
+    return marked.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, keys, "left_anti").select(*docs.columns)

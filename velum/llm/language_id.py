@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from velum.llm.common import table, text_bytes, text_slices, tidy
+from velum.llm.common import small_batches, table, text_bytes, text_slices, tidy
 
 N, BITS = 3, 7
 TRAIN_PER_LANG = 300
@@ -142,6 +142,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of every row with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     fields = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] + ["lang_pred string", "score double"]
 
     def run(batches):

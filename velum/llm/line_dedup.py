@@ -75,10 +75,13 @@ def clean(docs: DataFrame, host: Column, text: str = "text", max_ratio: float =
             found.select(F.col("h").alias("velum_h"), F.col("lines").alias("velum_lines"), salts.alias("velum_salt")), ["velum_h", "velum_salt"], "left"
         )
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: ~(F.array_contains(F.col("velum_lines"), F.xxhash64(x)) & x.rlike(_WORD)))
-    some = F.col("velum_lines").isNotNull()
+    # Hash-based: the page's own boilerplate, of which there is little or none, out of its host's.
+    own = F.array_intersect(_marked(F.col(text)), F.col("velum_lines"))
+    kept = F.filter(lines, lambda x: ~(F.array_contains(F.col("velum_own"), F.xxhash64(x)) & x.rlike(_WORD)))
+    some = F.size("velum_own") > 0
     return (
-        marked.withColumn("velum_kept", F.when(some, kept))
+        marked.withColumn("velum_own", F.when(F.col("velum_lines").isNotNull(), own))
+        .withColumn("velum_kept", F.when(some, kept))
         .withColumn("velum_dropped", F.when(some, F.coalesce(F.size(lines) - F.size("velum_kept"), F.lit(0))).otherwise(0).cast("long"))
         .withColumn(text, F.when(F.col("velum_dropped") > 0, F.array_join("velum_kept", "\n")).otherwise(F.col(text)))
         .select(*[c for c in docs.columns], "velum_dropped")

@@ -36,6 +36,7 @@ from velum.llm.common import (
     mix64,
     prefix_hash,
     range_hash,
+    small_batches,
     stream64,
     string,
     table,
@@ -134,6 +135,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 raw = pa.Array.from_buffers(pa.binary(), len(marks), [None, pa.py_buffer((np.arange(len(marks) + 1) * marks.shape[1] * 4).astype(np.int32).tobytes()), pa.py_buffer(marks.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(c1), pa.array(c2), raw], names=["node", "n_shingles", "c1", "c2", "signature"])
 
+    small_batches(docs.sparkSession)
     return docs.select("node", "text").mapInArrow(tidy(run), "node long, n_shingles long, c1 long, c2 long, signature binary")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from velum.llm.common import mix64, prefix_hash, range_hash, table, text_bytes, text_slices, tidy, words
+from velum.llm.common import mix64, prefix_hash, range_hash, small_batches, table, text_bytes, text_slices, tidy, words
 
 TRAIN_PER_LABEL = 1_000
 TRAIN_LINES = 256
@@ -207,6 +207,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from the labelled texts: docs (doc_id, text), labels (doc_id, quality). None if no label or no line is there."""
+    small_batches(docs.sparkSession)
     good = F.col("quality").cast("int")
     labelled = (
         labels.filter(good.isin(0, 1) & F.col("doc_id").isNotNull())
@@ -248,6 +249,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns of every row and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
 
     def run(batches):

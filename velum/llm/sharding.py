@@ -7,20 +7,26 @@ to itself (its share of them), and removing one only moves the records it held.
 Defined cases: a null key is one fixed key; a null text has no bytes; repeated rows are all kept and
 each gets a slot; an empty table gives an empty result; other columns are not touched or looked at.
 Positions within a shard come from counts per (shard, bucket), and equal rows are counted before the
-shuffle, so neither a hot key nor a large shard is ever sorted in one task.
+shuffle, so neither a hot key nor a large shard is ever sorted in one task. The scores are computed once and written
+without texts; the number of buckets grows with the rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from velum.llm.common import string, table
+from velum.llm.common import materialise, string, table
 
 SHARDS = 40
-#: Parts of a shard that are numbered apart; shards * BUCKETS counts are broadcast, whatever the rows.
+#: Parts of a shard that are numbered apart, and rows of a part beyond which there are that many times more parts.
 BUCKETS = 64
+BUCKET_ROWS = 100_000
+#: Parts of all shards up to which their counts (24 bytes each) are broadcast.
+BROADCAST_PARTS = 200_000
 RECORD_OVERHEAD = 16
 
 
@@ -49,7 +55,7 @@ def assign(docs: DataFrame, weights: list[float] | None = None, key: str = "doc_
     weights = weights or [1.0] * SHARDS
     k = record_key(F.col(key))
     body = string(text)
-    placed = (
+    written = materialise(
         docs.select(
             F.col(key).alias("key"),
             (F.octet_length(body) + RECORD_OVERHEAD).cast("long").alias("size"),
@@ -64,9 +70,12 @@ def assign(docs: DataFrame, weights: list[float] | None = None, key: str = "doc_
             "key", "size", "text_crc32", "n",
             (-F.col("best.neg")).alias("shard"),
             (-F.greatest("best", "next")["neg"]).alias("grown_shard"),
-            F.pmod(F.crc32(F.concat_ws("/", "k", F.col("size").cast("string"), F.col("text_crc32").cast("string")).cast("binary")), F.lit(BUCKETS)).alias("bucket"),
-        )
+            F.crc32(F.concat_ws("/", "k", F.col("size").cast("string"), F.col("text_crc32").cast("string")).cast("binary")).alias("crc"),
+        ),
+        "placed",
     )
+    buckets = BUCKETS * max(1, math.ceil(written.count() / (len(weights) * BUCKETS * BUCKET_ROWS)))
+    placed = written.withColumn("bucket", F.pmod("crc", F.lit(buckets))).drop("crc")
     starts = (
         placed.groupBy("shard", "bucket")
         .agg(F.sum("n").alias("held"))
@@ -75,7 +84,7 @@ def assign(docs: DataFrame, weights: list[float] | None = None, key: str = "doc_
     )
     within = W.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32")
     return (
-        placed.join(F.broadcast(starts), ["shard", "bucket"])
+        placed.join(F.broadcast(starts) if buckets * len(weights) <= BROADCAST_PARTS else starts, ["shard", "bucket"])
         .withColumn("from", F.col("start") + F.sum("n").over(within) - F.col("n"))
         .withColumn("slot", F.explode(F.sequence("from", F.col("from") + F.col("n") - 1)))
         .select(F.col("key").alias(key), "size", "text_crc32", "shard", "grown_shard", "slot")

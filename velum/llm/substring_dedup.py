@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm.common import materialise, mix64, prefix_hash, range_hash, string, table, text_bytes, text_slices, tidy, whole_groups
+from velum.llm.common import materialise, mix64, prefix_hash, range_hash, small_batches, string, table, text_bytes, text_slices, tidy, whole_groups
 
 LENGTH = 200
 GRAM = 48
@@ -397,6 +397,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "none") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row; kept is the bytes that stay, as binary."""
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, key, text)
     copies = materialise(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("one")).filter("copies > 1").select("digest", "one"), "copies")
     marked = rows.join(_small(copies), "digest", "left")

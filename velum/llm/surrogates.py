@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm.common import materialise, string, table
+from velum.llm.common import discard, materialise, string, table
 
 #: Bytes of replacements (with 64 for each row and value) up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -323,10 +323,13 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
             "collisions",
         )
         if bad.isEmpty():
+            discard(bad)
             break
         again = pooled.join(bad, ["pool", "surrogate"], "left").withColumn("redo", F.coalesce(F.col("taken") | (F.struct("kind", "norm") != F.col("first")), F.lit(False)))
         again = again.withColumn("attempt", F.when(F.col("redo"), F.col("attempt") + 1).otherwise(F.col("attempt")))
+        before = now
         now = materialise(again.withColumn("surrogate", F.when(F.col("redo"), fresh).otherwise(F.col("surrogate"))).select(*columns), "surrogates")
+        discard(before, bad)
     return now.select("kind", "norm", "surrogate")
 
 

@@ -80,6 +80,23 @@ def test_synchronise_looks_only_for_what_changed(spark):
     cands = D.candidates(D.findings(docs))
     known = R.occurrences(docs, cands.filter("ordinal = 1")).withColumn("start", F.lit(99))
     assert sorted(r["start"] for r in R.synchronise(docs, cands, known).collect()) == [7, 99]
+    moved = docs_of(spark, ["hola a todos, a@b.mx c@d.mx"])
+    assert sorted(r["start"] for r in R.synchronise(moved, cands, known).collect()) == [14, 21]
+    assert R.redact(moved, cands, R.synchronise(moved, cands, known)).first()["redacted"] == "hola a todos, [CORREO 1] [CORREO 2]"
+
+
+def test_one_pass_redacts_as_the_tables_do(spark):
+    texts = [CONTRACT, None, "", "nada", "a@b.mx, c@d.mx y A@B.MX " * 3, "el C. Juan Pérez y JUAN  PÉREZ, tel. (55) 1234-5678, 2024", "\ufdd0 a@b.mx \ufdd1"]
+    docs = docs_of(spark, texts)
+    want = R.redact(docs, D.candidates(D.findings(docs))).orderBy("doc_id").collect()
+    assert P.redact_documents(docs).orderBy("doc_id").collect() == want
+    assert want[6]["redacted"] == "\ufdd0 [CORREO 1] \ufdd1"
+
+
+def test_saves_within_the_period_are_one(spark):
+    rows = [("a", 0, 1), ("a", 300, 1), ("a", 700, 1), ("a", 1101, 1), ("a", 1101, 2), ("b", 5, 1)]
+    saves = spark.createDataFrame(rows, "id string, ms long, n int").withColumn("updated_at", F.timestamp_millis("ms"))
+    assert sorted((r["id"], r["ms"], r["n"]) for r in H.last_writes(saves, 400, "n").collect()) == [("a", 700, 1), ("a", 1101, 2), ("b", 5, 1)]
 
 
 def test_review(spark):
@@ -113,7 +130,8 @@ def test_chunks_overlap_and_end():
 def test_model_layer(spark):
     text = "La doctora Ana Ruiz Soto de Norte Azul escribe.\nAna Ruiz firma. Correo a@b.mx. " + "relleno " * 300
 
-    def model(chunk):
+    def model(instructions, chunk):
+        assert instructions == M.INSTRUCTIONS
         if "La doctora" not in chunk:
             raise ValueError("nothing")
         return {"names": ["Ana Ruiz", " ana  ruiz", "Ana Ruiz Soto", "x"], "organizations": ["Norte Azul"], "emails": ["a@b.mx"]}
@@ -129,8 +147,8 @@ def test_slow_models_time_out(spark):
     import time
 
     parts = M.chunks(docs_of(spark, ["uno"]))
-    out = M.generate(parts, lambda c: time.sleep(1) or {}, timeout=0.05).collect()
-    assert [r["ok"] for r in out] == [False] and M.gather(M.generate(parts, lambda c: {"names": ["a"] * 30})).first()["names"] == ["a"] * 24
+    out = M.generate(parts, lambda _, c: time.sleep(1) or {}, timeout=0.05).collect()
+    assert [r["ok"] for r in out] == [False] and M.gather(M.generate(parts, lambda _, c: {"names": ["a"] * 30})).first()["names"] == ["a"] * 24
 
 
 def docx(parts):
@@ -158,6 +176,23 @@ def test_files(spark, tmp_path):
     out = {r["path"].rpartition("/")[2]: r["text"] for r in S.extract(read, pages, lambda path, content: content.decode("latin-1")).collect()}
     assert out["e.pdf"] == f"{long.strip()}\nleído\nsolo" and out["i.doc"] == "old"
 
+    def failing(path, content):
+        raise OSError("no pages")
+
+    assert {r["error_code"] for r in S.extract(read.filter("path like '%.pdf'"), failing, failing).collect()} == {"unreadablePDF"}
+    gone = read.withColumn("content", F.when(F.col("path").endswith(".docx"), None).otherwise(F.col("content")))
+    assert {r["path"].rpartition("/")[2] for r in S.extract(gone).collect() if r["error_code"] == "readFailed"} == {"c.docx", "d.docx", "h.docx"}
+    plan = S.extract(read, pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1
+
+
+def test_vanished_files_are_reported(spark, tmp_path):
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("uno")
+    out = S.extract_folder(spark, str(tmp_path))
+    (tmp_path / "b.txt").unlink()
+    assert {r["path"].rpartition("/")[2]: (r["text"], r["error_code"]) for r in out.collect()} == {"a.txt": ("uno", None), "b.txt": (None, "readFailed")}
+
 
 def test_reading_order(spark):
     seen = spark.createDataFrame([(1, "der", 0.5, 0.951), (1, "izq", 0.1, 0.949), (1, "abajo", 0.0, 0.5)], "page int, text string, min_x double, max_y double")
@@ -178,10 +213,16 @@ def test_history(spark, tmp_path):
     assert [r["id"] for r in H.search(h, " TEXTO B").collect()] == ["b"] and H.search(h, "  ").count() == 3
     records = h.select("id", H.record(F.struct(*h.columns), F.lit("t"), F.array(F.struct(F.lit("k").alias("cand_id"), F.lit(1).alias("ordinal"), F.lit("v").alias("original_text"), F.lit("rfc").alias("type"), F.lit(True).alias("is_selected")))).alias("json"))
     store.write_records(records, f"{tmp_path}/records")
-    (tmp_path / "records" / "part-broken.txt").write_text('{"summary": {"id": 5, \n{}\nnot json\n')
-    back = store.read_records(spark, f"{tmp_path}/records")
+    store.write_records(spark.createDataFrame([("x", '{"summary": {"id": 5, '), ("y", "{}"), ("z", "not json")], "id string, json string"), f"{tmp_path}/records")
+    store.write_records(records.filter("id = 'b'"), f"{tmp_path}/records")
+    back, versions = store.read_records(spark, f"{tmp_path}/records"), store.read_versions(spark, f"{tmp_path}/records")
+    assert back.count() == 6 and versions.count() == 7
     assert sorted(map(str, H.rebuild(back).collect())) == sorted(map(str, h.collect()))
-    assert store.load_record(back, "b").first()["candidates"][0]["type"] == "rfc" and store.load_record(back, "q").count() == 0
+    assert [r["candidates"][0]["type"] for r in store.load_record(versions, "b").collect()] == ["rfc"] and store.load_record(versions, "q").count() == 0
+    store.write_records(records.filter("id = 'b'").withColumn("json", F.replace("json", F.lit('"rfc"'), F.lit('"curp"'))), f"{tmp_path}/records")
+    assert [r["candidates"][0]["type"] for r in store.load_record(versions.sparkSession.read.parquet(f"{tmp_path}/records"), "b").collect()] == ["curp"]
+    store.compact_records(spark, f"{tmp_path}/records", f"{tmp_path}/compact")
+    assert store.read_versions(spark, f"{tmp_path}/compact").count() == 6
     index = f"{tmp_path}/index"
     assert [r["id"] for r in store.load_index(spark, index, f"{tmp_path}/records").collect()] == ["b", "c", "a"]
     store.replace_table(h.filter("id <> 'b'"), index)
@@ -205,7 +246,7 @@ def test_known_files_are_not_read_again(spark):
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    for name, text in (("a.txt", "a@b.mx"), ("b.txt", "a@b.mx"), ("c.txt", "RFC HEHL850315AB1"), ("d.bin", "x@y.mx")):
+    for name, text in (("a.txt", "a@b.mx"), ("b.txt", "a@b.mx"), ("c.txt", "RFC HEHL850315AB1"), ("d.bin", "x@y.mx"), ("e.pdf", "x@y.mx")):
         (folder / name).write_text(text)
     stream = intake.new_documents(spark, str(folder))
     for _ in range(2):  # the second run finds nothing new

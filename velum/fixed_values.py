@@ -18,23 +18,24 @@ TYPES = (
 
 # Word lists of the candidate filter.
 STOPWORDS = (
-    "de del la el los las y e o u "
-    "en por con para un una unos unas "
-    "al lo le se su sus es son hay "
-    "que como si no mas más a the of and"
-).split()
-MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre setiembre octubre noviembre diciembre".split()
-LEGAL_TERMS = "iva liva isr lisr ieps isn mxn mn m.n. pesos peso art artículo articulo fracción fraccion inciso párrafo parrafo".split()
+    "de", "del", "la", "el", "los", "las", "y", "e", "o", "u", "en", "por", "con", "para", "un", "una", "unos", "unas", "al", "lo",
+    "le", "se", "su", "sus", "es", "son", "hay", "que", "como", "si", "no", "mas", "más", "a", "the", "of", "and",
+)
+MONTHS = (
+    "enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "setiembre", "octubre", "noviembre",
+    "diciembre",
+)
+LEGAL_TERMS = (
+    "iva", "liva", "isr", "lisr", "ieps", "isn", "mxn", "mn", "m.n.", "pesos", "peso", "art", "artículo", "articulo", "fracción",
+    "fraccion", "inciso", "párrafo", "parrafo",
+)
 COMMON_NOUNS = (
-    "trabajo papeles memorándum memorandum fecha periodo "
-    "período evaluación evaluacion antecedentes operación "
-    "operacion resumen ingresos gastos concepto monto "
-    "proveedor proveedores honorarios renta multa "
-    "observaciones auditor firma supervisor negocio "
-    "departamento facturación contabilidad inventario "
-    "requisito tasa impuesto actos pago revisión "
-    "revision determinación determinacion dictamen fiscal"
-).split()
+    "trabajo", "papeles", "memorándum", "memorandum", "fecha", "periodo", "período", "evaluación", "evaluacion", "antecedentes",
+    "operación", "operacion", "resumen", "ingresos", "gastos", "concepto", "monto", "proveedor", "proveedores", "honorarios", "renta",
+    "multa", "observaciones", "auditor", "firma", "supervisor", "negocio", "departamento", "facturación", "contabilidad",
+    "inventario", "requisito", "tasa", "impuesto", "actos", "pago", "revisión", "revision", "determinación", "determinacion",
+    "dictamen", "fiscal",
+)
 
 # What else the filter knows.
 BARE_PLACES = ("méxico", "mexico", "cdmx", "ciudad de méxico")
@@ -63,6 +64,7 @@ CLASSIFY_SHARE = 0.65
 CHUNK, CHUNK_OVERLAP = 1800, 200
 MODEL_TIMEOUT_S = 35
 PREVIEW = 2000
+DEBOUNCE_MS = 400
 MIN_EMBEDDED_TEXT = 40
 MODEL_FIELDS = (
     ("names", "name", 24),

@@ -1,7 +1,8 @@
 """Spans of a document as arrays of struct(start, end, ...): finding, claiming, containment, merging.
 
-Spans are found without a user function: ``split`` gives the gaps around a pattern's matches and ``regexp_extract_all`` the matches,
-so running lengths of both give the places. The folds below are over one document's findings, so they need no shuffle.
+Spans are found without a user function and by one scan of a pattern: its matches are marked by signs that no text holds, and the
+running lengths of what stands between the marks are the places. The folds below are over one document's findings, so they need no
+shuffle.
 """
 
 from __future__ import annotations
@@ -9,27 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Noncharacters, which have no place in interchanged text.
+_OPEN, _SHUT, _END = "\ufdd0", "\ufdd1", "\ufdd2"
 SPAN = "struct<type:string,start:int,end:int,value:string,rule_id:int,source:string>"
 
 
 def matches(text: Column, pattern: Column | str, group: bool = False, trigger: str = "") -> Column:
     """array<struct<start,end>> of the matches, or of the group that ends each match; empty if there are none or the text is null."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: F.length(m))
-    part = F.transform(F.regexp_extract_all(text, p, F.lit(1)), lambda m: F.length(m)) if group else whole
-    gaps = F.transform(F.split(text, p), lambda g: F.length(g))
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).cast("int").alias("at"), empty.alias("found"))
+    # A text that holds a sign has others in their places meanwhile.
+    odd = text.contains(_OPEN) | text.contains(_SHUT) | text.contains(_END)
+    plain = F.when(odd, F.translate(text, _OPEN + _SHUT + _END, "\ufffd\ufffd\ufffd")).otherwise(text)
+    marked = F.regexp_replace(plain, p, F.lit(_OPEN + "$0" + _SHUT + ("$1" if group else "") + _END))
 
     def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["gap"] + x["whole"]
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct((end - x["part"]).alias("start"), end.alias("end")))).alias("found"))
-
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
-    found = text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, p)
-    if trigger:
-        found = text.rlike(trigger) & found
-    return F.when(found, F.aggregate(rows, start, step)["found"]).otherwise(empty)
+        # "match SHUT group END gap", but the first piece is the gap before all matches.
+        shut = F.instr(x, _SHUT)
+        last = F.instr(x, _END)
+        end = acc["at"] + shut - 1
+        begin = end - (last - shut - 1) if group else acc["at"]
+        more = F.struct((end + F.length(x) - last).alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("found"))
+        return F.when(shut == 0, F.struct((acc["at"] + F.length(x)).alias("at"), acc["found"].alias("found"))).otherwise(more)
+
+    start = F.struct(F.lit(0).cast("int").alias("at"), empty.alias("found"))
+    out = F.when(text.isNull(), empty).otherwise(F.aggregate(F.split(marked, _OPEN), start, step)["found"])
+    return F.when(text.rlike(trigger), out).otherwise(empty) if trigger else out
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -42,10 +41,17 @@ def likely(text: Column, rules: Iterable[Rule] = RULES) -> Column:
     return F.coalesce(text.rlike("|".join(signs)) | named if signs else named, F.lit(False))
 
 
-@functools.lru_cache(maxsize=64)
-def _built(context: int, text: str, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
-    """(likely, layer) of a named text column, made once a session: they are large expressions."""
-    return likely(F.col(text), rules), rule_layer(F.col(text), rules)
+def _built(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
+    """(likely, layer) of a named text column: they are large expressions, so they are made once and kept as long as the Spark context."""
+    kept = vars(docs.sparkSession.sparkContext).setdefault("_velum_columns", {})
+    if (text, rules) not in kept:
+        kept[text, rules] = likely(F.col(text), rules), rule_layer(F.col(text), rules)
+    return kept[text, rules]
+
+
+def spans_of(docs: DataFrame, rules: Iterable[Rule] = RULES, text: str = "text") -> tuple[Column, Column]:
+    """(maybe, spans) over the columns of ``docs``: whether a text can hold anything, and array<span> of what it holds."""
+    return _built(docs, text, tuple(rules))
 
 
 def findings(docs: DataFrame, rules: Iterable[Rule] = RULES, model: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,7 +59,7 @@ def findings(docs: DataFrame, rules: Iterable[Rule] = RULES, model: DataFrame |
 
     model: (key, spans) of the model layer, merged into the rules' spans. Null texts have no findings.
     """
-    maybe, layer = _built(id(docs.sparkSession._jvm), text, tuple(rules))
+    maybe, layer = _built(docs, text, tuple(rules))
     if model is None:
         found = docs.select(key, text).filter(maybe).withColumn("spans", layer)
     else:
@@ -90,6 +96,19 @@ def candidates(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def row_candidates(spans: Column) -> Column:
+    """:func:`candidates` of one document's spans: array<struct<ordinal,original_text,type,norm>>, in order of place."""
+    item = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rule_id"].alias("rule_id"), s["type"].alias("type"), normalise(s["value"]).alias("norm"), s["value"].alias("value"))
+    good = F.filter(spans, lambda s: should_keep(s["value"], s["type"]))
+    placed = F.filter(F.array_sort(F.transform(good, item)), lambda x: F.length(x["norm"]) >= V.MIN_CANDIDATE)
+    firsts = F.aggregate(
+        placed,
+        F.array().cast("array<struct<start:int,end:int,rule_id:int,type:string,norm:string,value:string>>"),
+        lambda acc, x: F.when(F.exists(acc, lambda y: (y["type"] == x["type"]) & (y["norm"] == x["norm"])), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.transform(firsts, lambda x, i: F.struct((i + 1).alias("ordinal"), x["value"].alias("original_text"), x["type"].alias("type"), x["norm"].alias("norm")))
+
+
 def findings_by_type(found: DataFrame) -> DataFrame:
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower("value")).alias("n_values"))
 

@@ -101,6 +101,16 @@ def rebuild(records: DataFrame, column: str = "json") -> DataFrame:
     return records.select(parsed.alias("r")).filter("r.summary.id is not null").select("r.summary.*")
 
 
-def last_writes(saves: DataFrame) -> DataFrame:
-    """Of the saves of one id within a debounce period only the last counts."""
-    return saves.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("updated_at")))).filter("n = 1").drop("n")
+def latest_records(records: DataFrame) -> DataFrame:
+    """(id, json) of (id, written, json): each id's last version; of versions written at once the greatest."""
+    return records.groupBy("id").agg(F.max(F.struct("written", "json"))["json"].alias("json"))
+
+
+def last_writes(saves: DataFrame, period_ms: int = V.DEBOUNCE_MS, *ties: str) -> DataFrame:
+    """The saves (id, updated_at) that are written: those that no later save of their id follows within the period.
+
+    Of saves at one time the last by the columns ``ties`` counts.
+    """
+    following = F.lead("updated_at").over(W.partitionBy("id").orderBy("updated_at", *ties))
+    late = F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp")) > 1000 * period_ms
+    return saves.withColumn("velum_written", F.coalesce(late, F.lit(True))).filter("velum_written").drop("velum_written")

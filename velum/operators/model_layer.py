@@ -6,7 +6,7 @@ The model itself is a parameter; none is built in. Everything around it is deter
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,12 +18,14 @@ from velum.functions.filters import should_keep
 from velum.functions.text import normalise, trim
 from velum.operators.redact import locate
 
-#: A model gets a chunk and returns {field: list of strings} for the fields of MODEL_FIELDS.
-Model = Callable[[str], dict[str, list[str]]]
+#: A model gets instructions and a chunk, and returns {field: list of strings} for the fields of MODEL_FIELDS.
+Model = Callable[[str, str], dict[str, list[str]]]
+#: Calls past their time that a task lets run on; then it waits for one of them to end.
+MAX_LATE = 4
 ANSWER = ", ".join(f"{f} array<string>" for f, _, _ in V.MODEL_FIELDS)
 
 
-#: What a generative model is asked; a model that takes instructions gets it before each chunk.
+#: What a generative model is asked, unless the caller asks otherwise.
 INSTRUCTIONS = (
     "Lee el fragmento de un documento legal y copia, tal como aparecen, los datos que identifican a las partes: personas, empresas, domicilios completos, "
     "teléfonos, correos, cédulas profesionales y otros identificadores. No inventes ni corrijas nada; deja vacía la lista de la que no haya datos. "
@@ -60,24 +62,28 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return some.select(key, F.explode(cut(F.col(text))).alias("c")).select(key, "c.*")
 
 
-def generate(parts: DataFrame, model: Model, key: str = "doc_id", timeout: float = V.MODEL_TIMEOUT_S) -> DataFrame:
+def generate(parts: DataFrame, model: Model, key: str = "doc_id", timeout: float = V.MODEL_TIMEOUT_S, instructions: str = INSTRUCTIONS) -> DataFrame:
     """(key, chunk_idx, ok, fields): the model's answer to each chunk; an error or timeout gives none, and is no failure of the job."""
     fields = [f for f, _, _ in V.MODEL_FIELDS]
     schema = f"`{key}` {dict(parts.dtypes)[key]}, chunk_idx int, ok boolean, {ANSWER}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool, late = ThreadPoolExecutor(MAX_LATE + 1), set()
         for pdf in batches:
             rows = []
             for k, i, chunk in zip(pdf[key], pdf["chunk_idx"], pdf["chunk"], strict=True):
-                pool = ThreadPoolExecutor(1)
+                late = {call for call in late if not call.done()}
+                if len(late) >= MAX_LATE:
+                    late = wait(late, return_when=FIRST_COMPLETED).not_done
+                call = pool.submit(model, instructions, chunk)
                 try:
-                    answer, ok = pool.submit(model, chunk).result(timeout), True
-                except Exception:  # the model's own errors, of any kind
+                    answer, ok = call.result(timeout), True
+                except Exception:  # the model's own errors, of any kind, and timeouts
                     answer, ok = {}, False
-                finally:
-                    pool.shutdown(wait=False)
+                    late.add(call)
                 rows.append((k, i, ok, *([str(x) for x in answer.get(f, [])] for f in fields)))
             yield pd.DataFrame(rows, columns=[key, "chunk_idx", "ok", *fields])
+        pool.shutdown(wait=False)
 
     return parts.select(key, "chunk_idx", "chunk").mapInPandas(run, schema)
 

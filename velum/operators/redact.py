@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from velum import fixed_values as V
 from velum.functions import spans as S
 from velum.functions.text import needle_pattern, normalise, trim
-from velum.operators.detect import tag_label
+from velum.operators.detect import row_candidates, tag_label
 from velum.rules import ADDRESS_TAIL, STREET_CORE
 
 _RANGES = "array<struct<start:int,end:int>>"
@@ -47,17 +47,26 @@ def occurrence_ranges(text: Column, needle: Column, kind: Column) -> Column:
     return F.array_sort(F.when(kind == "address", both).otherwise(plain))
 
 
+def text_hash(text: Column) -> Column:
+    """What tells whether occurrences are of the text as it is."""
+    return F.sha2(text, 256)
+
+
 def occurrences(docs: DataFrame, cands: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, cand_id, type, start, end). The texts are joined by key, once per candidate of theirs."""
-    joined = cands.select(key, "cand_id", "original_text", "type").join(docs.select(key, text), key)
-    return joined.select(key, "cand_id", "type", F.explode(occurrence_ranges(F.col(text), F.col("original_text"), F.col("type"))).alias("r")).select(key, "cand_id", "type", "r.start", "r.end")
+    """(key, cand_id, type, start, end, text_hash). A document's candidates meet its text as one array, so texts aren't repeated."""
+    listed = cands.groupBy(key).agg(F.collect_list(F.struct("cand_id", "original_text", "type")).alias("cands"))
+    joined = docs.select(key, text).join(listed, key)
+    found = F.transform("cands", lambda c: F.struct(c["cand_id"].alias("cand_id"), c["type"].alias("type"), occurrence_ranges(F.col(text), c["original_text"], c["type"]).alias("ranges")))
+    each = joined.select(key, text_hash(F.col(text)).alias("text_hash"), F.explode(found).alias("c"))
+    return each.select(key, "c.cand_id", "c.type", F.explode("c.ranges").alias("r"), "text_hash").select(key, "cand_id", "type", "r.start", "r.end", "text_hash")
 
 
 def synchronise(docs: DataFrame, cands: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Occurrences after candidates changed: those of ``known`` with equal id and type stay, the others are looked for."""
+    """Occurrences after candidates or texts changed: those of ``known`` with equal id and type in an unchanged text stay, the others are looked for."""
     same = [key, "cand_id", "type"]
-    kept = known.join(cands.select(*same), same, "left_semi")
-    fresh = cands.join(known.select(*same).distinct(), same, "left_anti")
+    current = known.join(docs.select(key, text_hash(F.col(text)).alias("text_hash")).distinct(), [key, "text_hash"], "left_semi").select(*known.columns)
+    kept = current.join(cands.select(*same), same, "left_semi")
+    fresh = cands.join(current.select(*same).distinct(), same, "left_anti")
     return kept.unionByName(occurrences(docs, fresh, key, text))
 
 
@@ -84,15 +93,59 @@ def stitch(text: Column, replacements: Column) -> Column:
     return F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))
 
 
-def redact(docs: DataFrame, cands: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, redacted, n_replaced_candidates) of every document; those without selected candidates keep their text."""
-    places = occurrences(docs, cands, key, text) if known is None else known
-    numbered = tags(cands, key).filter("is_selected").select(key, "cand_id", "ordinal", "tag")
-    put = (
-        places.join(numbered, [key, "cand_id"])
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("start", "end", "ordinal", "tag")).alias("puts"), F.count_distinct("cand_id").alias("n"))
-    )
-    return docs.select(key, text).join(put, key, "left").select(
-        key, F.when(F.col("puts").isNull(), F.col(text)).otherwise(stitch(F.col(text), F.col("puts"))).alias("redacted"), F.coalesce("n", F.lit(0)).alias("n_replaced_candidates")
+def _puts(text: Column, cands: Column) -> Column:
+    """array<struct<start,end,ordinal,tag>> of candidates array<struct<ordinal,original_text,type,tag>> in a text."""
+    return F.flatten(
+        F.transform(
+            cands,
+            lambda c: F.transform(
+                occurrence_ranges(text, c["original_text"], c["type"]),
+                lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), c["ordinal"].alias("ordinal"), c["tag"].alias("tag")),
+            ),
+        )
     )
+
+
+def _redacted(text: Column, puts: Column) -> Column:
+    """struct(redacted, n) of a text and what is put in; ``puts`` is made once."""
+    made = lambda p: F.struct(stitch(text, p).alias("redacted"), F.size(F.array_distinct(F.transform(p, lambda x: x["ordinal"]))).cast("long").alias("n"))
+    return F.element_at(F.transform(F.array(puts), made), 1)
+
+
+def redact(docs: DataFrame, cands: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, redacted, n_replaced_candidates) of every document; those without selected candidates keep their text.
+
+    A document's candidates (or its ``known`` occurrences) come as one array, so there is one join and no text is repeated.
+    """
+    numbered = tags(cands, key).filter("is_selected").select(key, "cand_id", "ordinal", "tag", "original_text", "type")
+    if known is None:
+        listed = numbered.groupBy(key).agg(F.collect_list(F.struct("ordinal", "original_text", "type", "tag")).alias("x"))
+        puts = _puts(F.col(text), F.col("x"))
+    else:
+        places = known.join(numbered.select(key, "cand_id", "ordinal", "tag"), [key, "cand_id"])
+        listed = places.groupBy(key).agg(F.collect_list(F.struct("start", "end", "ordinal", "tag")).alias("x"))
+        puts = F.col("x")
+    out = F.when(F.col("x").isNotNull() & F.col(text).isNotNull(), _redacted(F.col(text), puts))
+    joined = docs.select(key, text).join(listed, key, "left").withColumn("out", out)
+    return joined.select(key, F.coalesce("out.redacted", text).alias("redacted"), F.coalesce("out.n", F.lit(0).cast("long")).alias("n_replaced_candidates"))
+
+
+def redact_found(docs: DataFrame, maybe: Column, spans: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, redacted, n_replaced_candidates) where all that is found is redacted: one pass over the texts, without a join.
+
+    maybe, spans: as :func:`velum.operators.detect.spans_of` gives them.
+    """
+
+    def tagged(cands: Column) -> Column:
+        number = lambda c, i: F.size(F.filter(F.slice(cands, 1, i + 1), lambda x: x["type"] == c["type"])).cast("string")
+        return F.transform(
+            cands,
+            lambda c, i: F.struct(
+                c["ordinal"].alias("ordinal"), c["original_text"].alias("original_text"), c["type"].alias("type"), F.concat(F.lit("["), tag_label(c["type"]), F.lit(" "), number(c, i), F.lit("]")).alias("tag")
+            ),
+        )
+
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    out = once(spans, lambda s: once(row_candidates(s), lambda c: _redacted(F.col(text), _puts(F.col(text), tagged(c)))))
+    done = docs.select(key, text).withColumn("out", F.when(maybe, out))
+    return done.select(key, F.coalesce("out.redacted", text).alias("redacted"), F.coalesce("out.n", F.lit(0).cast("long")).alias("n_replaced_candidates"))

@@ -20,9 +20,13 @@ def detect(docs: DataFrame, model: Model | None = None, tagger: DataFrame | None
 
 
 def redact_documents(docs: DataFrame, edits: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, redacted, n_replaced_candidates) of every document, after reviewers' edits if given."""
-    found = detect(docs, key=key, text=text)
-    return R.redact(docs, V.apply_edits(found, edits, key) if edits is not None else found, key=key, text=text)
+    """(key, redacted, n_replaced_candidates) of every document, after reviewers' edits if given.
+
+    Without edits a text is scanned and redacted in its own row; edits are a table of candidates' changes, so candidates become rows.
+    """
+    if edits is None:
+        return R.redact_found(docs, *D.spans_of(docs, text=text), key=key, text=text)
+    return R.redact(docs, V.apply_edits(detect(docs, key=key, text=text), edits, key), key=key, text=text)
 
 
 def scan_files(files: DataFrame, history: DataFrame, page_reader: PageReader | None = None) -> tuple[DataFrame, DataFrame]:

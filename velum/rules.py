@@ -15,7 +15,12 @@ _LOW = "a-záéíóúüñ"
 _COMPANY = f"[{_UP}][A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9.&'’\\-]+"
 _PERSON = f"[{_UP}][{_LOW}]+"
 _ROLE = "Apoderado|Legal|Licenciado|Notario"
-_LINK = "de|del|la|las|los|y|e|en"
+#: Link words in small letters, with a capital, and in capitals.
+_LINKS = (
+    "de|del|la|las|los|y|e|en",
+    "De|Del|La|Las|Los|Y|E|En",
+    "DE|DEL|LA|LAS|LOS|Y|E|EN",
+)
 _SA = "S\\.?\\s*A\\.?(?:\\s*P\\.?\\s*I\\.?)?\\s*(?:de\\s+)?C\\.?\\s*V\\."
 _SRL = "S\\.?\\s*de\\s+R\\.?\\s*L\\.?(?:\\s*(?:de\\s+)?C\\.?\\s*V\\.?)?"
 _GAP = "[\\s\\-.]"
@@ -32,7 +37,7 @@ class Rule(NamedTuple):
 
 def _rules() -> tuple[Rule, ...]:
     any_case, exact = "(?iU)", "(?U)"
-    connectors = "|".join([_LINK, _LINK.title().replace("|Y|", "|Y|"), _LINK.upper()])
+    connectors = "|".join(_LINKS)
     specs = [
         ("curp", "curp", any_case + "\\b[A-Z][AEIOUX][A-Z]{2}\\d{6}[HM][A-Z]{2}[B-DF-HJ-NP-TV-Z]{3}[A-Z0-9]\\d\\b"),
         ("voter_key", "identifier", any_case + "\\b[A-Z]{6}\\d{8}[HM][A-Z0-9]{3}\\b"),

@@ -1,11 +1,12 @@
-"""Files to texts. A file that can't be read gives a row with an error code; it never fails the job."""
+"""Files to texts, each file read once. A file that can't be read gives a row with an error code; it never fails the job."""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -23,8 +24,9 @@ DocReader = Callable[[str, bytes], str]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, modification_time) of the files under a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", F.col("modificationTime").alias("modification_time"))
+    """(path, content, modification_time) of the files under a folder; those that vanish or can't be read are left out (see :func:`extract_folder`)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(path)
+    return files.select("path", "content", F.col("modificationTime").alias("modification_time"))
 
 
 def extension(path: Column) -> Column:
@@ -54,8 +56,14 @@ def page_text(embedded: Column, recognised: Column) -> Column:
 
 def join_pages(pages: DataFrame) -> DataFrame:
     """(path, text) of (path, page_no, embedded, recognised): pages in order, one line break between those with text."""
-    some = pages.select("path", "page_no", page_text(F.col("embedded"), F.col("recognised")).alias("t")).filter("t <> ''")
-    return some.groupBy("path").agg(trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "t"))), lambda x: x["t"]), "\n")).alias("text"))
+    every = F.sort_array(F.collect_list(F.struct("page_no", "embedded", "recognised")))
+    return pages.groupBy("path").agg(pages_text(every).alias("text")).filter("text <> ''")
+
+
+def pages_text(pages: Column) -> Column:
+    """The text of array<struct<page_no,embedded,recognised>>."""
+    texts = F.filter(F.transform(pages, lambda p: page_text(p["embedded"], p["recognised"])), lambda t: t != "")
+    return trim(F.array_join(texts, "\n"))
 
 
 def reading_order(observations: DataFrame, *page: str) -> DataFrame:
@@ -108,53 +116,74 @@ def docx_text(content: bytes) -> str:
 
 
 def extract(files: DataFrame, page_reader: PageReader | None = None, doc_reader: DocReader | None = None) -> DataFrame:
-    """(path, file_hash, text, error_code): the text of each file (path, content), or why there is none.
+    """(path, file_hash, text, error_code): the text of each file (path, content), or why there is none; null content couldn't be read.
 
-    Text files stay in built-in functions; only Word and PDF files go to Python. PDF pages and legacy Word files need the readers given.
+    One pass: text files stay in built-in functions, only the bytes of Word and PDF files go to Python. PDF pages and legacy Word files
+    need the readers given.
     """
+    parsed_type = "text string, error string, pages array<struct<page_no:int,embedded:string,recognised:string>>"
+
+    def word(path: str, content: bytes) -> tuple[str | None, str | None]:
+        text, error = None, None
+        try:
+            text = docx_text(content)
+        except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, NotImplementedError, RuntimeError):
+            error = "unreadableWord"
+        if doc_reader and (error or not text.strip()):
+            try:
+                text, error = doc_reader(path, content), None
+            except Exception:  # an outside reader's own errors
+                error = "unreadableWord"
+        return (None if error else text), error
+
+    def pdf(path: str, content: bytes) -> list[tuple[int, str | None, str | None]] | None:
+        try:
+            return [(i, a, b) for i, (a, b) in enumerate(page_reader(path, content))] if page_reader else None
+        except Exception:  # an outside reader's own errors: the file has no pages
+            return None
+
+    @F.pandas_udf(parsed_type)
+    def parse(path: pd.Series, ext: pd.Series, content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, e, c in zip(path, ext, content, strict=True):
+            if c is None:
+                rows.append((None, None, None))
+            elif e == "pdf":
+                pages = pdf(p, bytes(c))
+                rows.append((None, None if pages else "unreadablePDF", pages))
+            else:
+                rows.append((*word(p, bytes(c)), None))
+        return pd.DataFrame(rows, columns=["text", "error", "pages"])
+
+    ext, content = F.col("ext"), F.col("content")
     keyed = files.select("path", F.sha2("content", 256).alias("file_hash"), extension(F.col("path")).alias("ext"), "content")
-    plain = keyed.filter(F.col("ext").isin("txt", "text")).select("path", "file_hash", decode_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error_code"))
-    bad = keyed.filter(~F.coalesce(F.col("ext").isin(*V.EXTENSIONS), F.lit(False))).select("path", "file_hash", F.lit(None).cast("string").alias("text"), F.lit("unsupportedFileType").alias("error_code"))
-
-    def word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, digest, ext, content in zip(pdf["path"], pdf["file_hash"], pdf["ext"], pdf["content"], strict=True):
-                text, error = None, None
-                try:
-                    text = docx_text(bytes(content))
-                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, NotImplementedError, RuntimeError):
-                    error = "unreadableWord"
-                if doc_reader and (error or not text.strip()):
-                    try:
-                        text, error = doc_reader(path, bytes(content)), None
-                    except Exception:  # an outside reader's own errors
-                        error = "unreadableWord"
-                rows.append((path, digest, None if error else text, error))
-            yield pd.DataFrame(rows, columns=["path", "file_hash", "text", "error_code"])
-
-    schema = "path string, file_hash string, text string, error_code string"
-    words = keyed.filter(F.col("ext").isin("doc", "docx")).mapInPandas(word, schema)
-    pdfs = keyed.filter(F.col("ext") == "pdf")
-    if page_reader is None:
-        scanned = pdfs.select("path", "file_hash", F.lit(None).cast("string").alias("text"), F.lit("unreadablePDF").alias("error_code"))
-    else:
-
-        def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = []
-                for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                    try:
-                        rows += [(path, i, a, b) for i, (a, b) in enumerate(page_reader(path, bytes(content)))]
-                    except Exception:  # an outside reader's own errors: the file has no pages
-                        continue
-                yield pd.DataFrame(rows, columns=["path", "page_no", "embedded", "recognised"])
-
-        texts = join_pages(pdfs.select("path", "content").mapInPandas(pages, "path string, page_no int, embedded string, recognised string"))
-        scanned = pdfs.select("path", "file_hash").join(texts, "path", "left").select("path", "file_hash", "text", F.when(F.col("text").isNull(), "unreadablePDF").alias("error_code"))
-    every = plain.unionByName(bad).unionByName(words).unionByName(scanned)
+    outside = F.coalesce(ext.isin("pdf", "doc", "docx"), F.lit(False))
+    done = keyed.withColumn("parsed", parse("path", "ext", F.when(outside, content)))
+    paged = pages_text(F.col("parsed.pages"))
+    text = F.when(ext.isin("txt", "text"), decode_text(content)).when(ext == "pdf", F.when(paged != "", paged)).otherwise(F.col("parsed.text"))
+    error = (
+        F.when(~F.coalesce(ext.isin(*V.EXTENSIONS), F.lit(False)), "unsupportedFileType")
+        .when(content.isNull(), "readFailed")
+        .when((ext == "pdf") & (paged == ""), "unreadablePDF")
+        .otherwise(F.col("parsed.error"))
+    )
+    every = done.select("path", "file_hash", text.alias("text"), error.alias("error_code"))
     blank = F.col("error_code").isNull() & F.coalesce(trim(F.col("text")) == "", F.lit(True))
-    return every.select("path", "file_hash", F.when(~blank, F.col("text")).alias("text"), F.when(blank, "emptyDocument").otherwise(F.col("error_code")).alias("error_code"))
+    return every.select("path", "file_hash", F.when(F.col("error_code").isNull() & ~blank, F.col("text")).alias("text"), F.when(blank, "emptyDocument").otherwise(F.col("error_code")).alias("error_code"))
+
+
+def with_failures(listed: DataFrame, done: DataFrame) -> DataFrame:
+    """``done`` with a row of the code readFailed for each listed path (path) that it lacks."""
+    joined = listed.select("path").join(done, "path", "left")
+    return joined.withColumn("error_code", F.when(F.col("file_hash").isNull() & F.col("error_code").isNull(), "readFailed").otherwise(F.col("error_code")))
+
+
+def extract_folder(spark: SparkSession, path: str, page_reader: PageReader | None = None, doc_reader: DocReader | None = None) -> DataFrame:
+    """:func:`extract` of a folder's files; those that are listed but vanish or can't be read have the code readFailed."""
+    files = read_files(spark, path)
+    # The reader's own list of files, which the driver holds for any scan; none is opened for it.
+    listed = [(unquote(p).replace("file:///", "file:/"),) for p in files.inputFiles()]
+    return with_failures(spark.createDataFrame(listed, "path string"), extract(files, page_reader, doc_reader))
 
 
 def latest(files: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""The record store: one JSON record per document and an index table, replaced as a whole."""
+"""The record store: one JSON record per document, of which the last version counts, and an index table, replaced as a whole."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -9,36 +10,60 @@ from pyspark.sql import functions as F
 
 from velum.operators import history as H
 
+#: Folders that records are dealt into by id, so that one record is looked for in one of them.
+PARTS = 64
+
+
+def _part(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(PARTS)).cast("int")
+
 
 def write_records(records: DataFrame, path: str) -> None:
-    """Records (id, json) as JSON text, one a line, appended; the committer makes each write visible as a whole."""
-    records.select("json").write.mode("append").text(path)
+    """Records (id, json): each replaces the one of its id. A write is appended as a new version, seen as a whole once it is committed."""
+    versions = records.select("id", F.lit(time.time_ns()).alias("written"), "json", _part(F.col("id")).alias("part"))
+    versions.repartition("part").sortWithinPartitions("id").write.mode("append").partitionBy("part").parquet(path)
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, written long, json string, part int").parquet(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("value").alias("json"))
+    """(id, json): the last version of each record."""
+    return H.latest_records(read_versions(spark, path))
+
 
+def compact_records(spark: SparkSession, path: str, target: str) -> None:
+    """The last versions alone, in a new folder."""
+    write_records(read_records(spark, path), target)
 
-def load_record(records: DataFrame, doc_id: str) -> DataFrame:
-    """The record of an id; no row if it is missing or can't be read."""
+
+def load_record(versions: DataFrame, doc_id: str) -> DataFrame:
+    """The record of an id, of :func:`read_versions`; no row if it is missing or can't be read. The id filters files and row groups."""
+    own = versions.filter((F.col("id") == doc_id) & (F.col("part") == _part(F.lit(doc_id)))) if "part" in versions.columns else versions.filter(F.col("id") == doc_id)
     parsed = F.from_json("json", H.RECORD, {"mode": "PERMISSIVE", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})
-    return records.select(parsed.alias("r")).filter(F.col("r.summary.id") == doc_id).select("r.*")
+    return H.latest_records(own).select(parsed.alias("r")).filter("r.summary.id is not null").select("r.*")
 
 
 def replace_table(df: DataFrame, root: str) -> str:
-    """Write a new version beside the old one and then point to it; readers see one or the other, never a part."""
+    """Write a new version beside the old one and then point to it; readers see one or the other, never a part.
+
+    The pointer is renamed over the old one, which the file system does at once.
+    """
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
-    jvm = spark._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    current, fresh = fs_path(f"{root}/CURRENT"), fs_path(f"{root}/CURRENT-{version}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    current, fresh = hadoop.Path(f"{root}/CURRENT"), hadoop.Path(f"{root}/CURRENT-{version}")
+    fs = fresh.getFileSystem(conf)
     stream = fs.create(fresh, True)
     stream.write(bytearray(version.encode()))
     stream.close()
-    fs.delete(current, False)
-    fs.rename(fresh, current)
+    rename = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(current), over)
     return version
 
 

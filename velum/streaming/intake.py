@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from velum.operators import history as H
 from velum.plans.redaction import detect
-from velum.sources.documents import decode_text, is_supported
+from velum.sources.documents import decode_text, extension
 
 
 def new_documents(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame:
@@ -18,7 +18,7 @@ def new_documents(spark: SparkSession, folder: str, late: str = "1 day") -> Data
         .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .load(folder)
-        .filter(is_supported(F.col("path")))
+        .filter(extension(F.col("path")).isin("txt", "text"))
     )
     keyed = files.select("path", H.fingerprint(F.col("content")).alias("file_hash"), decode_text(F.col("content")).alias("text"), F.col("modificationTime").alias("modification_time"))
     return keyed.withWatermark("modification_time", late).dropDuplicatesWithinWatermark(["file_hash"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +18,11 @@ from velum.operators import detect as D
 from velum.operators import history as H
 from velum.operators import redact as R
 from velum.operators import review as E
-from velum.operators.model_layer import chunks, supplement
+from velum.operators.model_layer import chunks, contextual, gather, generate, supplement
 from velum.plans import redaction as P
 from velum.rules import BY_NAME
 from velum.sources import documents as F_
-from velum.sources.store import notification
+from velum.sources.store import load_record, notification, with_progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,20 +57,34 @@ _CASES: dict[str, tuple[str, str, str, str]] = {
     "card": ("tarjeta ", f"concat('4111 ', {_D4}, '-', {_D4}, ' 0005')", " y", f"concat('4111 ', {_D4}, '--', {_D4})"),
     "passport": ("Pasaporte mexicano: ", f"concat('G', {_D8})", ", y", f"concat('GH', {_D8})"),
     "cic": ("folio ( CIC ): ", f"concat({_D6}, {_D6})", " fin", f"concat({_D5}, {_D5})"),
-    "plate": ("placas de circulación ", f"concat('ABC-', lpad(cast(c_custkey % 100 AS string), 2, '3'), '-A')", ".", "concat('AB-', cast(c_custkey AS string))"),
+    "plate": ("placas de circulación ", f"concat(CASE c_custkey % 2 WHEN 0 THEN 'ABC-' ELSE 'xyz ' END, lpad(cast(c_custkey % 100 AS string), 2, '3'), '-A')", ".", "concat('AB-', cast(c_custkey AS string))"),
     "birth": ("fue ", f"concat('nacida el 3 de Marzo de ', {_D4}, ' (45 años de edad)')", ", y", "concat('nacida en ', cast(c_custkey AS string))"),
-    "case_file": ("el ", f"concat('Expediente: ', {_D5}, ' / 2024')", ", fin", f"concat('Expediente ', {_D5}, '-24')"),
+    "case_file": ("el ", f"CASE c_custkey % 2 WHEN 0 THEN concat('Expediente: ', {_D5}, ' / 2024') ELSE 'EXPEDIENTE 12/1999' END", ", fin", f"concat('Expediente ', {_D5}, '-24')"),
     "deed": ("la ", f"concat('escritura pública número ', cast(1 + c_custkey % 900 AS string), ',', lpad(cast(c_custkey % 1000 AS string), 3, '0'))", " de", "concat('escritura número ', cast(c_custkey AS string))"),
     "clabe": ("CLABE ", _D18, ", fin", f"concat({_D18}, '1')"),
-    "phone": ("Tel. ", f"concat('+52 1 55 ', {_D4}, '-', {_D4})", " ext", f"concat('55/', {_D4}, '/', {_D4})"),
-    "address": ("en ", f"concat('Calle Morelos ', cast(c_custkey AS string), ',\n Col. Centro, C.P. ', {_D5})", ".", f"concat('Calle Morelos ', {_D4}, ' sin código')"),
-    "company": ("de ", f"concat('Grupo', cast(c_custkey AS string), ' del Norte Azul, S.A. de C.V.')", " y", "concat('grupo', cast(c_custkey AS string), ' del norte, S.A.')"),
-    "bank": ("en banco ", f"concat('Norte', cast(c_custkey AS string))", ", y", "concat('(', cast(c_custkey AS string), ')')"),
+    "phone": (
+        "Tel. ",
+        f"CASE c_custkey % 5 WHEN 0 THEN concat('+52 1 55 ', {_D4}, '-', {_D4}) WHEN 1 THEN concat('(55) ', {_D4}, '.', {_D4}) WHEN 2 THEN concat('55-', {_D4}, ' ', {_D4}) "
+        f"WHEN 3 THEN concat('555 123-', {_D4}) ELSE concat('55', {_D4}, {_D4}) END",
+        " ext", f"concat('55/', {_D4}, '/', {_D4})",
+    ),
+    "address": (
+        "en ",
+        f"CASE c_custkey % 2 WHEN 0 THEN concat('Calle Morelos ', cast(c_custkey AS string), ',\n Col. Centro, C.P. ', {_D5}) ELSE concat('blvd. del Sol ', cast(c_custkey AS string), ', Piso 4, Código Postal ', {_D5}) END",
+        ".", f"concat('Calle Morelos ', {_D4}, ' sin código')",
+    ),
+    "company": (
+        "de ",
+        "CASE c_custkey % 4 WHEN 0 THEN concat('Grupo', cast(c_custkey AS string), ' del Norte Azul, S.A. de C.V.') WHEN 1 THEN concat('Luz', cast(c_custkey AS string), ' Y Sombra S. de R.L.') "
+        "WHEN 2 THEN concat('Casa', cast(c_custkey AS string), ' Roja S.A.P.I. de C.V.') ELSE concat('Rey', cast(c_custkey AS string), ' DEL Mar, S. de R.L. de C.V.') END",
+        " y", "concat('grupo', cast(c_custkey AS string), ' del norte, S.A.')",
+    ),
+    "bank": ("en banco ", "CASE c_custkey % 2 WHEN 0 THEN concat('Norte', cast(c_custkey AS string)) ELSE concat('Sur', cast(c_custkey AS string), ' de México Azul') END", ", y", "concat('(', cast(c_custkey AS string), ')')"),
     "brand": ("marca ", f"concat('Zafiro', cast(c_custkey AS string))", ", y", "concat('(Z', cast(c_custkey AS string), ')')"),
     "notary": ("ante ", f"concat('Notario Público No. ', cast(c_custkey AS string))", " de", "concat('Notario No. ', cast(c_custkey AS string))"),
     "electoral": ("del ", "concat('Instituto Nacional Electoral', ' ( INE )')", ", y", "concat('Instituto Electoral ', cast(c_custkey AS string))"),
     "party": ("ACTOR : ", "concat('JUAN ', CASE WHEN c_custkey % 2 = 0 THEN 'PÉREZ' ELSE 'LÓPEZ RUIZ' END)", "\nFin", "concat('Juan ', cast(c_custkey AS string))"),
-    "titled": ("la Lic. ", "concat('María ', CASE WHEN c_custkey % 2 = 0 THEN 'Pérez' ELSE 'Soto García' END)", ", y", "concat('maría ', cast(c_custkey AS string))"),
+    "titled": ("la Dra. ", "concat('María ', CASE WHEN c_custkey % 2 = 0 THEN 'Pérez' ELSE 'Soto García Ruiz' END)", ", y", "concat('maría ', cast(c_custkey AS string))"),
     "citizen": ("por el C. ", "concat('Juan ', CASE WHEN c_custkey % 2 = 0 THEN 'Pérez' ELSE 'Carlos Soto' END)", ", y", "concat('Juez ', cast(c_custkey AS string))"),
 }
 
@@ -97,7 +113,27 @@ for _name, _case in _CASES.items():
 # --- Findings in the driver's documents: addresses of e-mail and numbers in parentheses are what they hold.
 
 _EMAIL = "(?i)[A-Z0-9._%+\\-]+@[A-Z0-9.\\-]+\\.[A-Z]{2,}"
-_PAREN = "\\(\\d{2,3}\\)[\\s\\-.]*\\d{3,4}[\\s\\-.]*\\d{4}"
+#: The five forms of a phone number in texts of which each sign but digits stands twice: so a bound that Duck's pattern takes with the
+#: number still leaves its other half to the next one.
+_G2 = "(?:[\\s\\-.]{2})"
+_PHONES = "|".join(
+    (
+        f"\\+\\+52{_G2}*1?{_G2}*\\d{{2,3}}{_G2}*\\d{{3,4}}{_G2}*\\d{{4}}",
+        f"\\(\\(\\d{{2,3}}\\)\\){_G2}*\\d{{3,4}}{_G2}*\\d{{4}}",
+        f"(?:^|[^\\d])\\d{{2}}{_G2}\\d{{4}}{_G2}\\d{{4}}(?:$|[^\\d])",
+        f"(?:^|[^\\d])\\d{{3}}{_G2}\\d{{3}}{_G2}\\d{{4}}(?:$|[^\\d])",
+        "(?:^|[^\\d])\\d{10}(?:$|[^\\d])",
+    )
+)
+_CALLS = f"""
+d2 AS (SELECT doc_id, regexp_replace(text, '([^\\d])', '\\1\\1', 'g') AS x FROM documents),
+c2 AS (SELECT doc_id, x, regexp_extract_all(x, '{_PHONES}') AS m, string_split_regex(x, '{_PHONES}') AS g FROM d2 WHERE regexp_matches(x, '{_PHONES}')),
+c3 AS (SELECT doc_id, x, unnest(range(1, len(m) + 1)) AS i, m, g FROM c2),
+c4 AS (SELECT doc_id, x, m[i] AS one, CASE WHEN m[i][1] IN ('+', '(') AND m[i][1] = m[i][2] THEN m[i] ELSE regexp_extract(m[i], '(?s)\\d.*\\d') END AS v,
+  list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i-1], lambda y: length(y))), 0) AS pos FROM c3),
+calls AS (SELECT doc_id, regexp_replace(v, '([^\\d])[^\\d]', '\\1', 'g') AS value,
+  ((pos + strpos(one, v) - 1 + length(regexp_replace(left(x, (pos + strpos(one, v) - 1)::BIGINT), '[^\\d]', '', 'g'))) // 2)::INTEGER AS start FROM c4)
+"""
 #: Duck's places: lengths of the gaps and matches before. The text is folded of nothing, so they are code points.
 _FOUND = f"""
 parts AS (SELECT doc_id, text, regexp_extract_all(text, '{_EMAIL}') AS m, string_split_regex(text, '{_EMAIL}') AS g FROM documents WHERE regexp_matches(text, '{_EMAIL}')),
@@ -117,10 +153,14 @@ _add(
 )
 _add(
     "detect_phone",
-    lambda s, d: D.findings(_table(s, d, "documents"), [BY_NAME["phone"]]).filter(F.col("value").startswith("(")).select("doc_id", "value"),
-    f"SELECT doc_id, unnest(regexp_extract_all(text, '{_PAREN}')) AS value FROM documents",
+    lambda s, d: D.findings(_table(s, d, "documents"), [BY_NAME["phone"]]).select("doc_id", "start", "end", "value"),
+    f'WITH {_CALLS} SELECT doc_id, start, (start + length(value))::INTEGER AS "end", value FROM calls',
 )
-_add("detect_all_rules", lambda s, d: D.findings(_table(s, d, "documents")))
+#: Of the rules only those for e-mail and phone numbers find anything in the driver's documents; e-mail claims first.
+_ALL = f"""{_FOUND}, {_CALLS}, found AS (SELECT doc_id, 'email' AS type, start, (start + length(value))::INTEGER AS "end", value, 4 AS rule_id FROM emails
+  UNION ALL SELECT doc_id, 'phone', start, (start + length(value))::INTEGER, value, 15 FROM calls c WHERE NOT EXISTS
+    (SELECT 1 FROM emails e WHERE e.doc_id = c.doc_id AND e.start < c.start + length(c.value) AND c.start < e.start + length(e.value)))"""
+_add("detect_all_rules", lambda s, d: D.findings(_table(s, d, "documents")), f"WITH {_ALL} SELECT *, 'rule' AS source FROM found")
 _add(
     "findings_by_type",
     lambda s, d: D.findings_by_type(_email_findings(s, d)),
@@ -173,7 +213,17 @@ _add(
     SELECT doc_id, CASE WHEN l IS NULL THEN text ELSE list_reduce(list_prepend(text, l), lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2))) END AS redacted,
       coalesce(n, 0) AS n_replaced_candidates FROM documents LEFT JOIN puts USING (doc_id)""",
 )
-_add("redact_documents", lambda s, d: P.redact_documents(_table(s, d, "documents")))
+_add(
+    "redact_documents",
+    lambda s, d: P.redact_documents(_table(s, d, "documents")),
+    f"""WITH {_ALL}, firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, lower(value) ORDER BY start) AS n FROM found),
+    numbered AS (SELECT doc_id, value, concat(CASE type WHEN 'email' THEN '[CORREO ' ELSE '[TELEFONO ' END, row_number() OVER (PARTITION BY doc_id, type ORDER BY start), ']') AS tag FROM firsts WHERE n = 1),
+    -- Ten digits within a word (a token, say) are found but not replaced, as they have no word bounds.
+    puts AS (SELECT doc_id, count(*) AS n, list(concat(value, chr(1), tag) ORDER BY length(value) DESC) AS l FROM numbered JOIN documents USING (doc_id)
+      WHERE NOT regexp_full_match(value, '\\d{{10}}') OR regexp_matches(text, concat('(?:^|[^\\p{{L}}\\p{{N}}_])', value, '(?:$|[^\\p{{L}}\\p{{N}}_])')) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN l IS NULL THEN text ELSE list_reduce(list_prepend(text, l), lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2))) END AS redacted,
+      coalesce(n, 0) AS n_replaced_candidates FROM documents LEFT JOIN puts USING (doc_id)""",
+)
 
 
 def _synchronised(spark: SparkSession, d: str) -> DataFrame:
@@ -184,6 +234,124 @@ def _synchronised(spark: SparkSession, d: str) -> DataFrame:
 
 _add("incremental_occurrences", _synchronised, f"WITH {_FOUND} SELECT doc_id, count(*) AS n, min(start) AS first FROM emails GROUP BY doc_id")
 
+
+
+def _moved(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences known of the texts as they were; since then every document of an odd number has got a greeting."""
+    old = _table(spark, d, "documents").select("doc_id", "text")
+    c = D.candidates(_email_findings(spark, d))
+    now = old.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("hola, "), F.col("text"))).otherwise(F.col("text")))
+    return R.synchronise(now, c, R.occurrences(old, c)).select("doc_id", "start", "end")
+
+
+_add("incremental_changed_text", _moved, f"""WITH {_FOUND} SELECT doc_id, (start + 6 * (doc_id % 2))::INTEGER AS start, (start + 6 * (doc_id % 2) + length(value))::INTEGER AS "end" FROM emails""")
+
+# --- All rules together, on texts with several types, overlaps, rejected values and repeats: text -> (type, rule, start, value) of each
+# finding and the redacted text, worked out by hand from the rules; the SQL states them for each nation.
+
+_TEXTS: dict[str, tuple[list[tuple[str, int, int, str]], str]] = {
+    "Tel. +52 55 1234 5678, (55) 1234-5678, 55 1234 5678, 555 123 4567 y 5512345678.": (
+        [("phone", 15, 5, "+52 55 1234 5678"), ("phone", 15, 23, "(55) 1234-5678"), ("phone", 15, 39, "55 1234 5678"), ("phone", 15, 53, "555 123 4567"), ("phone", 15, 68, "5512345678")],
+        "Tel. [TELEFONO 1], [TELEFONO 2], [TELEFONO 3], [TELEFONO 4] y [TELEFONO 5].",
+    ),
+    "CLABE 012180001234567897 y tarjeta 4111 1111 1111 1111": ([("clabe", 14, 6, "012180001234567897"), ("identifier", 7, 35, "4111 1111 1111 1111")], "CLABE [CLABE 1] y tarjeta [IDENTIFICADOR 1]"),
+    "marca Sol, marca Zafiro y banco Norte Azul": ([("organization", 19, 17, "Zafiro"), ("organization", 18, 32, "Norte Azul")], "marca Sol, marca [EMPRESA 1] y banco [EMPRESA 2]"),
+    "ACTOR: JUAN PÉREZ LÓPEZ\nel C. Ana Ruiz Soto y la Lic. Ana Ruiz": (
+        [("name", 22, 7, "JUAN PÉREZ LÓPEZ"), ("name", 24, 30, "Ana Ruiz Soto"), ("name", 23, 54, "Ana Ruiz")],
+        "ACTOR: [NOMBRE 1]\nel C. [NOMBRE 2] y la Lic. [NOMBRE 3]",
+    ),
+    "Grupo Azul y Norte, S.A. de C.V. con Luz del Sur, S. de R.L.": (
+        [("organization", 17, 0, "Grupo Azul y Norte, S.A. de C.V."), ("organization", 17, 37, "Luz del Sur, S. de R.L.")],
+        "[EMPRESA 1] con [EMPRESA 2]",
+    ),
+    "Calle Morelos 5, Col. Centro, C.P. 06000; av. Juárez 450, Piso 2, Código Postal 06700.": (
+        [("address", 16, 0, "Calle Morelos 5, Col. Centro, C.P. 06000"), ("address", 16, 42, "av. Juárez 450, Piso 2, Código Postal 06700")],
+        "[DOMICILIO 1]; [DOMICILIO 2].",
+    ),
+    "a.b@c.mx, RFC ÑABC850315AB1, CURP HELJ850315HDFRRN09; A.B@C.MX": (
+        [("email", 4, 0, "a.b@c.mx"), ("rfc", 3, 14, "ÑABC850315AB1"), ("curp", 1, 34, "HELJ850315HDFRRN09"), ("email", 4, 54, "A.B@C.MX")],
+        "[CORREO 1], RFC [RFC 1], CURP [CURP 1]; [CORREO 1]",
+    ),
+    "nacida el 3 de Marzo de 1990 (33 años), expediente 12/2024 y escritura pública número 1,234": (
+        [("identifier", 11, 0, "nacida el 3 de Marzo de 1990 (33 años)"), ("identifier", 12, 40, "expediente 12/2024"), ("identifier", 13, 61, "escritura pública número 1,234")],
+        "[IDENTIFICADOR 1], [IDENTIFICADOR 2] y [IDENTIFICADOR 3]",
+    ),
+    "cédula profesional núm. 12345; placas ABC-123-A; pasaporte G12345678; CIC: 123456789012": (
+        [("cedula", 5, 0, "cédula profesional núm. 12345"), ("identifier", 10, 38, "ABC-123-A"), ("identifier", 8, 59, "G12345678"), ("identifier", 9, 75, "123456789012")],
+        "[CEDULA 1]; placas [IDENTIFICADOR 1]; pasaporte [IDENTIFICADOR 2]; CIC: [IDENTIFICADOR 3]",
+    ),
+    "Número de serie (VIN): 3VWFE21C04M000001, clave GRMNLS85031512M300, Notario Público No. 12, Instituto Nacional Electoral (INE)": (
+        [("identifier", 6, 23, "3VWFE21C04M000001"), ("identifier", 2, 48, "GRMNLS85031512M300"), ("identifier", 20, 68, "Notario Público No. 12"), ("organization", 21, 92, "Instituto Nacional Electoral (INE)")],
+        "Número de serie (VIN): [IDENTIFICADOR 1], clave [IDENTIFICADOR 2], [IDENTIFICADOR 3], [EMPRESA 1]",
+    ),
+}
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): the texts above for each nation."""
+    each = F.posexplode(F.array(*map(F.lit, _TEXTS))).alias("i", "text")
+    return _table(spark, d, "nation").select("n_nationkey", each).select((F.col("n_nationkey") * 100 + F.col("i")).alias("doc_id"), "text")
+
+
+_add(
+    "detect_together",
+    lambda s, d: D.findings(_written(s, d)).select("doc_id", "type", "rule_id", "start", "end", "value"),
+    'SELECT n_nationkey * 100 + i AS doc_id, type, rule_id, start, (start + length(value))::INTEGER AS "end", value FROM nation, (VALUES '
+    + ", ".join(f"({i}, '{t}', {r}, {a}, {_sql_text(v)})" for i, (found, _) in enumerate(_TEXTS.values()) for t, r, a, v in found)
+    + ") t(i, type, rule_id, start, value)",
+)
+_add(
+    "candidates_together",
+    lambda s, d: D.candidates(D.findings(_written(s, d))).select("doc_id", "ordinal", "original_text", "type"),
+    "SELECT n_nationkey * 100 + i AS doc_id, ordinal::INTEGER AS ordinal, value AS original_text, type FROM nation, (VALUES "
+    + ", ".join(f"({i}, '{t}', {o}, {_sql_text(v)})" for i, (found, _) in enumerate(_TEXTS.values()) for o, (t, _, _, v) in enumerate(found, 1) if v != "A.B@C.MX")
+    + ") t(i, type, ordinal, value)",
+)
+_REDACTED = (
+    "SELECT n_nationkey * 100 + i AS doc_id, redacted, n AS n_replaced_candidates FROM nation, (VALUES "
+    + ", ".join(f"({i}, {_sql_text(out)}, {len({v.lower() for _, _, _, v in found})}::BIGINT)" for i, (found, out) in enumerate(_TEXTS.values()))
+    + ") t(i, redacted, n)"
+)
+_add("redact_together", lambda s, d: P.redact_documents(_written(s, d)), _REDACTED)
+_add("redact_from_tables", lambda s, d: R.redact(_written(s, d), D.candidates(D.findings(_written(s, d)))), _REDACTED)
+
+
+def _retyped(spark: SparkSession, d: str) -> DataFrame:
+    """Reviewers call each first candidate an identifier, give each second one an unknown type, and leave out each third."""
+    c = D.candidates(D.findings(_written(spark, d)))
+    kind = F.when(F.col("ordinal") == 1, "identifier").when(F.col("ordinal") == 2, "nonsense")
+    edits = c.select("doc_id", "cand_id", kind.alias("type"), F.when(F.col("ordinal") == 3, False).alias("is_selected"))
+    return R.tags(E.apply_edits(c, edits)).select("doc_id", "ordinal", "type", "is_selected", "tag")
+
+
+_CANDIDATES = "(VALUES " + ", ".join(f"({i}, '{t}', {o})" for i, (found, _) in enumerate(_TEXTS.values()) for o, (t, _, _, v) in enumerate(found, 1) if v != "A.B@C.MX") + ") t(i, found, ordinal)"
+_LABELS = "CASE type " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, _, c in V.TYPES) + " END"
+_add(
+    "review_retype",
+    _retyped,
+    f"""WITH c AS (SELECT n_nationkey * 100 + i AS doc_id, ordinal::INTEGER AS ordinal, CASE WHEN ordinal = 1 THEN 'identifier' ELSE found END AS type, ordinal <> 3 AS is_selected FROM nation, {_CANDIDATES})
+    SELECT *, concat('[', {_LABELS}, ' ', CASE WHEN is_selected THEN (sum(is_selected::INTEGER) OVER (PARTITION BY doc_id, type ORDER BY ordinal))::VARCHAR ELSE '-' END, ']') AS tag FROM c""",
+)
+
+
+def _inserted(spark: SparkSession, d: str) -> DataFrame:
+    """Manual additions to the texts: one that is known, in capitals; words before and after what was found; what can't be redacted."""
+    docs = _written(spark, d)
+    c = D.candidates(D.findings(docs)).withColumn("is_selected", F.lit(False))
+    some = F.explode(F.array(*map(F.lit, ["zafiro", "MARCA  sol", "y banco", "Norte Azul", "x", "[RFC 1]", "ausente"])))
+    return E.add(docs, c, docs.select("doc_id", some.alias("snippet"))).select("doc_id", "ordinal", "original_text", "type", "is_selected")
+
+
+#: The third text has all four snippets; the additions go before the first candidate that stands later, by place.
+_add(
+    "manual_insert",
+    _inserted,
+    f"""WITH c AS (SELECT n_nationkey * 100 + i AS doc_id, i, ordinal, value AS original_text, type FROM nation, (VALUES
+      {", ".join(f"({i}, '{t}', {o}, {_sql_text(v)})" for i, (found, _) in enumerate(_TEXTS.values()) for o, (t, _, _, v) in enumerate(found, 1) if v != "A.B@C.MX")}) t(i, type, ordinal, value))
+    SELECT doc_id, ordinal::INTEGER AS ordinal, original_text, type, false AS is_selected FROM c WHERE i <> 2
+    UNION ALL SELECT n_nationkey * 100 + 2, o::INTEGER, v, t, b FROM nation, (VALUES (1, 'MARCA  sol', 'name', true), (2, 'Zafiro', 'organization', true), (3, 'y banco', 'name', true), (4, 'Norte Azul', 'organization', true)) x(o, v, t, b)""",
+)
+
 # --- Location of any needle.
 
 _NEEDLES = ("the", "of the", "is", "de la", "a.b")
@@ -392,6 +560,10 @@ _add(
 _add(
     "classify_benchmark",
     lambda s, d: _table(s, d, "benchmark").select("item_id", C.classify(F.col("text")).alias("type")),
+    # No rule covers 65 % of an item, so hints decide.
+    "WITH b AS (SELECT item_id, lower(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçý', 'aaaaaaeeeeiiiiooooouuuuncy')) AS t FROM benchmark) SELECT item_id, CASE "
+    + " ".join(f"WHEN {' OR '.join(f'contains(t, {_sql_text(h)})' for h in hints)} THEN '{kind}'" for hints, kind in ((V.ADDRESS_HINTS, "address"), (V.LICENCE_HINTS, "cedula"), (V.ORGANIZATION_HINTS, "organization"), (V.IDENTIFIER_HINTS, "identifier")))
+    + " ELSE 'name' END AS type FROM b",
 )
 _add(
     "redactable_snippets",
@@ -418,9 +590,10 @@ def _added(spark: SparkSession, d: str) -> DataFrame:
     return E.add(docs, c, first.unionByName(fresh)).select("doc_id", "ordinal", "original_text", "is_selected", "type")
 
 
-_add("manual_additions", _added)
+#: "@" is too short; the second candidate is selected again, and the order stays.
+_add("manual_additions", _added, f"WITH {_CANDS} SELECT doc_id, ordinal::INTEGER AS ordinal, original_text, ordinal = 2 OR ordinal % 2 = 1 AS is_selected, 'email' AS type FROM cands")
 
-# --- History. Its tables are made from the documents: the even ones are known, say, and all come in.
+# --- History. Its tables are made from the documents; those with a label are known, say, and all come in.
 
 _HISTORY = """h AS (SELECT doc_id::VARCHAR AS id, concat('Doc', doc_id, CASE WHEN doc_id % 3 = 0 THEN '.PDF' WHEN doc_id % 3 = 1 THEN '.docx' ELSE '.txt' END) AS file_name, sha256(text) AS file_hash,
   TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS processed_at, TIMESTAMP '2024-02-01' + to_seconds((doc_id * 7919) % 10007) AS updated_at, (doc_id % 5)::INTEGER AS candidate_count, text FROM documents)"""
@@ -443,6 +616,12 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """The history of the documents that have a label."""
+    return _history(spark, d).join(_table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id")), "id", "left_semi")
+
+
+_LABELLED = "(SELECT doc_id::VARCHAR FROM labels)"
 _add("fingerprint", lambda s, d: _history(s, d).select("id", "file_hash"), f"WITH {_HISTORY} SELECT id, file_hash FROM h")
 _add("search_preview", lambda s, d: _history(s, d).select("id", "search_preview"), f"WITH {_HIST} SELECT id, search_preview FROM hist")
 _add(
@@ -452,29 +631,30 @@ _add(
 )
 _add(
     "duplicate_lookup",
-    lambda s, d: H.duplicates(_history(s, d).select(F.col("id").alias("incoming"), "file_hash"), _history(s, d).filter("cast(id AS long) % 2 = 0")).drop("existing_name"),
-    f"""WITH {_HIST}, f AS (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY updated_at DESC, id) AS n FROM hist WHERE id::BIGINT % 2 = 0)
+    lambda s, d: H.duplicates(_history(s, d).select(F.col("id").alias("incoming"), "file_hash"), _known(s, d)).drop("existing_name"),
+    f"""WITH {_HIST}, f AS (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY updated_at DESC, id) AS n FROM hist WHERE id IN {_LABELLED})
       SELECT i.id AS incoming, i.file_hash, f.id AS existing_id FROM hist i JOIN f ON f.file_hash = i.file_hash AND f.n = 1""",
 )
 _add(
     "unseen_files",
-    lambda s, d: H.unseen(_history(s, d).select("id", "file_hash"), _history(s, d).filter("cast(id AS long) % 2 = 0")),
-    f"WITH {_HIST} SELECT id, file_hash FROM hist i WHERE NOT EXISTS (SELECT 1 FROM hist e WHERE e.file_hash = i.file_hash AND e.id::BIGINT % 2 = 0)",
+    lambda s, d: H.unseen(_history(s, d).select("id", "file_hash"), _known(s, d)),
+    f"WITH {_HIST} SELECT id, file_hash FROM hist i WHERE NOT EXISTS (SELECT 1 FROM hist e WHERE e.file_hash = i.file_hash AND e.id IN {_LABELLED})",
 )
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    h = _history(spark, d).filter("cast(id AS long) % 10 = 3")
+    """A change of every labelled document, and a new one for each."""
+    h = _known(spark, d)
     new = h.withColumn("id", F.concat(F.lit("new"), F.col("id")))
     return h.unionByName(new).withColumn("candidate_count", F.lit(99)).withColumn("processed_at", F.to_timestamp_ntz(F.lit("2025-01-01 00:00:00"))).withColumn("updated_at", F.to_timestamp_ntz(F.lit("2025-01-01 00:00:00")))
 
 
 _add(
     "history_upsert",
-    lambda s, d: H.upsert(_history(s, d).filter("try_cast(id AS long) % 4 <> 1"), _changes(s, d)).drop("search_preview"),
-    f"""WITH {_HIST}, old AS (SELECT * FROM hist WHERE id::BIGINT % 4 <> 1),
+    lambda s, d: H.upsert(_history(s, d), _changes(s, d)).drop("search_preview"),
+    f"""WITH {_HIST}, old AS (SELECT * FROM hist),
     ch AS (SELECT * REPLACE (99 AS candidate_count, TIMESTAMP '2025-01-01' AS processed_at, TIMESTAMP '2025-01-01' AS updated_at) FROM
-      (SELECT * FROM hist WHERE id::BIGINT % 10 = 3 UNION ALL SELECT * REPLACE ('new' || id AS id) FROM hist WHERE id::BIGINT % 10 = 3))
+      (SELECT * FROM hist WHERE id IN {_LABELLED} UNION ALL SELECT * REPLACE ('new' || id AS id) FROM hist WHERE id IN {_LABELLED}))
     SELECT id, file_name, file_hash, processed_at, updated_at, candidate_count FROM old WHERE id NOT IN (SELECT id FROM ch)
     UNION ALL SELECT ch.id, ch.file_name, ch.file_hash, coalesce(old.processed_at, ch.processed_at), ch.updated_at, ch.candidate_count FROM ch LEFT JOIN old USING (id)""",
 )
@@ -495,8 +675,8 @@ _add(
 )
 _add(
     "history_in_flight",
-    lambda s, d: H.with_in_flight(_history(s, d).filter("cast(id AS long) % 2 = 0"), _history(s, d).filter("cast(id AS long) % 3 = 0")).select("id", "rank"),
-    f"""WITH {_HIST} SELECT id, 0::INTEGER AS rank FROM hist WHERE id::BIGINT % 3 = 0 AND id::BIGINT % 2 = 1 UNION ALL SELECT id, 1 FROM hist WHERE id::BIGINT % 2 = 0""",
+    lambda s, d: H.with_in_flight(_known(s, d), _history(s, d)).select("id", "rank"),
+    f"""WITH {_HIST} SELECT id, (id IN {_LABELLED})::INTEGER AS rank FROM hist""",
 )
 
 
@@ -511,8 +691,28 @@ def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
 _add("history_rebuild", _rebuilt, f"WITH {_HIST} SELECT id, file_name, candidate_count, search_preview FROM hist WHERE id::BIGINT % 5 <> 0")
 _add(
     "last_writes",
-    lambda s, d: H.last_writes(_table(s, d, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("updated_at"), "event_id")).select("id", "updated_at"),
-    "SELECT user_id AS id, max(ts) AS updated_at FROM events GROUP BY user_id",
+    lambda s, d: H.last_writes(_table(s, d, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("updated_at"), "event_id"), 3_600_000, "event_id").select("id", "updated_at", "event_id"),
+    """SELECT id, updated_at, event_id FROM (SELECT user_id AS id, ts AS updated_at, event_id, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events)
+      WHERE later IS NULL OR later - updated_at > INTERVAL 1 HOUR""",
+)
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """Records of all documents, saved once; those with a label were saved again with 77 candidates."""
+    none = F.array().cast(H.RECORD["candidates"].dataType)
+    made = lambda h, n: h.select("id", F.lit(n).cast("long").alias("written"), H.record(F.struct(*h.columns), F.lit("t"), none).alias("json"))
+    return made(_history(spark, d), 1).unionByName(made(_known(spark, d).withColumn("candidate_count", F.lit(77)), 2))
+
+
+_add(
+    "record_replace",
+    lambda s, d: H.rebuild(H.latest_records(_versions(s, d))).select("id", "file_name", "candidate_count"),
+    f"WITH {_HIST} SELECT id, file_name, CASE WHEN id IN {_LABELLED} THEN 77 ELSE candidate_count END AS candidate_count FROM hist",
+)
+_add(
+    "record_lookup",
+    lambda s, d: load_record(_versions(s, d), "7").select("summary.id", "summary.file_name", "summary.candidate_count", "original_text"),
+    f"WITH {_HIST} SELECT id, file_name, CASE WHEN id IN {_LABELLED} THEN 77 ELSE candidate_count END AS candidate_count, 't' AS original_text FROM hist WHERE id = '7'",
 )
 
 # --- Sources and sinks.
@@ -524,8 +724,8 @@ _add(
 )
 _add(
     "decode_text",
-    lambda s, d: _table(s, d, "documents").select("doc_id", F_.decode_text(F.when(F.col("doc_id") % 2 == 0, F.col("text").cast("binary")).otherwise(F.unhex(F.lit("6DE978")))).alias("text")),
-    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'méx' END AS text FROM documents",
+    lambda s, d: _table(s, d, "documents").select("doc_id", F_.decode_text(F.when(F.col("doc_id") % 2 == 0, F.col("text").cast("binary")).otherwise(F.encode("text", "ISO-8859-1"))).alias("text")),
+    "SELECT doc_id, text FROM documents",  # its texts have no other characters than Latin-1's
 )
 
 
@@ -534,7 +734,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     pages = docs.select(
         F.concat(F.lit("f"), (F.col("doc_id") % 100).cast("string")).alias("path"),
         F.floor(F.col("doc_id") / 100).cast("int").alias("page_no"),
-        F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\f"))).otherwise(F.lit("p. 1")).alias("embedded"),
+        F.concat("text", F.lit("\f")).alias("embedded"),
         F.when(F.col("doc_id") % 3 == 0, F.lit(" recognised ")).alias("recognised"),
     )
     return F_.join_pages(pages)
@@ -543,7 +743,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 _add(
     "pdf_pages",
     _pages,
-    """WITH p AS (SELECT doc_id, concat('f', doc_id % 100) AS path, doc_id // 100 AS n, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'p. 1' END AS em, CASE WHEN doc_id % 3 = 0 THEN 'recognised' END AS re FROM documents),
+    """WITH p AS (SELECT doc_id, concat('f', doc_id % 100) AS path, doc_id // 100 AS n, text AS em, CASE WHEN doc_id % 3 = 0 THEN 'recognised' END AS re FROM documents),
     t AS (SELECT path, n, CASE WHEN length(regexp_replace(em, '[^\\p{L}\\p{M}\\p{N}]', '', 'g')) >= 40 THEN regexp_replace(em, '^\\s+|\\s+$', '', 'g') ELSE coalesce(re, nullif(regexp_replace(em, '^\\s+|\\s+$', '', 'g'), '')) END AS t FROM p)
     SELECT path, string_agg(t, chr(10) ORDER BY n) AS text FROM t WHERE t <> '' GROUP BY path""",
 )
@@ -563,9 +763,124 @@ _add(
     lambda s, d: D.type_dimension(_table(s, d, "nation")),
     "SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})" for a, b, c in V.TYPES) + ") t(type, display_name, tag_label)",
 )
-_add("model_chunks", lambda s, d: chunks(_table(s, d, "documents")).select("doc_id", "chunk_idx", "start", F.length("chunk").alias("n")))
+_add(
+    "model_chunks",
+    lambda s, d: chunks(_table(s, d, "documents")).select("doc_id", "chunk_idx", "start", F.length("chunk").alias("n")),
+    f"""WITH RECURSIVE c AS (SELECT doc_id, text, length(text) AS size, 0 AS i, 0 AS a, {(cut := "CASE WHEN A + 1800 < length(text) AND contains(substr(text, A + 1, 1800), chr(10)) THEN A + length(substr(text, A + 1, 1800)) - strpos(reverse(substr(text, A + 1, 1800)), chr(10)) + 1 ELSE least(A + 1800, length(text)) END").replace("A +", "0 +")} AS e
+      FROM documents WHERE trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> ''
+      UNION ALL SELECT doc_id, text, size, i + 1, b, {cut.replace("A +", "b +")} FROM (SELECT *, CASE WHEN e - 200 > a THEN e - 200 ELSE e END AS b FROM c WHERE e < size))
+    SELECT doc_id, i::INTEGER AS chunk_idx, a::INTEGER AS start, (e - a)::INTEGER AS n FROM c""",
+)
 _add(
     "needle_patterns",
     lambda s, d: _table(s, d, "nation").select("n_nationkey", needle_pattern(F.concat(F.lit("C.  "), "n_name")).alias("pattern")),
     "SELECT n_nationkey, concat('(?iuU)\\bC\\.\\s+', array_to_string(list_transform(string_split_regex(n_name, '\\s+'), lambda t: concat('\\b', regexp_replace(t, '([.#-])', '\\\\\\1', 'g'), '\\b')), '\\s+')) AS pattern FROM nation",
 )
+
+
+# --- Files, pages and the model layer, with readers and a model that stand for those outside.
+
+
+def _paged(path: str, content: bytes) -> list[tuple[str | None, str | None]]:
+    if b"damaged" in content:
+        raise OSError("no pages")
+    return [(p, None) if len(p) > 50 else (p, "leído") for p in content.decode().split("|")]
+
+
+def _old_word(path: str, content: bytes) -> str:
+    return content.decode("latin-1").removeprefix("OLD ")
+
+
+def _docx(name: str) -> bytes:
+    """A Word file of two paragraphs, a table stop, a footer and a header."""
+    out = io.BytesIO()
+    word = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    run = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/footer1.xml", f"<w:ftr {word}>{run('pie')}</w:ftr>")
+        z.writestr("word/document.xml", f"<w:document {word}><w:body>{run(name)}<w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>c</w:t></w:r></w:p></w:body></w:document>")
+        z.writestr("word/header1.xml", f"<w:hdr {word}>{run('alto')}</w:hdr>")
+    return out.getvalue()
+
+
+_LONG = "una página con texto bastante para que se le crea, sin duda"
+#: File name -> content as Spark's SQL, and text and error as Duck's, for a nation's name.
+_FILES = {
+    "a.txt": ("cast(n_name AS binary)", "n_name", "NULL"),
+    "b.TEXT": ("encode('año', 'ISO-8859-1')", "'año'", "NULL"),
+    "c.docx": ("docx", "concat(n_name, chr(10), 'a', chr(9), 'b', chr(10), 'c', chr(10), chr(10), 'alto', chr(10), chr(10), 'pie')", "NULL"),
+    "d.docx": ("cast('no zip' AS binary)", "'no zip'", "NULL"),
+    "e.doc": ("cast('OLD text' AS binary)", "'text'", "NULL"),
+    "f.pdf": (f"cast('{_LONG}|x||y' AS binary)", f"concat('{_LONG}', chr(10), 'leído', chr(10), 'leído', chr(10), 'leído')", "NULL"),
+    "g.pdf": ("cast('damaged' AS binary)", "NULL", "'unreadablePDF'"),
+    "h.bin": ("cast('x' AS binary)", "NULL", "'unsupportedFileType'"),
+    "i.txt": ("cast(' \t' AS binary)", "NULL", "'emptyDocument'"),
+    "j.txt": ("cast(NULL AS binary)", "NULL", "'readFailed'"),
+    "k": ("cast('x' AS binary)", "NULL", "'unsupportedFileType'"),
+}
+
+
+def _extracted(spark: SparkSession, d: str) -> DataFrame:
+    nations = _table(spark, d, "nation").withColumn("docx", F.udf(_docx, "binary")("n_name"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.expr(sql).alias("content")) for name, (sql, _, _) in _FILES.items()])).alias("f")
+    files = nations.select("n_nationkey", each).select(F.concat(F.lit("/in/"), F.col("n_nationkey").cast("string"), F.lit("."), F.col("f.name")).alias("path"), "f.content")
+    return F_.extract(files, _paged, _old_word).select("path", "text", "error_code")
+
+
+_add(
+    "extract_files",
+    _extracted,
+    " UNION ALL ".join(f"SELECT concat('/in/', n_nationkey, '.{name}') AS path, {text} AS text, {error} AS error_code FROM nation" for name, (_, text, error) in _FILES.items()),
+)
+_add(
+    "reading_order",
+    lambda s, d: F_.reading_order(_table(s, d, "part").select((F.col("p_partkey") % 50).alias("page"), F.col("p_name").alias("text"), ((F.col("p_partkey") % 97) / 97).alias("min_x"), (F.col("p_size") / 60).alias("max_y")), "page"),
+    """SELECT page, regexp_replace(string_agg(text, chr(10) ORDER BY row, min_x, text), '^\s+|\s+$', '', 'g') AS text FROM
+      (SELECT p_partkey % 50 AS page, p_name AS text, (p_partkey % 97)::DOUBLE / 97 AS min_x, floor((1 - p_size::DOUBLE / 60) / 0.02::DOUBLE) AS row FROM part) GROUP BY page""",
+)
+
+
+def _progress(spark: SparkSession, d: str) -> DataFrame:
+    """What the observation of a scan of all documents holds once the scan is done."""
+    df, seen = with_progress(_table(spark, d, "documents").select("doc_id", F.nullif(F.col("text"), F.lit("")).alias("text")), "scan", "text")
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["text"])], "rows long, texts long")
+
+
+_add("progress_counts", _progress, "SELECT count(*) AS rows, count(nullif(text, '')) AS texts FROM documents")
+
+
+def _answer(instructions: str, chunk: str) -> dict[str, list[str]]:
+    """A model that names a nation's parties and repeats itself, and fails on chunks without any."""
+    if "Firma" not in chunk:
+        raise ValueError("nothing asked" if not instructions else "no parties")
+    return {"names": ["Ana Ruiz", " ana  ruiz", "Ana Ruiz Soto", "x"] + [f"Nadie {i}" for i in range(40)], "organizations": ["Norte Azul"], "phones": ["no hay"]}
+
+
+def _letters(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): a letter for each nation, longer than a chunk, with its parties at the start."""
+    return _table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("Firma Ana Ruiz Soto de Norte Azul en "), "n_name", F.lit(".\nANA RUIZ firma. "), F.repeat(F.lit("relleno "), F.lit(400))).alias("text"))
+
+
+_add(
+    "model_answers",
+    lambda s, d: gather(generate(chunks(_letters(s, d)), _answer)).select("doc_id", F.size("names").alias("n_names"), F.size("organizations").alias("n_organizations"), F.size("emails").alias("n_emails")),
+    "SELECT n_nationkey AS doc_id, 24 AS n_names, 1 AS n_organizations, 0 AS n_emails FROM nation",
+)
+
+
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    """The model's spans supplemented by a tagger's: one overlaps, one is a word of the common nouns, one is of no wanted type, one is new."""
+    docs = _letters(spark, d)
+    span = lambda kind, a, b, value: F.struct(F.lit(kind).alias("type"), F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(value).alias("value"), F.lit(2000).alias("rule_id"), F.lit("tagger").alias("source"))
+    tagged = docs.select("doc_id", F.array(span("name", 6, 14, "Ana Ruiz"), span("organization", 15, 18, "firma"), span("place", 34, 36, "en"), span("name", 0, 5, "Firma Sol")).alias("spans"))
+    found = contextual(docs, _answer, tagged).select("doc_id", F.explode("spans").alias("s"))
+    return found.select("doc_id", "s.type", "s.start", "s.end", "s.value", "s.source")
+
+
+_add(
+    "model_layer",
+    _context,
+    """SELECT n_nationkey AS doc_id, type, start, "end", value, source FROM nation, (VALUES ('name', 0, 5, 'Firma Sol', 'tagger'), ('name', 6, 19, 'Ana Ruiz Soto', 'model'), ('organization', 23, 33, 'Norte Azul', 'model')) t(type, start, "end", value, source)
+    UNION ALL SELECT n_nationkey, 'name', 39 + length(n_name), 47 + length(n_name), 'ANA RUIZ', 'model' FROM nation""",
+)

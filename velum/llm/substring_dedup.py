@@ -32,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.llm.common import materialise, mix64, prefix_hash, range_hash, small_batches, string, table, text_bytes, text_slices, tidy, whole_groups
@@ -395,6 +395,18 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(body)).alias("node"), F.hash(body).alias("t"), F.col(key).alias("key"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("digest"))
 
 
+def _merged(parts: Column) -> Column:
+    """struct<a,b> of arrays: stretches in order of place, those that meet as one (neighbouring extents overlap by a window)."""
+    none = F.array().cast("array<int>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc["b"], F.lit(-1))
+        grown = F.struct(acc["a"].alias("a"), F.concat(F.slice(acc["b"], 1, F.size(acc["b"]) - 1), F.array(F.greatest(last, x["b"]))).alias("b"))
+        return F.when(x["a"] <= last, grown).otherwise(F.struct(F.concat(acc["a"], F.array(x["a"])).alias("a"), F.concat(acc["b"], F.array(x["b"])).alias("b")))
+
+    return F.aggregate(parts, F.struct(none.alias("a"), none.alias("b")), step)
+
+
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "none") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row; kept is the bytes that stay, as binary."""
     small_batches(docs.sparkSession)
@@ -402,7 +414,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str =
     copies = materialise(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("one")).filter("copies > 1").select("digest", "one"), "copies")
     marked = rows.join(_small(copies), "digest", "left")
     texts = marked.filter("one is null or one = node").select("node", "t", "text")
-    parts = stretches(texts, keep).groupBy("node", "t").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("parts"))
+    parts = stretches(texts, keep).groupBy("node", "t").agg(_merged(F.sort_array(F.collect_list(F.struct("a", "b")))).alias("parts"))
     cut = materialise(parts, "stretches")
     gone = F.col("one").isNotNull() if keep == "none" else F.col("one").isNotNull() & (F.col("one") != F.col("node"))
     joined = marked.join(_small(cut), ["node", "t"], "left").select(

@@ -3,15 +3,16 @@
 1. Each text's set of word shingles gives a MinHash signature of BANDS * ROWS values; texts of equal sets are one
    class from then on, so thousands of copies cost one row. Signatures are written once.
 2. Classes that share a band's values are banded candidates; only such pairs are ever compared. To ship each text once,
-   the classes that buckets connect (families) are compared in one task where a family fits one, else bucket by bucket
-   (buckets of equal members once).
+   the classes that buckets connect (families) are compared in one task where a family fits one (buckets of equal members
+   count once).
 3. Within a task signatures of candidates are compared in batches of ``BATCH`` values, a pair being given up once the
    posterior probability that its similarity reaches the threshold falls below ``MISS`` (uniform prior). Survivors are
    verified on their full shingle sets, the likeliest first, unless links already found connect the two. So no pair is
    emitted but those that connect.
-4. A bucket too large for one task is cut into blocks. Each block is compared in itself and with the bucket's first class,
-   which connects a large group of near copies in one pass. Then what isn't in a bucket's largest component is compared with
-   all blocks, pairs already connected left out. So every pair of a bucket is compared or connected, at any size.
+4. A family too large for one task is cut into blocks. Each block is compared in itself and with the family's first class,
+   which connects a large group of near copies in one pass. Then the buckets that still hold several components are cut into
+   blocks, and what isn't in a bucket's largest component is compared with all of its blocks, pairs already connected left
+   out. So every pair of a bucket is compared or connected, at any size.
 5. The connected parts of the verified links are the components.
 
 At BANDS, ROWS a pair at the threshold 0.85 shares a band with probability 1 - 4e-7 (0.8: 1 - 5e-5).
@@ -292,19 +293,19 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     many = sized.filter("blocks > 1").select("component")
     if many.isEmpty():
         return _compare(small, classes, texts, percent)
-    crowded = weighed.join(many, "component").select("id", "n")
-    large = members.join(crowded, "id")
-    per = large.groupBy("key").agg(*count).withColumn("blocks", _blocks()).select("key", "blocks")
-    cut = materialise(large.join(per, "key").select("key", "id", "hub", "n", "blocks", _block(1, "blocks").alias("block")), "blocks")
-    hubs = cut.filter("id = hub").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id")
-    once = cut.select("key", "block", "id").filter("id is not null").unionByName(hubs).distinct()
-    first = once.select(F.col("key").alias("g"), F.col("block").alias("i"), zero.alias("j"), "id", no.alias("left"), F.col("id").alias("known"))
+    crowded = weighed.join(many, "component")
+    blocks = crowded.join(sized.select("component", "blocks"), "component").select(F.col("component").alias("g"), "id", "blocks", _block(1, "blocks").alias("i"))
+    hubs = blocks.filter("id = g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "id")
+    first = blocks.select("g", "i", "id").unionByName(hubs).distinct().select("g", "i", zero.alias("j"), "id", no.alias("left"), F.col("id").alias("known"))
     found = materialise(_compare(small.unionByName(first), classes, texts, percent), "links-first")
-    # What isn't in its bucket's largest component meets all blocks.
+    # In each bucket, what isn't in its largest component meets all blocks of the bucket.
     parts = materialise(components(found).withColumnsRenamed({"component": "known"}), "parts")
-    placed = cut.filter("blocks > 1").join(parts, "id", "left").withColumn("known", F.coalesce("known", "id"))
-    most = placed.groupBy("key", "known").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("known", "c").alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    placed = materialise(placed.join(most.select("key", "most"), "key"), "placed")
+    known = crowded.select("id", "n").join(parts, "id", "left").select("id", "n", F.coalesce("known", "id").alias("known"))
+    mine = materialise(members.select("key", "id").join(known, "id"), "crowded")
+    per = mine.groupBy("key").agg(*count, F.min("known").alias("least"), F.max("known").alias("last")).filter("least <> last").withColumn("blocks", _blocks()).select("key", "blocks")
+    cut = mine.join(per, "key").withColumn("block", _block(1, "blocks"))
+    most = cut.groupBy("key", "known").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("known", "c").alias("most"))
+    placed = materialise(cut.join(most, "key"), "placed")
     outside = placed.filter("known <> most")
     sizes = outside.groupBy("key").agg(*count).select("key", _blocks().alias("outer"))
     several = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

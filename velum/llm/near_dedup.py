@@ -232,6 +232,7 @@ def connect(ids: np.ndarray, left: np.ndarray, known: np.ndarray, marks: np.ndar
 
 def _compare(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): verified links within the groups (g, i, j, id, left, known) of classes (id, n, c1, signature) with texts (id, text)."""
+    groups = materialise(groups, "groups")
     rows = groups.join(classes.select("id", "n", "c1", "signature"), "id").join(texts, "id")
     total = groups.join(classes.select("id", "n"), "id").agg(F.sum("n").alias("n")).first()["n"] or 0
     spark = groups.sparkSession
@@ -287,17 +288,17 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     count = [F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")]
     sized = materialise(weighed.groupBy("component").agg(*count).withColumn("blocks", _blocks()), "sizes")
     zero, no = F.lit(0), F.lit(False)
-    small = weighed.join(sized.filter("blocks = 1"), "component").select(F.col("component").alias("g"), F.lit(-1).alias("i"), zero.alias("j"), "id", no.alias("left"), F.col("id").alias("known"))
     ids = materialise(families.select(F.col("id").alias("node")), "ids")
     texts = materialise(_keep_ids(docs, ids, "node", "left_semi").dropDuplicates(["node", "text"]).select(F.col("node").alias("id"), "text"), "texts")
+    # A family is one block, or several, in each of which its first class stands too.
+    hub = F.col("id") == F.col("component")
+    block = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block(1, "blocks")))
+    first = weighed.join(sized.select("component", "blocks"), "component").select(F.col("component").alias("g"), F.explode(block).alias("i"), zero.alias("j"), "id", no.alias("left"), F.col("id").alias("known"))
+    found = materialise(_compare(first, classes, texts, percent), "links-first")
     many = sized.filter("blocks > 1").select("component")
     if many.isEmpty():
-        return _compare(small, classes, texts, percent)
+        return found
     crowded = weighed.join(many, "component")
-    blocks = crowded.join(sized.select("component", "blocks"), "component").select(F.col("component").alias("g"), "id", "blocks", _block(1, "blocks").alias("i"))
-    hubs = blocks.filter("id = g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "id")
-    first = blocks.select("g", "i", "id").unionByName(hubs).distinct().select("g", "i", zero.alias("j"), "id", no.alias("left"), F.col("id").alias("known"))
-    found = materialise(_compare(small.unionByName(first), classes, texts, percent), "links-first")
     # In each bucket, what isn't in its largest component meets all blocks of the bucket.
     parts = materialise(components(found).withColumnsRenamed({"component": "known"}), "parts")
     known = crowded.select("id", "n").join(parts, "id", "left").select("id", "n", F.coalesce("known", "id").alias("known"))

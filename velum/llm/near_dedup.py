@@ -10,9 +10,10 @@
    verified on their full shingle sets, the likeliest first, unless links already found connect the two. So no pair is
    emitted but those that connect.
 4. A family too large for one task is cut into blocks. Each block is compared in itself and with the family's first class,
-   which connects a large group of near copies in one pass. Then the buckets that still hold several components are cut into
-   blocks, and what isn't in a bucket's largest component is compared with all of its blocks, pairs already connected left
-   out. So every pair of a bucket is compared or connected, at any size.
+   which connects a large group of near copies in one pass. Then what a bucket that still holds several components has outside
+   its largest is compared with blocks of the bucket's members, pairs already connected left out. Those outside the same
+   component share blocks, so its members are sent once for many buckets. So every pair of a bucket is compared or
+   connected, at any size.
 5. The connected parts of the verified links are the components.
 
 At BANDS, ROWS a pair at the threshold 0.85 shares a band with probability 1 - 4e-7 (0.8: 1 - 5e-5).
@@ -298,20 +299,29 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     many = sized.filter("blocks > 1").select("component")
     if many.isEmpty():
         return found
-    crowded = weighed.join(many, "component")
-    # In each bucket, what isn't in its largest component meets all blocks of the bucket.
+    # What a bucket holds outside its largest component meets the bucket's members.
     parts = materialise(components(found).withColumnsRenamed({"component": "known"}), "parts")
-    known = crowded.select("id", "n").join(parts, "id", "left").select("id", "n", F.coalesce("known", "id").alias("known"))
-    mine = materialise(members.select("key", "id").join(known, "id"), "crowded")
-    per = mine.groupBy("key").agg(*count, F.min("known").alias("least"), F.max("known").alias("last")).filter("least <> last").withColumn("blocks", _blocks()).select("key", "blocks")
-    cut = mine.join(per, "key").withColumn("block", _block(1, "blocks"))
-    most = cut.groupBy("key", "known").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("known", "c").alias("most"))
-    placed = materialise(cut.join(most, "key"), "placed")
-    outside = placed.filter("known <> most")
-    sizes = outside.groupBy("key").agg(*count).select("key", _blocks().alias("outer"))
-    several = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    out = outside.join(sizes, "key").withColumn("i", _block(2, "outer")).select(F.col("key").alias("g"), "i", several("blocks").alias("j"), "id", F.lit(True).alias("left"), "known")
-    within = placed.join(sizes, "key").select(F.col("key").alias("g"), several("outer").alias("i"), F.col("block").alias("j"), "id", no.alias("left"), "known")
+    known = materialise(weighed.join(many, "component").join(parts, "id", "left").select("component", "id", "n", F.coalesce("known", "id").alias("known")), "known")
+    several = known.groupBy("component").agg(F.min("known").alias("least"), F.max("known").alias("last")).filter("least <> last").select("component")
+    keys = F.collect_set("key").alias("keys")
+    mine = members.groupBy("id").agg(keys).join(known.join(several, "component"), "id")
+    mine = materialise(mine.select(F.explode("keys").alias("key"), "id", "n", "known"), "crowded")
+    per = mine.groupBy("key", "known").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("known", "c").alias("most"))
+    placed = materialise(mine.join(per.filter("parts > 1").select("key", "most"), "key"), "placed")
+    # Those outside one component share blocks, so that its members are sent once for many buckets; a bucket that fills blocks has its own.
+    alone = materialise(placed.filter("known <> most").groupBy("id", "n", "known").agg(F.min("most").alias("most"), F.min("key").alias("lead"), keys), "outside")
+    leads = alone.groupBy("most", "lead").agg(*count).withColumn("own", _blocks())
+    pools = leads.filter("own = 1").groupBy("most").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).select("most", _blocks().alias("pool"))
+    own, pooled = F.col("own") > 1, F.pmod(F.xxhash64(F.lit(2), "lead"), F.col("pool")).cast("int")
+    outer = alone.join(leads.select("most", "lead", "own"), ["most", "lead"]).join(pools, "most", "left")
+    outer = materialise(outer.select(F.when(own, F.col("lead")).otherwise(F.col("most")).alias("g"), F.when(own, _block(2, "own")).otherwise(pooled).alias("i"), "id", "known", "keys"), "outer")
+    touched = outer.select("g", "i", F.explode("keys").alias("key")).distinct()
+    inner = materialise(touched.join(placed.select("key", "id", "n", "known"), "key").select("g", "i", "id", "n", "known").distinct(), "inner")
+    sizes = materialise(inner.groupBy("g", "i").agg(*count).select("g", "i", _blocks().alias("blocks")), "block-sizes")
+    sizes = F.broadcast(sizes) if 3 * sizes.count() <= BROADCAST_IDS else sizes
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
+    out = outer.join(sizes, ["g", "i"]).select("g", "i", every, "id", F.lit(True).alias("left"), "known")
+    within = inner.join(sizes, ["g", "i"]).select("g", "i", _block(3, "blocks").alias("j"), "id", no.alias("left"), "known")
     return found.unionByName(_compare(out.unionByName(within), classes, texts, percent))
 
 

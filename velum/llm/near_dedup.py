@@ -12,8 +12,8 @@
 4. A family too large for one task is cut into blocks. Each block is compared in itself and with the family's first class,
    which connects a large group of near copies in one pass. Then what a bucket that still holds several components has outside
    its largest is compared with blocks of the bucket's members, pairs already connected left out. Those outside the same
-   component share blocks, so its members are sent once for many buckets. So every pair of a bucket is compared or
-   connected, at any size.
+   component share blocks, so its members are sent once for many buckets, and a block whose buckets together have more rows
+   than its family gets the family instead. So every pair of a bucket is compared or connected, at any size.
 5. The connected parts of the verified links are the components.
 
 At BANDS, ROWS a pair at the threshold 0.85 shares a band with probability 1 - 4e-7 (0.8: 1 - 5e-5).
@@ -279,18 +279,23 @@ def _block(seed: int, blocks: str) -> Column:
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): verified links that connect the similar classes. docs: (node, text); classes: (id, n, c1, signature)."""
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * ROWS * 4 + 1, F.lit(ROWS * 4)))))
-    keyed = classes.select("id", band.alias("key"))
-    marks = [F.sum(F.xxhash64(F.lit(s), "id").cast("decimal(20,0)")).alias(f"s{s}") for s in (1, 2)]
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), *marks).filter("hub <> last")
+    keyed = classes.select("id", "c1", band.alias("key"))
+    # Most keys have one id: those of several are found by two numbers a key, and only their rows are looked at further.
+    shared = materialise(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key"), "shared")
+    met = materialise(_keep_ids(keyed, shared, "key", "left_semi"), "met")
+    marks = [F.bit_xor(F.xxhash64(F.lit(s), "id", "c1")).alias(f"s{s}") for s in (1, 2)]
+    buckets = met.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), *marks)
     distinct = materialise(buckets.groupBy("s1", "s2", "hub", "last").agg(F.min("key").alias("key")).select("key", "hub"), "buckets")
-    members = materialise(keyed.join(distinct, "key").select("key", "id", "hub").distinct(), "members")
+    members = materialise(met.join(distinct, "key").select("key", "id", "hub").distinct(), "members")
     families = materialise(components(members.select(F.col("id").alias("a"), F.col("hub").alias("b"))), "families")
+    ids = materialise(families.select("id"), "ids")
+    # Signatures and texts of the candidates alone go on.
+    classes = materialise(_keep_ids(classes, ids, "id", "left_semi"), "candidates")
     weighed = families.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
     count = [F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")]
     sized = materialise(weighed.groupBy("component").agg(*count).withColumn("blocks", _blocks()), "sizes")
     zero, no = F.lit(0), F.lit(False)
-    ids = materialise(families.select(F.col("id").alias("node")), "ids")
-    texts = materialise(_keep_ids(docs, ids, "node", "left_semi").dropDuplicates(["node", "text"]).select(F.col("node").alias("id"), "text"), "texts")
+    texts = materialise(_keep_ids(docs.withColumnRenamed("node", "id"), ids, "id", "left_semi").dropDuplicates(["id", "text"]).select("id", "text"), "texts")
     # A family is one block, or several, in each of which its first class stands too.
     hub = F.col("id") == F.col("component")
     block = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block(1, "blocks")))
@@ -305,18 +310,26 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     several = known.groupBy("component").agg(F.min("known").alias("least"), F.max("known").alias("last")).filter("least <> last").select("component")
     keys = F.collect_set("key").alias("keys")
     mine = members.groupBy("id").agg(keys).join(known.join(several, "component"), "id")
-    mine = materialise(mine.select(F.explode("keys").alias("key"), "id", "n", "known"), "crowded")
+    mine = materialise(mine.select(F.explode("keys").alias("key"), "component", "id", "n", "known"), "crowded")
     per = mine.groupBy("key", "known").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("known", "c").alias("most"))
     placed = materialise(mine.join(per.filter("parts > 1").select("key", "most"), "key"), "placed")
     # Those outside one component share blocks, so that its members are sent once for many buckets; a bucket that fills blocks has its own.
-    alone = materialise(placed.filter("known <> most").groupBy("id", "n", "known").agg(F.min("most").alias("most"), F.min("key").alias("lead"), keys), "outside")
+    alone = materialise(placed.filter("known <> most").groupBy("component", "id", "n", "known").agg(F.min("most").alias("most"), F.min("key").alias("lead"), keys), "outside")
     leads = alone.groupBy("most", "lead").agg(*count).withColumn("own", _blocks())
     pools = leads.filter("own = 1").groupBy("most").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).select("most", _blocks().alias("pool"))
     own, pooled = F.col("own") > 1, F.pmod(F.xxhash64(F.lit(2), "lead"), F.col("pool")).cast("int")
     outer = alone.join(leads.select("most", "lead", "own"), ["most", "lead"]).join(pools, "most", "left")
-    outer = materialise(outer.select(F.when(own, F.col("lead")).otherwise(F.col("most")).alias("g"), F.when(own, _block(2, "own")).otherwise(pooled).alias("i"), "id", "known", "keys"), "outer")
-    touched = outer.select("g", "i", F.explode("keys").alias("key")).distinct()
-    inner = materialise(touched.join(placed.select("key", "id", "n", "known"), "key").select("g", "i", "id", "n", "known").distinct(), "inner")
+    outer = materialise(outer.select(F.when(own, F.col("lead")).otherwise(F.col("most")).alias("g"), F.when(own, _block(2, "own")).otherwise(pooled).alias("i"), "component", "id", "known", "keys"), "outer")
+    # A block meets the members of its ids' buckets, or, if those add up to more rows than its family has in such buckets, all these.
+    touched = materialise(outer.select("g", "i", "component", F.explode("keys").alias("key")).distinct(), "touched")
+    kin = materialise(placed.select("component", "id", "n", "known").distinct(), "kin")
+    held = placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    rows = touched.join(held, "key").groupBy("g", "i", "component").agg(F.sum("held").alias("rows"))
+    wide = rows.join(kin.groupBy("component").agg(F.count(F.lit(1)).alias("kin")), "component").filter("rows >= kin")
+    wide = materialise(wide.select("g", "i", "component"), "wide")
+    wide = F.broadcast(wide) if 3 * wide.count() <= BROADCAST_IDS else wide
+    few = touched.join(wide, ["g", "i", "component"], "left_anti").join(placed.select("key", "id", "n", "known"), "key").select("g", "i", "id", "n", "known").distinct()
+    inner = materialise(few.unionByName(kin.join(wide, "component").select("g", "i", "id", "n", "known")), "inner")
     sizes = materialise(inner.groupBy("g", "i").agg(*count).select("g", "i", _blocks().alias("blocks")), "block-sizes")
     sizes = F.broadcast(sizes) if 3 * sizes.count() <= BROADCAST_IDS else sizes
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
@@ -333,13 +346,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """(node, n_shingles, component_id) of each row of ``docs``, written in the shared folder."""
     narrow = docs.select(_node(F.col(key), F.col(text)).alias("node"), F.col(text).alias("text"))
     sketched = materialise(sketch(narrow), "sketch")
-    some = F.col("n_shingles") > 0
-    classes = materialise(
-        sketched.filter(some).groupBy("c1", "c2").agg(F.min("node").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes"
-    )
+    some = sketched.filter("n_shingles > 0")
+    # Sets without copies, most of them, are classes without a shuffle of signatures.
+    copied = materialise(some.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("c1", "c2"), "copied")
+    shared = F.broadcast(copied) if 2 * copied.count() <= BROADCAST_IDS else copied
+    of_copies = some.join(shared, ["c1", "c2"], "left_semi")
+    one = F.col("node").alias("id"), F.col("n_shingles").alias("n"), "signature", "c1", "c2"
+    least = F.min("node").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
+    firsts = of_copies.groupBy("c1", "c2").agg(*least)
+    classes = materialise(some.join(shared, ["c1", "c2"], "left_anti").select(*one).unionByName(firsts), "classes")
     found = links(narrow, classes, percent)
     # Rows of one set hang on its class; rows of one doc_id and different sets are one node.
-    hung = sketched.filter(some).select("node", "c1", "c2").join(classes.select("c1", "c2", "id"), ["c1", "c2"]).filter("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    heads = classes.select("c1", "c2", "id").join(shared, ["c1", "c2"], "left_semi")
+    hung = of_copies.select("node", "c1", "c2").join(heads, ["c1", "c2"]).filter("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
     whole = components(found.union(hung))
     whole = materialise(whole.select(F.col("id").alias("node"), "component"), "components")
     rows = sketched.select("node", "n_shingles")

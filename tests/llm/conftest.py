@@ -35,6 +35,23 @@ def rows():
     return out
 
 
+def conversations():
+    """Turns with nulls everywhere, ties, repeated rows, copies, shared beginnings, a long and a blank conversation."""
+    r = random.Random(5)
+    out = []
+    for c in range(0, 130):
+        if c % 20 == 0 and c % 40:
+            continue  # their followers have nothing to begin with
+        kind = c % 7
+        n = r.choice([1, 2, 3, 3, 5, 9]) if c != 63 else 60
+        for t in range(n):
+            text = f"say {r.randint(0, 2)}" if kind < 3 else f"line {t}" if kind < 5 else r.choice(["", None, "a b c", "é 日本"])
+            out.append((c, r.choice([t, t, t, 0, None]), r.choice(["user", "user", None]), text))
+    out += [out[0], out[5], (None, 0, "user", "nobody"), (7001, None, None, None)]
+    r.shuffle(out)
+    return out
+
+
 @pytest.fixture(scope="session")
 def sf_dir(tmp_path_factory):
     """documents (with extra columns named like inner ones), benchmark and labels."""
@@ -49,13 +66,18 @@ def sf_dir(tmp_path_factory):
     pq.write_table(pa.table({"item_id": pa.array([1, 2, 3, 4], pa.int64()), "text": pa.array([ITEM, None, "", "..."])}), d / "benchmark.parquet")
     labels = [(r[0], 0 if "Of Of" in (r[1] or "") else 1) for r in data] + [(999, 1), (2, None)]
     pq.write_table(pa.table({"doc_id": pa.array([a for a, _ in labels], pa.int64()), "quality": pa.array([b for _, b in labels], pa.int32()), "toxic": pa.array([0] * len(labels), pa.int32())}), d / "labels.parquet")
+    talks = conversations()
+    columns = {n: pa.array([r[i] for r in talks], k) for i, (n, k) in enumerate(zip(["conv_id", "turn", "role", "text"], [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True))}
+    for extra in ("t", "ref", "depth", "key", "words", "part", "length"):
+        columns[extra] = pa.array(["x"] * len(talks))
+    pq.write_table(pa.table(columns), d / "conversations.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(tmp_path_factory, sf_dir):
     d = tmp_path_factory.mktemp("empty")
-    for n in ("documents", "benchmark", "labels"):
+    for n in ("documents", "benchmark", "labels", "conversations"):
         pq.write_table(pq.read_table(f"{sf_dir}/{n}.parquet").slice(0, 0), d / f"{n}.parquet")
     return str(d)
 

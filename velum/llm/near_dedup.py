@@ -19,14 +19,15 @@
 At BANDS, ROWS a pair at the threshold 0.85 shares a band with probability 1 - 4e-7 (0.8: 1 - 5e-5).
 
 Defined cases: null and empty texts, and texts without a word, have no shingles and are linked with nothing;
-fewer than five words are one shingle; a null doc_id is replaced by a hash of the text; rows of one doc_id
-are one node; an empty table gives an empty result; other columns are not looked at. Shingles are compared by
+fewer than five words are one shingle; a null doc_id stays null, and real ids (below 2^62) lead its group;
+rows of one doc_id are one node; an empty table gives an empty result; other columns are not looked at. Shingles are compared by
 64-bit hashes. Memory: a worker holds a slice of texts (one whole text at least, about 60 bytes a byte) or one block.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,8 @@ _MULTIPLIERS = stream64(3, BANDS * ROWS) | np.uint64(1)
 _SHIFTS = stream64(4, BANDS * ROWS)
 
 
-def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): each row's distinct shingles."""
+def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): each row's distinct shingles of k words."""
     data, offsets = text_bytes(column)
     data = _LOWER[data]
     starts, ends, first = words(data, offsets)
@@ -80,14 +81,14 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     h = range_hash(prefix_hash(data), starts, ends)
-    found, row = windows(h, first, SHINGLE, 5)
+    found, row = windows(h, first, k, 5)
     sizes = np.diff(first)
-    short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
+    short = np.flatnonzero((sizes > 0) & (sizes < k))
     if len(short):
-        coefficients = stream64(6, SHINGLE) | np.uint64(1)
+        coefficients = stream64(6, k) | np.uint64(1)
         extra = np.zeros(len(short), np.uint64)
         with np.errstate(over="ignore"):
-            for j in range(SHINGLE - 1):
+            for j in range(k - 1):
                 some = sizes[short] > j
                 extra[some] += h[first[short[some]] + j] * coefficients[j]
             extra = mix64(extra + sizes[short].astype(np.uint64))
@@ -125,6 +126,11 @@ def _set_hash(hashes: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
 _C1, _C2 = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 
 
+def set_marks(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that identify each row's set."""
+    return tuple(_set_hash(hashes, first, c).view(np.int64) for c in (_C1, _C2))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """(node, n_shingles, c1, c2, signature) of each row of (node, text); c1, c2 identify the set; a signature's values are in bytes."""
 
@@ -132,7 +138,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in text_slices(whole):
                 hashes, first = shingles(batch.column(1))
-                c1, c2 = (_set_hash(hashes, first, c).view(np.int64) for c in (_C1, _C2))
+                c1, c2 = set_marks(hashes, first)
                 marks = signatures(hashes, first)
                 raw = pa.Array.from_buffers(pa.binary(), len(marks), [None, pa.py_buffer((np.arange(len(marks) + 1) * marks.shape[1] * 4).astype(np.int32).tobytes()), pa.py_buffer(marks.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(c1), pa.array(c2), raw], names=["node", "n_shingles", "c1", "c2", "signature"])
@@ -186,28 +192,46 @@ def candidates(marks: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows[a], others[b]
 
 
-def connect(ids: np.ndarray, left: np.ndarray, known: np.ndarray, marks: np.ndarray, hashes: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect the similar candidates; rows of equal ``known`` component are connected already.
+class Banded:
+    """How candidates of a block are found: pairs that share a band, without those that a batch of values rules out."""
+
+    shingle = SHINGLE
+
+    def read(self, column: pa.Array) -> np.ndarray:
+        return np.frombuffer(pa.concat_arrays([column]).buffers()[2], np.uint32)[: len(column) * BANDS * ROWS].reshape(len(column), BANDS * ROWS)
+
+    def pairs(self, marks: np.ndarray, mine: np.ndarray, left: np.ndarray, known: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b) among the rows ``mine`` of what ``read`` gave, the likeliest first."""
+        marks = marks[mine]
+        a, b = candidates(marks, left)
+        good = likely_sizes(a, b, known, sizes, percent)
+        a, b = a[good], b[good]
+        matches = np.zeros(len(a), np.int64)
+        for i, least in enumerate(least_matches(percent)):
+            at = slice(i * BATCH, (i + 1) * BATCH)
+            matches += (marks[a, at] == marks[b, at]).sum(1)
+            good = matches >= least
+            a, b, matches = a[good], b[good], matches[good]
+        by = np.argsort(-matches, kind="stable")
+        return a[by], b[by]
+
+
+def likely_sizes(a: np.ndarray, b: np.ndarray, known: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs aren't connected yet and have a smaller set that holds the share of the larger that the threshold asks for."""
+    return (known[a] != known[b]) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])) & (sizes[b] > 0)
 
-    hashes[first[i]:first[i+1]] are row i's shingles, marks its signature.
+
+def connect(ids: np.ndarray, known: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect the similar ones of ``pairs``; rows of equal ``known`` component are connected already.
+
+    hashes[first[i]:first[i+1]] are row i's shingles.
     """
     out, sets = [], _Sets(len(ids))
+    if not len(pairs[0]):
+        return out
     seen: dict[int, int] = {}
     for i, c in enumerate(known.tolist()):
         sets.up[i] = sets.find(seen.setdefault(c, i))
-    a, b = candidates(marks, left)
-    sizes = np.diff(first)
-    # The smaller set must hold the share of the larger that the threshold asks for.
-    good = (known[a] != known[b]) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])) & (sizes[b] > 0)
-    a, b = a[good], b[good]
-    matches = np.zeros(len(a), np.int64)
-    for i, least in enumerate(least_matches(percent)):
-        at = slice(i * BATCH, (i + 1) * BATCH)
-        matches += (marks[a, at] == marks[b, at]).sum(1)
-        good = matches >= least
-        a, b, matches = a[good], b[good], matches[good]
-        if not len(a):
-            return out
     own: dict[int, np.ndarray] = {}
 
     def members(i: int) -> np.ndarray:
@@ -215,8 +239,7 @@ def connect(ids: np.ndarray, left: np.ndarray, known: np.ndarray, marks: np.ndar
             own[i] = np.sort(hashes[first[i] : first[i + 1]])
         return own[i]
 
-    for i in np.argsort(-matches, kind="stable").tolist():
-        x, y = int(a[i]), int(b[i])
+    for x, y in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True):
         u, v = sets.find(x), sets.find(y)
         if u == v:
             continue
@@ -231,7 +254,7 @@ def connect(ids: np.ndarray, left: np.ndarray, known: np.ndarray, marks: np.ndar
     return out
 
 
-def _compare(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _compare(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, method) -> DataFrame:
     """(a, b): verified links within the groups (g, i, j, id, left, known) of classes (id, n, c1, signature) with texts (id, text)."""
     groups = materialise(groups, "groups")
     rows = groups.join(classes.select("id", "n", "c1", "signature"), "id").join(texts, "id")
@@ -242,9 +265,9 @@ def _compare(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
 
     def run(batches):
         for batch in whole_groups(batches, 3, 6, BLOCK_SHINGLES):
-            hashes, first = shingles(batch.column(9))
+            hashes, first = shingles(batch.column(9), method.shingle)
             g, i, j, ids, left, known, _, c1 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
-            marks = np.frombuffer(pa.concat_arrays([batch.column(8)]).buffers()[2], np.uint32)[: batch.num_rows * BANDS * ROWS].reshape(batch.num_rows, BANDS * ROWS)
+            marks = method.read(batch.column(8))
             # Rows of one doc_id may have different texts: each text goes with its own signature, once.
             right = _set_hash(hashes, first, _C1).view(np.int64) == c1
             starts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
@@ -253,9 +276,10 @@ def _compare(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
                 mine = a + np.flatnonzero(right[a:b])
                 if len(mine) < 2:
                     continue
-                own_first = np.concatenate([[0], np.cumsum(np.diff(first)[mine])])
+                sizes = np.diff(first)[mine]
                 own = np.concatenate([hashes[first[k] : first[k + 1]] for k in mine.tolist()])
-                found += connect(ids[mine], left[mine].astype(bool), known[mine], marks[mine], own, own_first, percent)
+                pairs = method.pairs(marks, mine, left[mine].astype(bool), known[mine], sizes, percent)
+                found += connect(ids[mine], known[mine], pairs, own, np.concatenate([[0], np.cumsum(sizes)]), percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
@@ -263,7 +287,7 @@ def _compare(groups: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
-def _keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join with a written id list, broadcast if its counted size allows."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
@@ -279,10 +303,17 @@ def _block(seed: int, blocks: str) -> Column:
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): verified links that connect the similar classes. docs: (node, text); classes: (id, n, c1, signature)."""
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * ROWS * 4 + 1, F.lit(ROWS * 4)))))
-    keyed = classes.select("id", "c1", band.alias("key"))
+    return link_buckets(docs, classes, classes.select("id", "c1", band.alias("key")), percent, Banded())
+
+
+def link_buckets(docs: DataFrame, classes: DataFrame, keyed: DataFrame, percent: int, method) -> DataFrame:
+    """(a, b): verified links that connect the similar classes among those that share a key of ``keyed`` (key, id, c1).
+
+    docs: (node, text); classes: (id, n, c1, signature); method: candidates of a block by their signatures, as :class:`Banded`.
+    """
     # Most keys have one id: those of several are found by two numbers a key, and only their rows are looked at further.
     shared = materialise(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key"), "shared")
-    met = materialise(_keep_ids(keyed, shared, "key", "left_semi"), "met")
+    met = materialise(keep_ids(keyed, shared, "key", "left_semi"), "met")
     marks = [F.bit_xor(F.xxhash64(F.lit(s), "id", "c1")).alias(f"s{s}") for s in (1, 2)]
     buckets = met.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), *marks)
     distinct = materialise(buckets.groupBy("s1", "s2", "hub", "last").agg(F.min("key").alias("key")).select("key", "hub"), "buckets")
@@ -290,17 +321,17 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     families = materialise(components(members.select(F.col("id").alias("a"), F.col("hub").alias("b"))), "families")
     ids = materialise(families.select("id"), "ids")
     # Signatures and texts of the candidates alone go on.
-    classes = materialise(_keep_ids(classes, ids, "id", "left_semi"), "candidates")
+    classes = materialise(keep_ids(classes, ids, "id", "left_semi"), "candidates")
     weighed = families.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
     count = [F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")]
     sized = materialise(weighed.groupBy("component").agg(*count).withColumn("blocks", _blocks()), "sizes")
     zero, no = F.lit(0), F.lit(False)
-    texts = materialise(_keep_ids(docs.withColumnRenamed("node", "id"), ids, "id", "left_semi").dropDuplicates(["id", "text"]).select("id", "text"), "texts")
+    texts = materialise(keep_ids(docs.withColumnRenamed("node", "id"), ids, "id", "left_semi").dropDuplicates(["id", "text"]).select("id", "text"), "texts")
     # A family is one block, or several, in each of which its first class stands too.
     hub = F.col("id") == F.col("component")
     block = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block(1, "blocks")))
     first = weighed.join(sized.select("component", "blocks"), "component").select(F.col("component").alias("g"), F.explode(block).alias("i"), zero.alias("j"), "id", no.alias("left"), F.col("id").alias("known"))
-    found = materialise(_compare(first, classes, texts, percent), "links-first")
+    found = materialise(_compare(first, classes, texts, percent, method), "links-first")
     many = sized.filter("blocks > 1").select("component")
     if many.isEmpty():
         return found
@@ -335,41 +366,57 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
     out = outer.join(sizes, ["g", "i"]).select("g", "i", every, "id", F.lit(True).alias("left"), "known")
     within = inner.join(sizes, ["g", "i"]).select("g", "i", _block(3, "blocks").alias("j"), "id", no.alias("left"), "known")
-    return found.unionByName(_compare(out.unionByName(within), classes, texts, percent))
+    return found.unionByName(_compare(out.unionByName(within), classes, texts, percent, method))
 
 
-def _node(key: Column, text: Column) -> Column:
-    return F.coalesce(key.cast("long"), F.xxhash64(string(text)))
+#: Nodes of rows without a doc_id are numbers from here on, so that real ids lead a group.
+UNNAMED = 1 << 62
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(node, n_shingles, component_id) of each row of ``docs``, written in the shared folder."""
-    narrow = docs.select(_node(F.col(key), F.col(text)).alias("node"), F.col(text).alias("text"))
-    sketched = materialise(sketch(narrow), "sketch")
+def node(key: Column, text: Column) -> Column:
+    return F.coalesce(key.cast("long"), F.xxhash64(string(text)).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED)))
+
+
+def doc_id() -> Column:
+    """The id that a node stands for: null for rows without one."""
+    return F.when(F.col("node") < UNNAMED, F.col("node"))
+
+
+def grouped(sketched: DataFrame, find: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(node, n_shingles, component_id) of each row of ``sketched`` (node, n_shingles, c1, c2, ...), written in the shared folder.
+
+    find gives the links of the classes of equal sets (id, n, c1, c2, ...) and gets them and the nodes of copies that no class is named after.
+    """
     some = sketched.filter("n_shingles > 0")
     # Sets without copies, most of them, are classes without a shuffle of signatures.
     copied = materialise(some.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("c1", "c2"), "copied")
     shared = F.broadcast(copied) if 2 * copied.count() <= BROADCAST_IDS else copied
     of_copies = some.join(shared, ["c1", "c2"], "left_semi")
-    one = F.col("node").alias("id"), F.col("n_shingles").alias("n"), "signature", "c1", "c2"
-    least = F.min("node").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
+    more = [c for c in sketched.columns if c not in ("node", "n_shingles", "c1", "c2")]
+    one = F.col("node").alias("id"), F.col("n_shingles").alias("n"), *more, "c1", "c2"
+    least = F.min("node").alias("id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in more]
     firsts = of_copies.groupBy("c1", "c2").agg(*least)
     classes = materialise(some.join(shared, ["c1", "c2"], "left_anti").select(*one).unionByName(firsts), "classes")
-    found = links(narrow, classes, percent)
     # Rows of one set hang on its class; rows of one doc_id and different sets are one node.
     heads = classes.select("c1", "c2", "id").join(shared, ["c1", "c2"], "left_semi")
     hung = of_copies.select("node", "c1", "c2").join(heads, ["c1", "c2"]).filter("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    whole = components(found.union(hung))
+    whole = components(find(classes, hung.select(F.col("a").alias("node"))).union(hung))
     whole = materialise(whole.select(F.col("id").alias("node"), "component"), "components")
     rows = sketched.select("node", "n_shingles")
     joined = rows.join(F.broadcast(whole) if whole.count() <= BROADCAST_IDS // 4 else whole, "node", "left")
     return joined.select("node", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(node, n_shingles, component_id) of each row of ``docs``, written in the shared folder."""
+    narrow = docs.select(node(F.col(key), F.col(text)).alias("node"), F.col(text).alias("text"))
+    return grouped(materialise(sketch(narrow), "sketch"), lambda classes, _: links(narrow, classes, percent))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = near_duplicates(docs)
-    return out.select(F.col("node").alias("doc_id"), "n_shingles", "component_id", (F.col("node") == F.col("component_id")).alias("kept"))
+    return out.select(doc_id().alias("doc_id"), "n_shingles", "component_id", (F.col("node") == F.col("component_id")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -377,8 +424,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialise(near_duplicates(docs, percent=STAGE_PERCENT), "near")
     gone = materialise(found.filter("node <> component_id").select(F.col("node").alias("velum_node")).distinct(), "gone")
     again = materialise(found.groupBy("node").count().filter("count > 1").select(F.col("node").alias("velum_node")), "again")
-    rest = _keep_ids(docs.withColumn("velum_node", _node(F.col("doc_id"), F.col("text"))), gone, "velum_node", "left_anti")
+    rest = keep_ids(docs.withColumn("velum_node", node(F.col("doc_id"), F.col("text"))), gone, "velum_node", "left_anti")
     if again.isEmpty():
         return rest.select(*docs.columns)
-    single = _keep_ids(rest, again, "velum_node", "left_anti")
-    return single.union(_keep_ids(rest, again, "velum_node", "left_semi").dropDuplicates(["velum_node"]).select(*single.columns)).select(*docs.columns)
+    single = keep_ids(rest, again, "velum_node", "left_anti")
+    return single.union(keep_ids(rest, again, "velum_node", "left_semi").dropDuplicates(["velum_node"]).select(*single.columns)).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from velum.llm import bpe, decontamination, language_id, line_dedup, near_dedup, periodic_runs, prefix_trie, quality_crf, quality_rules, sharding, substring_dedup, surrogates
+from velum.llm import bpe, decontamination, jaccard_join, language_id, line_dedup, near_dedup, periodic_runs, prefix_trie, quality_crf, quality_rules, sharding, substring_dedup, surrogates
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_bpe": bpe.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_jaccard_join": jaccard_join.query,
     "op12_periodic_runs": periodic_runs.query,
     "op13_prefix_trie": prefix_trie.query,
 }

@@ -15,8 +15,8 @@ and q is the largest for which that is positive, so a window without one of them
 nothing and spares all but a small part of the windows of clean text.
 
 The benchmark is read in blocks of ``BLOCK_BYTES``, PASS_BLOCKS of them broadcast in their turn against all documents, so its size
-has no bound (its passes grow with it). Memory: a worker holds those indexes, a slice of texts (one whole text at least) and arrays of
-BLOCK_NUMBERS, or of one window where an item is longer. Documents are never shuffled, and no pair of documents is ever made.
+has no bound (its passes grow with it). Memory: a worker holds those indexes, a slice of texts (one whole text at least), a list of
+BLOCK_WINDOWS windows and arrays of BLOCK_NUMBERS, or of one window where an item is longer. Documents are never shuffled, and no pair of documents is ever made.
 
 Defined cases: null or empty texts, and items without a word, match nothing; equal items are found each; repeated rows
 are judged each; empty tables give an empty result; other columns are not looked at.
@@ -25,6 +25,7 @@ are judged each; empty tables give an empty result; other columns are not looked
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -41,6 +42,8 @@ MAX_GRAM = 3
 BLOCK_BYTES = 4 << 20
 #: Numbers (8 bytes each) of the widest array for the windows that are embedded, or compared, at once: fewer windows of longer items.
 BLOCK_NUMBERS = 2_000_000
+#: Windows, or pairs of windows and items, that are listed at once.
+BLOCK_WINDOWS = 1_000_000
 #: Blocks that are searched in one pass over the documents, each after the other.
 PASS_BLOCKS = 4
 #: Numbers (8 bytes each) up to which a list of contaminated rows is broadcast.
@@ -130,6 +133,20 @@ def _blocks(sizes: np.ndarray, times: int):
         at = min(to, len(order))
 
 
+def runs_of(n: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices of neighbours whose numbers add up to ``limit`` at most, one element at least."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low[i], low[i] + 1, ... of n[i] numbers each, one after another."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Index:
     """A block of items: their q-grams and LSH tables."""
 
@@ -151,12 +168,15 @@ class Index:
         self.grams = {}
         for q, found in grams.items():
             h = np.concatenate([x for x, _ in found])
-            item = np.concatenate([np.full(len(x), i) for x, i in found])
+            size = np.concatenate([np.full(len(x), self.sizes[i]) for x, i in found])
             place = np.concatenate([np.arange(len(x)) for x, _ in found])
-            by = np.argsort(h, kind="stable")
+            # A gram says where windows of what size lie: items that share it at one place and size (templates do) add nothing.
+            by = np.lexsort((size, place, h))
+            h, place, size = h[by], place[by], size[by]
+            once = np.append(True, (h[1:] != h[:-1]) | (place[1:] != place[:-1]) | (size[1:] != size[:-1]))
             bits = np.zeros(1 << 20, bool)
             bits[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.grams[q] = (h[by], item[by], place[by], bits)
+            self.grams[q] = (h[once], place[once], size[once], bits)
         keys = np.zeros((len(some), WALKS * TABLES), np.uint64)
         for part in _blocks(self.sizes, 3):
             keys[part] = lsh_keys(self.words(part, int(self.sizes[part].max())), self.sizes[part])
@@ -169,32 +189,27 @@ class Index:
         at = np.arange(width)[None, :]
         return np.where(at < self.sizes[items][:, None], self.flat[np.minimum(self.starts[items][:, None] + at, len(self.flat) - 1)], np.uint64(0))
 
-    def windows(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start, size) of the item-sized windows that can match, each once; a start may lie before its row's."""
+    def windows(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks (row, start, size) of the item-sized windows that can match, each once a block; a start may lie before its row's."""
         row = rows_of(first)
-        found = []
-        for q, (grams, item, place, bits) in self.grams.items():
+        for q, (grams, place, size, bits) in self.grams.items():
             own = _q_hashes(h, q)
             at = np.flatnonzero(bits[(own >> np.uint64(44)).astype(np.int64)])
             at = at[row[at] == row[at + q - 1]] if len(at) else at
             lo, hi = np.searchsorted(grams, own[at]), np.searchsorted(grams, own[at], "right")
             n = hi - lo
             at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            if not len(at):
-                continue
-            entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            at = np.repeat(at, n)
-            found.append(np.stack([row[at], at - place[entry], self.sizes[item[entry]]]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.unique(np.concatenate(found, 1), axis=1))
+            for some in runs_of(n, BLOCK_WINDOWS):
+                entry = spread(lo[some], n[some])
+                here = np.repeat(at[some], n[some])
+                yield tuple(np.unique(np.stack([row[here], here - place[entry], size[entry]]), axis=1))
 
     def search(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item number, edits) of each item found in a row, once."""
-        row, start, size = self.windows(h, first)
         hits: dict[tuple[int, int], int] = {}
-        for part in _blocks(size, 3):
-            self._search(h, first, row[part], start[part], size[part], hits)
+        for row, start, size in self.windows(h, first):
+            for part in _blocks(size, 3):
+                self._search(h, first, row[part], start[part], size[part], hits)
         pairs = np.array(list(hits), np.int64).reshape(-1, 2)
         return pairs[:, 0], pairs[:, 1], np.array(list(hits.values()), np.int64)
 
@@ -211,9 +226,11 @@ class Index:
         lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
         window, _ = np.nonzero(hi > lo)
         lo, n = lo[hi > lo], (hi - lo)[hi > lo]
-        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs = np.unique(np.stack([np.repeat(window, n), self.key_item[entry]]), axis=1)
-        pairs = pairs[:, self.sizes[pairs[1]] == size[pairs[0]]]
+        for some in runs_of(n, BLOCK_WINDOWS):
+            pairs = np.unique(np.stack([np.repeat(window[some], n[some]), self.key_item[spread(lo[some], n[some])]]), axis=1)
+            self._verify(h, first, row, start, pairs[:, self.sizes[pairs[1]] == size[pairs[0]]], hits)
+
+    def _verify(self, h, first, row, start, pairs, hits) -> None:
         for part in _blocks(self.sizes[pairs[1]], 2):
             window, item = pairs[:, part]
             width, slack = int(self.sizes[item].max()), int(self.edits[item].max())

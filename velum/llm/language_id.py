@@ -125,9 +125,14 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     """A model of the labelled rows of ``docs``, from a bounded sample of each language's; None if there are none."""
     order = W.partitionBy("lang").orderBy("other", "h", "text")
     other = ~F.octet_length(text).between(*TRAIN_BYTES)
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), other.alias("other"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    # The least hashes of each language: all but a few times as many rows as are wanted go before the window, by the counted share.
+    counts = F.broadcast(rows.groupBy("lang", "other").agg(F.count(F.lit(1)).alias("n")))
+    share = (F.col("h").cast("double") / 2.0**63 + 1) / 2
+    few = rows.join(counts, ["lang", "other"]).filter(share * F.col("n") <= 2 * TRAIN_PER_LANG + 400)
     sample = (
-        docs.select(F.col(lang).cast("string").alias("lang"), F.substring(text, 1, TRAIN_BYTES[1]).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), other.alias("other"))
-        .filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+        few.select("lang", "other", "h", F.substring("text", 1, TRAIN_BYTES[1]).alias("text"))
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= TRAIN_PER_LANG)
         .select("lang", "text", "place")

@@ -43,10 +43,10 @@ GRAMS = LENGTH - GRAM + 1
 #: Kinds of one anchor that are sorted in one task (280 bytes each), and bytes sorted at once.
 GROUP = 2_000
 SORT_BYTES = 1 << 19
-#: Rows up to which a counted list is broadcast.
-BROADCAST_ROWS = 200_000
-#: Bits of the bitmaps that are sent to all tasks: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
+#: Numbers (8 bytes each) up to which a counted list is broadcast.
+BROADCAST_NUMBERS = 1_000_000
+#: Most bits of a bitmap that is sent to all tasks (32 MB); it has 8 to 16 for each counted value. More values are joined instead.
+FILTER_BITS = 1 << 28
 _PLACES = 1 << 21
 
 
@@ -199,23 +199,30 @@ def _runs(flags: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.flatnonzero(flags & ~after)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows allow."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, numbers: Column | str = "1") -> DataFrame:
+    """A written table, marked for broadcast if its counted numbers (an expression of those in a row) allow."""
+    n = df.agg(F.sum(F.expr(numbers) if isinstance(numbers, str) else numbers).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if n <= BROADCAST_NUMBERS else df
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Which of FILTER_BITS values the column h takes, modulo their number: for leaving out most of what isn't in it."""
-    at = F.pmod("h", F.lit(FILTER_BITS)) + 1
+def _bitmap(hashes: DataFrame) -> np.ndarray | None:
+    """Which values the column h of a written table takes, modulo the number of bits: for leaving out most of what isn't in it. None if
+    they are too many for a bitmap that leaves out enough."""
+    n = hashes.count()
+    if 8 * n > FILTER_BITS:
+        return None
+    bits = max(1 << 16, 1 << (8 * n).bit_length())
+    at = F.pmod("h", F.lit(bits)) + 1
     rows = hashes.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
-    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows.toLocalIterator():  # as many rows as the bitmap has parts, at most
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+        part = np.frombuffer(r["bits"], np.uint8)[: len(out) - (r["b"] - 1) * 4096]
+        out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + len(part)] = part
     return out
 
 
 def _in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h.view(np.int64) % FILTER_BITS
+    at = h.view(np.int64) % (8 * len(bits))
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -247,8 +254,11 @@ def _extents(texts: DataFrame) -> DataFrame:
     return texts.select("node", "t", "text").mapInArrow(tidy(run), _EXTENT)
 
 
-def _marked(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The extents whose anchor is in a bitmap."""
+def _marked(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The extents whose anchor is among the written ``hashes`` (h), or has its bit in their bitmap."""
+    bits = _bitmap(hashes)
+    if bits is None:
+        return rows.join(hashes.select("h"), "h", "left_semi")
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -259,27 +269,40 @@ def _marked(rows: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def _bodies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The extents (h, node, t, start) of ``wanted`` with its further columns and their bytes; found again in the texts, which don't move."""
+    """The extents (h, node, t, start) of ``wanted`` with its further columns and their bytes, found again in the texts.
+
+    Texts don't move where a bitmap tells most of the wanted from the others; else those that have any meet the list of theirs.
+    """
     keys = ["h", "node", "t", "start"]
+    names = ["h", "e", "node", "t", "start", "windows", "at"]
 
     def idents(batches):
         for batch in batches:
             own = _ident(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["h"])
 
-    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(*keys).mapInArrow(idents, "h long")))
+    bits = _bitmap(materialise(wanted.select(*keys).mapInArrow(idents, "h long"), "idents"))
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, column=2):
                 data, offsets = text_bytes(batch.column(2))
                 columns, places = _batch_extents(batch, data, offsets)
-                here = np.flatnonzero(_in_bitmap(shared.value, _ident(columns[0], *columns[2:5])))
+                if bits is not None:
+                    here = np.flatnonzero(_in_bitmap(shared.value, _ident(columns[0], *columns[2:5])))
+                else:
+                    starts = batch.column(3)
+                    owner = np.repeat(np.arange(batch.num_rows), starts.value_lengths().to_numpy(zero_copy_only=False))
+                    row = np.searchsorted(offsets, places, "right") - 1
+                    here = np.flatnonzero(np.isin(row << 32 | columns[4].astype(np.int64), owner << 32 | starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
                 columns, places = [x[here] for x in columns], places[here]
-                yield _with_bodies(columns, data, places, columns[5] + LENGTH - 1, ["h", "e", "node", "t", "start", "windows", "at"])
+                yield _with_bodies(columns, data, places, columns[5] + LENGTH - 1, names)
 
-    found = texts.select("node", "t", "text").mapInArrow(tidy(run), _BODY)
-    return found.join(wanted, keys)
+    asked = texts.select("node", "t", "text")
+    if bits is None:
+        asked = asked.join(wanted.groupBy("node", "t").agg(F.collect_set("start").alias("starts")), ["node", "t"])
+    return asked.mapInArrow(tidy(run), _BODY).join(wanted, keys)
 
 
 def _with_bodies(columns: list[np.ndarray], data: np.ndarray, places: np.ndarray, sizes: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -359,8 +382,8 @@ def _split(level: int):
 def stretches(texts: DataFrame, keep: str = "none") -> DataFrame:
     """(node, t, a, b): stretches of different texts (node, t, text) that are repeated, in bytes; they may overlap."""
     found = materialise(_extents(texts), "extents")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    rows = materialise(_marked(found, _bitmap(often)), "recurring").withColumn("n", F.lit(1).cast("long"))
+    often = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "often")
+    rows = materialise(_marked(found, often), "recurring").withColumn("n", F.lit(1).cast("long"))
     out, level = None, 0
     while True:
         # Kinds: extents of equal bytes, of which the first stands for all; a later one's factor is its whole length.
@@ -412,12 +435,12 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str =
     small_batches(docs.sparkSession)
     rows = _keyed(docs, key, text)
     copies = materialise(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("one")).filter("copies > 1").select("digest", "one"), "copies")
-    marked = rows.join(_small(copies), "digest", "left")
+    marked = rows.join(_small(copies, "4"), "digest", "left")
     texts = marked.filter("one is null or one = node").select("node", "t", "text")
     parts = stretches(texts, keep).groupBy("node", "t").agg(_merged(F.sort_array(F.collect_list(F.struct("a", "b")))).alias("parts"))
     cut = materialise(parts, "stretches")
     gone = F.col("one").isNotNull() if keep == "none" else F.col("one").isNotNull() & (F.col("one") != F.col("node"))
-    joined = marked.join(_small(cut), ["node", "t"], "left").select(
+    joined = marked.join(_small(cut, "3 + 2 * size(parts.a)"), ["node", "t"], "left").select(
         "key", (gone & (F.octet_length("text") >= LENGTH)).alias("gone"), F.coalesce("parts.a", F.array().cast("array<int>")).alias("a"), F.coalesce("parts.b", F.array().cast("array<int>")).alias("b"), "text"
     )
 

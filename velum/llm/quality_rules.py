@@ -20,6 +20,8 @@ columns of the same name.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +39,8 @@ MIN_BAND_ROWS = 50
 BINS = 256
 #: Half-widths of a band in log2 perplexity: quartile spreads, at least a floor, and more for short texts.
 SPREADS, FLOOR, SHORT = 1.0, 0.02, 4.0
+#: N-grams (12 bytes each) of the models that are broadcast at once; more languages are scored in further passes.
+MODEL_ENTRIES = 4_000_000
 #: Texts with copies up to which their 64-bit keys are broadcast.
 BROADCAST_COPIES = 1_000_000
 #: Languages up to which the bands are broadcast (a few dozen bytes each).
@@ -265,17 +269,33 @@ def distinct_texts(docs: DataFrame, lang: str = "lang", text: str = "text") -> D
     return keyed.join(shared, "velum_key", "left_anti").unionByName(one).select(lang, text)
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """The model of each language of ``docs``, from its distinct texts. The counts that come to the driver are bounded by the alphabet."""
-    found: dict[str, tuple[list, list]] = {}
-    for r in count_grams(distinct_texts(docs, lang, text), lang, text).groupBy("lang").agg(F.collect_list("gram").alias("g"), F.collect_list("n").alias("n")).toLocalIterator():
-        found[r["lang"]] = (np.array(r["g"], np.int64), np.array(r["n"], np.int64))
-    for name, (g, n) in found.items():
+def train(counts: DataFrame, langs: list[str]) -> Model:
+    """The model of the given languages, from written counts (lang, gram, n). The counts of one come to the driver at a time, as many as the
+    alphabet has n-grams at most."""
+    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for name in langs:
+        t = counts.filter(F.col("lang") == name).select("gram", "n").toArrow()
+        g, n = (t.column(i).to_numpy().astype(np.int64) for i in (0, 1))
         by = np.argsort(g)
         found[name] = (g[by], n[by])
     return Model(found)
 
 
+def passes(counts: DataFrame) -> list[list[str]]:
+    """Languages (one row each) in groups whose counted n-grams add up to MODEL_ENTRIES at most, one language at least: a group's
+    model is broadcast at once."""
+    sizes = sorted((r["n"], r["lang"]) for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    out: list[list[str]] = [[]]
+    total = 0
+    for n, lang in sizes:
+        if out[-1] and total + n > MODEL_ENTRIES:
+            out.append([])
+            total = 0
+        out[-1].append(lang)
+        total += n
+    return out
+
+
 def score(docs: DataFrame, model: Model, lang: str = "lang", text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` without the columns in ``drop``, with the simple counts, base_failed, n_scored (symbols) and log2_perplexity."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -350,7 +370,13 @@ def judge(docs: DataFrame, lang: str = "lang", text: str = "text", drop: tuple[s
     The scores are written once in the shared folder, as the bands need all of them before any text is judged.
     """
     keyed = docs.withColumn("velum_key", _text_key(lang, text))
-    return verdict(materialise(score(keyed, train(docs, lang, text), lang, text, drop), "quality"), lang)
+    counts = materialise(count_grams(distinct_texts(docs, lang, text), lang, text), "grams")
+    groups = passes(counts)
+    own = F.coalesce(F.col(lang).cast("string"), F.lit(""))
+    # The last group also takes what has no model: rows of languages without a text.
+    mine = lambda i: own.isin(groups[i]) if i + 1 < len(groups) else ~own.isin([x for g in groups[:-1] for x in g])
+    parts = [score(keyed.filter(mine(i)) if len(groups) > 1 else keyed, train(counts, g), lang, text, drop) for i, g in enumerate(groups)]
+    return verdict(materialise(reduce(DataFrame.unionByName, parts), "quality"), lang)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from velum.llm import decontamination, language_id
+from velum.llm import decontamination, language_id, quality_rules, substring_dedup
 
 
 def test_items_of_a_template_add_no_windows():
@@ -49,3 +49,21 @@ def test_the_language_sample_is_bounded_before_its_window(spark):
     finally:
         language_id.Model = real
     assert seen == [(2 * language_id.TRAIN_PER_LANG, ["a", "b"], 2 * language_id.LANDMARKS_PER_LANG)]
+
+
+def test_languages_are_judged_in_passes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 120), ["a", "b", "c", None][i % 4]) for i in range(80)] + [(900, None, "empty")], "doc_id long, text string, lang string")
+    rows = lambda: sorted(map(repr, quality_rules.judge(docs).collect()))
+    want = rows()
+    monkeypatch.setattr(quality_rules, "MODEL_ENTRIES", 1)
+    assert rows() == want and len(want) == 81
+
+
+def test_a_bitmap_has_bits_for_what_is_counted(spark):
+    import numpy as np
+
+    h = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    bits = substring_dedup._bitmap(h)
+    inside = np.array([r["h"] for r in h.collect()], np.int64)
+    outside = np.array([r["h"] for r in spark.range(10**6, 10**6 + 20_000).select(F.xxhash64("id").alias("h")).collect()], np.int64)
+    assert 8 * len(bits) == 1 << 16 and substring_dedup._in_bitmap(bits, inside).all() and substring_dedup._in_bitmap(bits, outside).mean() < 0.1

@@ -324,11 +324,12 @@ def repeats():
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize(("group", "rows"), [(2_000, 200_000), (1, 200_000), (3, -1)])
-def test_substrings_by_hand(spark, monkeypatch, keep, group, rows):
-    """Also with groups that are split until their windows are equal, and without any broadcast list."""
+@pytest.mark.parametrize(("group", "numbers", "bits"), [(2_000, 1_000_000, 1 << 28), (1, 1_000_000, 1 << 28), (3, -1, 1 << 10)])
+def test_substrings_by_hand(spark, monkeypatch, keep, group, numbers, bits):
+    """Also with groups that are split until their windows are equal, and without any broadcast list or bitmap."""
     monkeypatch.setattr(substring_dedup, "GROUP", group)
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_NUMBERS", numbers)
+    monkeypatch.setattr(substring_dedup, "FILTER_BITS", bits)
     texts = repeats()
     out = substring_dedup.remove(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), keep=keep).collect()
     want = removed_by_hand({i: t.encode() for i, t in texts.items()}, substring_dedup.LENGTH, keep)

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "(?U)\\s"
-#: Pairs of accented letters and what they fold to.
-_ACCENTED, _PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy"
+
+
+def _letters() -> tuple[str, str]:
+    """(letters, bases): the small letters of all scripts below U+2000 that decompose into another letter and marks, and that letter."""
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+    some = {c: d[0] for c, d in parts.items() if len(d) > 1 and c == c.lower() and all(unicodedata.category(m) == "Mn" for m in d[1:])}
+    return "".join(some), "".join(some.values())
+
+
+_ACCENTED, _PLAIN = _letters()
 
 
 def trim(text: Column) -> Column:
@@ -26,8 +36,8 @@ def normalise(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    """Lower case without accents, whether they are part of a letter or marks of their own after it."""
+    return F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _PLAIN), "\\p{Mn}+", "")
 
 
 def quote(text: Column) -> Column:

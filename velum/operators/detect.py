@@ -15,20 +15,32 @@ from velum.functions.text import contains_any, normalise, trim
 from velum.rules import RULES, Rule
 
 
+def all_spans(text: Column, rules: Iterable[Rule] = RULES) -> Column:
+    """array<span> of the rules over the whole text, rule after rule. The value is trimmed, the place isn't.
+
+    Each rule whose trigger the text has marks its matches in a copy of it; places are then counted in the same way for all.
+    """
+
+    def one(t: Column, r: Rule) -> Column:
+        marks = S.marked(t, r.pattern, r.group)
+        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.type).alias("type"), F.lit(r.group).alias("group"), (F.when(t.rlike(r.trigger), marks) if r.trigger else marks).alias("marks"))
+
+    def span(r: Column, m: Column) -> Column:
+        return F.struct(r["type"].alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), r["rule_id"].alias("rule_id"), F.lit("rule").alias("source"))
+
+    rows = lambda t: F.filter(F.array(*[one(t, r) for r in sorted(rules)]), lambda r: r["marks"].isNotNull())
+    every = S.once(S.plain(text), lambda t: F.flatten(F.transform(rows(t), lambda r: F.transform(S.places(r["marks"], r["group"]), lambda m: span(r, m)))))
+    return F.transform(S.own_values(text, every), lambda x: x.withField("value", trim(x["value"])))
+
+
 def rule_spans(text: Column, rule: Rule) -> Column:
-    """array<span> of one rule over the whole text. The value is trimmed, the place isn't."""
-    return F.transform(
-        S.matches(text, rule.pattern, rule.group, rule.trigger),
-        lambda m: F.struct(
-            F.lit(rule.type).alias("type"), m["start"].alias("start"), m["end"].alias("end"), trim(S.cut(text, m["start"], m["end"])).alias("value"), F.lit(rule.id).alias("rule_id"), F.lit("rule").alias("source")
-        ),
-    )
+    """array<span> of one rule."""
+    return all_spans(text, [rule])
 
 
 def rule_layer(text: Column, rules: Iterable[Rule] = RULES) -> Column:
     """array<span> of all rules: rejected values claim nothing, then earlier rules (and places) claim text first; in order of place."""
-    every = F.concat(*[rule_spans(text, r) for r in sorted(rules)])
-    return S.by_start(S.claim(F.filter(every, lambda x: should_keep(x["value"], x["type"]))))
+    return S.by_start(S.claim(F.filter(all_spans(text, rules), lambda x: should_keep(x["value"], x["type"]))))
 
 
 def likely(text: Column, rules: Iterable[Rule] = RULES) -> Column:
@@ -97,26 +109,32 @@ def candidates(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def row_candidates(spans: Column) -> Column:
-    """:func:`candidates` of one document's spans: array<struct<ordinal,original_text,type,norm>>, in order of place."""
-    item = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rule_id"].alias("rule_id"), s["type"].alias("type"), normalise(s["value"]).alias("norm"), s["value"].alias("value"))
+    """:func:`candidates` of one document's spans: array<struct<ordinal,original_text,type,norm>>, in order of place.
+
+    Spans are sorted by type and normal form, where the first of each run stays, and back by place.
+    """
+    item = lambda s: F.struct(s["type"].alias("type"), normalise(s["value"]).alias("norm"), s["start"].alias("start"), s["end"].alias("end"), s["rule_id"].alias("rule_id"), s["value"].alias("value"))
     good = F.filter(spans, lambda s: should_keep(s["value"], s["type"]))
-    placed = F.filter(F.array_sort(F.transform(good, item)), lambda x: F.length(x["norm"]) >= V.MIN_CANDIDATE)
-    firsts = F.aggregate(
-        placed,
-        F.array().cast("array<struct<start:int,end:int,rule_id:int,type:string,norm:string,value:string>>"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["type"] == x["type"]) & (y["norm"] == x["norm"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return F.transform(firsts, lambda x, i: F.struct((i + 1).alias("ordinal"), x["value"].alias("original_text"), x["type"].alias("type"), x["norm"].alias("norm")))
+    keyed = F.array_sort(F.filter(F.transform(good, item), lambda x: F.length(x["norm"]) >= V.MIN_CANDIDATE))
+
+    def firsts(k: Column) -> Column:
+        before = lambda i: F.element_at(k, i)  # noqa: E731  i counts from 0, places from 1
+        new = lambda x, i: F.when(i == 0, True).otherwise((before(F.greatest(i, F.lit(1)))["type"] != x["type"]) | (before(F.greatest(i, F.lit(1)))["norm"] != x["norm"]))
+        return F.filter(k, new)
+
+    place = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rule_id"].alias("rule_id"), x["type"].alias("type"), x["norm"].alias("norm"), x["value"].alias("value"))
+    placed = F.array_sort(F.transform(S.once(keyed, firsts), place))
+    return F.transform(placed, lambda x, i: F.struct((i + 1).alias("ordinal"), x["value"].alias("original_text"), x["type"].alias("type"), x["norm"].alias("norm")))
 
 
 def findings_by_type(found: DataFrame) -> DataFrame:
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower("value")).alias("n_values"))
 
 
-def type_dimension(docs: DataFrame) -> DataFrame:
-    """(type, display_name, tag_label): the ten types."""
-    rows = F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("display_name"), F.lit(c).alias("tag_label")) for a, b, c in V.TYPES])
-    return docs.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*")
+def with_names(found: DataFrame) -> DataFrame:
+    """Findings with their type's display name and tag label."""
+    names = F.create_map(*[F.lit(x) for a, b, _ in V.TYPES for x in (a, b)])
+    return found.withColumn("display_name", names[F.col("type")]).withColumn("tag_label", tag_label(F.col("type")))
 
 
 def tag_label(kind: Column) -> Column:

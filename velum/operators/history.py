@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from velum import fixed_values as V
 from velum.functions.text import trim
 
+#: Characters of a gram of the search index.
+GRAM = 3
 SUMMARY = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -52,9 +54,10 @@ def file_kind(file_name: Column) -> Column:
 
 def duplicates(files: DataFrame, history: DataFrame) -> DataFrame:
     """Incoming files (with file_hash) that are known: with the latest summary of equal hash, as existing_*."""
-    latest = W.partitionBy("file_hash").orderBy(F.desc("updated_at"), "id")
-    first = history.withColumn("n", F.row_number().over(latest)).filter("n = 1").select("file_hash", F.col("id").alias("existing_id"), F.col("file_name").alias("existing_name"))
-    return files.join(first, "file_hash")
+    # The summary of least (age, id) by an aggregate, which is partly done before the shuffle: many files may have one hash (empty ones).
+    age = -F.unix_micros(F.col("updated_at").cast("timestamp"))
+    first = history.groupBy("file_hash").agg(F.min(F.struct(F.coalesce(age, F.lit(2**62)).alias("age"), "id", "file_name")).alias("x"))
+    return files.join(first.select("file_hash", F.col("x.id").alias("existing_id"), F.col("x.file_name").alias("existing_name")), "file_hash")
 
 
 def unseen(files: DataFrame, history: DataFrame) -> DataFrame:
@@ -84,6 +87,40 @@ def search(history: DataFrame, query: str) -> DataFrame:
     return history.filter((q == "") | F.lower("file_name").contains(q) | F.col("search_preview").contains(q))
 
 
+def grams(text: Column) -> Column:
+    """array<string>: the different runs of GRAM characters of a text; none if it is shorter."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM)))
+    return F.array_distinct(F.when(F.length(text) >= GRAM, every).otherwise(F.array().cast("array<string>")))
+
+
+def query_grams(query: str) -> list[str]:
+    q = query.strip().lower()
+    return sorted({q[i : i + GRAM] for i in range(len(q) - GRAM + 1)})
+
+
+def searched(history: DataFrame) -> Column:
+    """What :func:`search` looks at, in one text."""
+    return F.concat_ws("\n", F.lower("file_name"), "search_preview")
+
+
+def postings(history: DataFrame, place: str = "id") -> DataFrame:
+    """(gram, place): the inverted index of what is searched; each gram with the ids, or other places, that have it."""
+    return history.select(F.explode(grams(searched(history))).alias("gram"), place).distinct()
+
+
+def places_with(posts: DataFrame, query: str, place: str = "id") -> DataFrame:
+    """(place): those that have all grams of a query."""
+    wanted = query_grams(query)
+    return posts.filter(F.col("gram").isin(wanted)).groupBy(place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted)).select(place)
+
+
+def search_indexed(history: DataFrame, posts: DataFrame, query: str) -> DataFrame:
+    """:func:`search` of the rows that :func:`postings` leave; a query of fewer than GRAM characters has no grams and looks at all."""
+    if not query_grams(query):
+        return search(history, query)
+    return search(history.join(places_with(posts, query), "id", "left_semi"), query)
+
+
 def with_in_flight(history: DataFrame, jobs: DataFrame) -> DataFrame:
     """Placeholders for running jobs (columns of the history) that it doesn't hold yet, ranked before the others."""
     waiting = jobs.join(history.select("id"), "id", "left_anti").select(*history.columns)

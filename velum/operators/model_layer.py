@@ -34,14 +34,14 @@ INSTRUCTIONS = (
 
 
 def cut_points(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each chunk: CHUNK characters at most, ending after the window's last line break if it has one, the next
+    """(start, end) of each chunk: CHUNK characters at most, ending after the window's last line break if it has one beyond its start, the next
     beginning CHUNK_OVERLAP before that, but always after the last start."""
     if len(text) <= V.CHUNK:
         return [(0, len(text))]
     out, at = [], 0
     while at < len(text):
         end = min(at + V.CHUNK, len(text))
-        if end < len(text) and (line := text.rfind("\n", at, end)) >= at:
+        if end < len(text) and (line := text.rfind("\n", at, end)) > at:
             end = line + 1
         out.append((at, end))
         if end == len(text):
@@ -88,6 +88,27 @@ def generate(parts: DataFrame, model: Model, key: str = "doc_id", timeout: float
     return parts.select(key, "chunk_idx", "chunk").mapInPandas(run, schema)
 
 
+def generate_once(parts: DataFrame, model: Model, path: str, key: str = "doc_id", timeout: float = V.MODEL_TIMEOUT_S, instructions: str = INSTRUCTIONS) -> DataFrame:
+    """:func:`generate` with answers kept by content in a Parquet folder: a chunk is asked once for given instructions, however many documents
+    have it and however often they come; failures aren't kept, so they are asked again the next time.
+
+    The folder grows by one part a call. What is new is asked when this is called, the result is lazy.
+    """
+    spark = parts.sparkSession
+    fields = [f for f, _, _ in V.MODEL_FIELDS]
+    schema = f"chunk_hash string, {ANSWER}"
+    hashed = parts.withColumn("chunk_hash", F.sha2(F.concat_ws("\0", F.lit(instructions), "chunk"), 256))
+    known = lambda: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)  # the folder is there from now on
+    fresh = hashed.select("chunk_hash", "chunk", F.lit(0).alias("chunk_idx")).join(known().select("chunk_hash"), "chunk_hash", "left_anti").dropDuplicates(["chunk_hash"])
+    generate(fresh, model, "chunk_hash", timeout, instructions).filter("ok").select("chunk_hash", *fields).write.mode("append").parquet(path)
+    # Two calls at once may both keep an answer; one of them counts.
+    answers = known().groupBy("chunk_hash").agg(F.min(F.struct(*fields)).alias("a"))
+    joined = hashed.join(answers, "chunk_hash", "left")
+    empty = F.array().cast("array<string>")
+    return joined.select(key, "chunk_idx", F.col("a").isNotNull().alias("ok"), *[F.coalesce(F.col(f"a.{f}"), empty).alias(f) for f in fields])
+
+
 def gather(answers: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, fields): each document's lists over its chunks in order, each chunk's cut to the field's most; none if every chunk failed."""
     ok = answers.filter("ok")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velum import fixed_values as V
+from velum.functions import spans as S
 from velum.functions.text import normalise, trim
 from velum.operators.classify import classify
 from velum.operators.redact import locate
@@ -30,49 +31,51 @@ def apply_edits(cands: DataFrame, edits: DataFrame, key: str = "doc_id") -> Data
 
 
 def redactable(snippet: Column) -> Column:
-    """Two characters at least, and not itself a tag."""
+    """Two characters at least, and not itself a tag: any label of capitals counts, with a number or a dash."""
     body = trim(snippet)
-    tag = "^\\[(?:" + "|".join(label for _, _, label in V.TYPES) + ") (?:\\d+|-)\\]$"
-    return F.coalesce((F.length(body) >= V.MIN_REDACTABLE) & ~body.rlike(tag), F.lit(False))
+    return F.coalesce((F.length(body) >= V.MIN_REDACTABLE) & ~body.rlike("^\\[[A-Z]+ (?:\\p{Nd}+|-)\\]$"), F.lit(False))
 
 
 def can_redact(text: Column, snippet: Column) -> Column:
     return redactable(snippet) & (F.size(locate(text, snippet)) > 0)
 
 
-def first_place(text: Column, needle: Column) -> Column:
-    """The start of the first occurrence; null if there is none."""
-    return F.try_element_at(locate(text, needle), F.lit(1))["start"]
+def first_range(text: Column, needle: Column) -> Column:
+    """struct(start, end) of the first occurrence; null if there is none."""
+    return F.try_element_at(locate(text, needle), F.lit(1))
 
 
 def add(docs: DataFrame, cands: DataFrame, additions: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Candidates after manual additions (key, snippet).
 
-    A snippet that is a candidate already (of any type) is just selected. Others get a guessed type and a place in the list before the first
-    candidate that occurs later in the text, else at the end. Snippets that can't be redacted, and repeats, change nothing.
+    The candidate is what stands in the text where the snippet is first found. If one of its normal form is there already, of any type, the
+    first such in the list is just selected. Others get a type guessed from the snippet and a place in the list before the first candidate
+    that occurs later in the text, else at the end. Snippets that can't be redacted, and repeats, change nothing.
     """
     wanted = (
         additions.select(key, trim(F.col("snippet")).alias("snippet"))
         .join(docs.select(key, text), key)
         .filter(can_redact(F.col(text), F.col("snippet")))
-        .withColumn("norm", normalise(F.col("snippet")))
-        .withColumn("at", first_place(F.col(text), F.col("snippet")))
-        .withColumn("n", F.row_number().over(W.partitionBy(key, "norm").orderBy("snippet")))
-        .filter("n = 1")
-        .select(key, "norm", "snippet", "at")
+        .withColumn("range", first_range(F.col(text), F.col("snippet")))
+        .withColumn("exact", S.cut(F.col(text), F.col("range.start"), F.col("range.end")))
+        .withColumn("norm", normalise(F.col("exact")))
+        .groupBy(key, "norm")
+        .agg(F.min(F.struct("snippet", "exact", F.col("range.start").alias("at"))).alias("x"))
+        .select(key, "norm", "x.snippet", "x.exact", "x.at")
     )
-    hit = cands.join(wanted.select(key, "norm", F.lit(True).alias("hit")), [key, "norm"], "left")
+    known = wanted.join(cands.groupBy(key, "norm").agg(F.min("ordinal").alias("ordinal")), [key, "norm"])
+    hit = cands.join(known.select(key, "ordinal", F.lit(True).alias("hit")), [key, "ordinal"], "left")
     old = hit.withColumn("is_selected", F.col("is_selected") | F.coalesce("hit", F.lit(False))).select(*cands.columns)
-    placed = old.join(docs.select(key, text), key).withColumn("at", first_place(F.col(text), F.col("original_text"))).drop(text)
+    placed = old.join(docs.select(key, text), key).withColumn("at", first_range(F.col(text), F.col("original_text"))["start"]).drop(text)
     new = wanted.join(cands.select(key, "norm"), [key, "norm"], "left_anti")
-    later = new.join(placed.select(key, F.col("at").alias("later"), "ordinal"), key, "left").groupBy(key, "norm", "snippet", "at")
+    later = new.join(placed.select(key, F.col("at").alias("later"), "ordinal"), key, "left").groupBy(key, "norm", "snippet", "exact", "at")
     before = later.agg(F.min(F.when(F.col("later") > F.col("at"), F.col("ordinal"))).alias("before"), F.coalesce(F.max("ordinal"), F.lit(0)).alias("last"))
     rows = before.select(
         key,
         F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit("manual"), "norm"), 256).alias("cand_id"),
         F.coalesce(F.col("before") - 0.5, F.col("last") + 1.0).alias("rank"),
         "at",
-        F.col("snippet").alias("original_text"),
+        F.col("exact").alias("original_text"),
         classify(F.col("snippet")).alias("type"),
         "norm",
         F.lit(True).alias("is_selected"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from velum import fixed_values as V
 from velum.functions import spans as S
 from velum.functions.filters import should_keep
+from velum.functions.needles import locate_all
 from velum.functions.text import fold, needle_pattern, normalise
 from velum.operators import classify as C
 from velum.operators import detect as D
@@ -48,9 +49,9 @@ _D8 = "lpad(cast(c_custkey AS string), 8, '5')"
 
 #: rule -> (lead, value expression, tail, broken value expression); the expressions are SQL of both engines.
 _CASES: dict[str, tuple[str, str, str, str]] = {
-    "curp": ("CURP ", f"concat('HELJ', {_D6}, 'HDFRRN0', cast(c_custkey % 10 AS string))", ", fin", f"concat('HBLJ', {_D6}, 'HDFRRN0')"),
+    "curp": ("CURP ", f"concat('GAMR', {_D6}, 'HJCLRS0', cast(c_custkey % 10 AS string))", ", fin", f"concat('GBMR', {_D6}, 'HJCLRS0')"),
     "voter_key": ("clave ", f"concat('GRMNLS', {_D8}, 'M3', lpad(cast(c_custkey % 100 AS string), 2, '0'))", " y", f"concat('GRMNLS', {_D8}, 'X')"),
-    "rfc": ("con RFC ", f"concat('Ñ&LH', {_D6}, 'AB', cast(c_custkey % 10 AS string))", ".", f"concat('HEL', {_D5}, 'A')"),
+    "rfc": ("con RFC ", f"concat('Ñ&LH', {_D6}, 'AB', cast(c_custkey % 10 AS string))", ".", f"concat('GAM', {_D5}, 'A')"),
     "email": ("correo ", f"concat('user.', {_D6}, '@mail', cast(c_custkey % 7 AS string), '.example.mx')", " y", f"concat('user.', {_D6}, '(a)mail')"),
     "cedula": ("tiene ", f"concat('Cédula  profesional número: ', {_D6})", " vigente", f"concat('Cédula profesional: ', {_D4})"),
     "serial": ("Número de serie (VIN): ", f"concat('3VWFE21C0', {_D8})", ", ok", f"concat('3VWOE21C0', {_D8})"),
@@ -70,8 +71,8 @@ _CASES: dict[str, tuple[str, str, str, str]] = {
     ),
     "address": (
         "en ",
-        f"CASE c_custkey % 2 WHEN 0 THEN concat('Calle Morelos ', cast(c_custkey AS string), ',\n Col. Centro, C.P. ', {_D5}) ELSE concat('blvd. del Sol ', cast(c_custkey AS string), ', Piso 4, Código Postal ', {_D5}) END",
-        ".", f"concat('Calle Morelos ', {_D4}, ' sin código')",
+        f"CASE c_custkey % 2 WHEN 0 THEN concat('Calle Hidalgo ', cast(c_custkey AS string), ',\n Col. Centro, C.P. ', {_D5}) ELSE concat('blvd. del Sol ', cast(c_custkey AS string), ', Piso 4, Código Postal ', {_D5}) END",
+        ".", f"concat('Calle Hidalgo ', {_D4}, ' sin código')",
     ),
     "company": (
         "de ",
@@ -213,6 +214,34 @@ _add(
     SELECT doc_id, CASE WHEN l IS NULL THEN text ELSE list_reduce(list_prepend(text, l), lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2))) END AS redacted,
       coalesce(n, 0) AS n_replaced_candidates FROM documents LEFT JOIN puts USING (doc_id)""",
 )
+#: The redacted texts, and in them each needle's places: those where it stands alone, by the lengths of what is between. All in small letters.
+_SHOWN = f"""{_TAGS}, puts AS (SELECT doc_id, list(concat(original_text, chr(1), tag) ORDER BY length(original_text) DESC) FILTER (is_selected) AS l FROM tagged GROUP BY doc_id),
+  shown AS (SELECT doc_id, lower(CASE WHEN l IS NULL THEN text ELSE list_reduce(list_prepend(text, l), lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2))) END) AS x FROM documents JOIN puts USING (doc_id)),
+  cut AS (SELECT doc_id, ordinal, CASE WHEN is_selected THEN tag ELSE original_text END AS needle, x, string_split(x, lower(CASE WHEN is_selected THEN tag ELSE original_text END)) AS g FROM tagged JOIN shown USING (doc_id)),
+  hits AS (SELECT doc_id, ordinal, needle, x, unnest(range(1, len(g))) AS i, g FROM cut),
+  spots AS (SELECT doc_id, ordinal, needle, x, list_sum(list_transform(g[1:i], lambda y: length(y))) + (i - 1) * length(needle) AS a FROM hits)"""
+_add(
+    "highlights",
+    lambda s, d: R.highlights(_table(s, d, "documents"), _toggled(s, d)).select("doc_id", "ordinal", "needle", "start", "end"),
+    f"""WITH {_SHOWN} SELECT doc_id, ordinal::INTEGER AS ordinal, needle, a::INTEGER AS start, (a + length(needle))::INTEGER AS "end" FROM spots
+    WHERE needle LIKE '[%' OR NOT (regexp_matches(x[a::BIGINT], '[\\p{{L}}\\p{{N}}_]') AND a > 0) AND NOT regexp_matches(x[(a + length(needle) + 1)::BIGINT], '[\\p{{L}}\\p{{N}}_]')""",
+)
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    """For each place of a redacted text that stands for a candidate, what the original has there."""
+    shown = R.highlights(_table(spark, d, "documents"), _toggled(spark, d)).filter("needle like '[%'")
+    texts = _table(spark, d, "documents").select("doc_id", "text")
+    return shown.join(texts, "doc_id").select("doc_id", "needle", F.lower(S.cut(F.col("text"), F.col("original_start"), F.col("original_end"))).alias("original"))
+
+
+#: As often as each selected value stands in its text, that tag stands for it.
+_add(
+    "highlight_originals",
+    _mapped,
+    f"""WITH {_TAGS}, hits AS (SELECT doc_id, tag AS needle, norm AS original, len(string_split(lower(text), norm)) - 1 AS n FROM tagged JOIN documents USING (doc_id) WHERE is_selected)
+    SELECT doc_id, needle, original FROM (SELECT *, unnest(range(n)) FROM hits)""",
+)
 _add(
     "redact_documents",
     lambda s, d: P.redact_documents(_table(s, d, "documents")),
@@ -246,15 +275,27 @@ def _moved(spark: SparkSession, d: str) -> DataFrame:
 
 _add("incremental_changed_text", _moved, f"""WITH {_FOUND} SELECT doc_id, (start + 6 * (doc_id % 2))::INTEGER AS start, (start + 6 * (doc_id % 2) + length(value))::INTEGER AS "end" FROM emails""")
 
+
+
+def _moved_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The same, by the pieces of the texts that are still there."""
+    old = _table(spark, d, "documents").select("doc_id", "text")
+    c = D.candidates(_email_findings(spark, d))
+    now = old.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("hola, "), F.col("text"))).otherwise(F.col("text")))
+    return R.resynchronise(now, c, R.occurrences(old, c), R.text_index(old)).select("doc_id", "start", "end")
+
+
+_add("incremental_changed_pieces", _moved_pieces, ORACLE_SQL["incremental_changed_text"])
+
 # --- All rules together, on texts with several types, overlaps, rejected values and repeats: text -> (type, rule, start, value) of each
 # finding and the redacted text, worked out by hand from the rules; the SQL states them for each nation.
 
 _TEXTS: dict[str, tuple[list[tuple[str, int, int, str]], str]] = {
-    "Tel. +52 55 1234 5678, (55) 1234-5678, 55 1234 5678, 555 123 4567 y 5512345678.": (
-        [("phone", 15, 5, "+52 55 1234 5678"), ("phone", 15, 23, "(55) 1234-5678"), ("phone", 15, 39, "55 1234 5678"), ("phone", 15, 53, "555 123 4567"), ("phone", 15, 68, "5512345678")],
+    "Tel. +52 33 4821 9056, (33) 4821-9056, 33 4821 9056, 555 123 4567 y 3348219056.": (
+        [("phone", 15, 5, "+52 33 4821 9056"), ("phone", 15, 23, "(33) 4821-9056"), ("phone", 15, 39, "33 4821 9056"), ("phone", 15, 53, "555 123 4567"), ("phone", 15, 68, "3348219056")],
         "Tel. [TELEFONO 1], [TELEFONO 2], [TELEFONO 3], [TELEFONO 4] y [TELEFONO 5].",
     ),
-    "CLABE 012180001234567897 y tarjeta 4111 1111 1111 1111": ([("clabe", 14, 6, "012180001234567897"), ("identifier", 7, 35, "4111 1111 1111 1111")], "CLABE [CLABE 1] y tarjeta [IDENTIFICADOR 1]"),
+    "CLABE 646180110400000007 y tarjeta 4111 1111 1111 1111": ([("clabe", 14, 6, "646180110400000007"), ("identifier", 7, 35, "4111 1111 1111 1111")], "CLABE [CLABE 1] y tarjeta [IDENTIFICADOR 1]"),
     "marca Sol, marca Zafiro y banco Norte Azul": ([("organization", 19, 17, "Zafiro"), ("organization", 18, 32, "Norte Azul")], "marca Sol, marca [EMPRESA 1] y banco [EMPRESA 2]"),
     "ACTOR: JUAN PÉREZ LÓPEZ\nel C. Ana Ruiz Soto y la Lic. Ana Ruiz": (
         [("name", 22, 7, "JUAN PÉREZ LÓPEZ"), ("name", 24, 30, "Ana Ruiz Soto"), ("name", 23, 54, "Ana Ruiz")],
@@ -264,12 +305,12 @@ _TEXTS: dict[str, tuple[list[tuple[str, int, int, str]], str]] = {
         [("organization", 17, 0, "Grupo Azul y Norte, S.A. de C.V."), ("organization", 17, 37, "Luz del Sur, S. de R.L.")],
         "[EMPRESA 1] con [EMPRESA 2]",
     ),
-    "Calle Morelos 5, Col. Centro, C.P. 06000; av. Juárez 450, Piso 2, Código Postal 06700.": (
-        [("address", 16, 0, "Calle Morelos 5, Col. Centro, C.P. 06000"), ("address", 16, 42, "av. Juárez 450, Piso 2, Código Postal 06700")],
+    "Calle Hidalgo 5, Col. Centro, C.P. 06000; av. Madero 310, Piso 2, Código Postal 06700.": (
+        [("address", 16, 0, "Calle Hidalgo 5, Col. Centro, C.P. 06000"), ("address", 16, 42, "av. Madero 310, Piso 2, Código Postal 06700")],
         "[DOMICILIO 1]; [DOMICILIO 2].",
     ),
-    "a.b@c.mx, RFC ÑABC850315AB1, CURP HELJ850315HDFRRN09; A.B@C.MX": (
-        [("email", 4, 0, "a.b@c.mx"), ("rfc", 3, 14, "ÑABC850315AB1"), ("curp", 1, 34, "HELJ850315HDFRRN09"), ("email", 4, 54, "A.B@C.MX")],
+    "a.b@c.mx, RFC ÑABC770821QX3, CURP GAMR770821HJCLRS04; A.B@C.MX": (
+        [("email", 4, 0, "a.b@c.mx"), ("rfc", 3, 14, "ÑABC770821QX3"), ("curp", 1, 34, "GAMR770821HJCLRS04"), ("email", 4, 54, "A.B@C.MX")],
         "[CORREO 1], RFC [RFC 1], CURP [CURP 1]; [CORREO 1]",
     ),
     "nacida el 3 de Marzo de 1990 (33 años), expediente 12/2024 y escritura pública número 1,234": (
@@ -349,7 +390,7 @@ _add(
     f"""WITH c AS (SELECT n_nationkey * 100 + i AS doc_id, i, ordinal, value AS original_text, type FROM nation, (VALUES
       {", ".join(f"({i}, '{t}', {o}, {_sql_text(v)})" for i, (found, _) in enumerate(_TEXTS.values()) for o, (t, _, _, v) in enumerate(found, 1) if v != "A.B@C.MX")}) t(i, type, ordinal, value))
     SELECT doc_id, ordinal::INTEGER AS ordinal, original_text, type, false AS is_selected FROM c WHERE i <> 2
-    UNION ALL SELECT n_nationkey * 100 + 2, o::INTEGER, v, t, b FROM nation, (VALUES (1, 'MARCA  sol', 'name', true), (2, 'Zafiro', 'organization', true), (3, 'y banco', 'name', true), (4, 'Norte Azul', 'organization', true)) x(o, v, t, b)""",
+    UNION ALL SELECT n_nationkey * 100 + 2, o::INTEGER, v, t, b FROM nation, (VALUES (1, 'marca Sol', 'name', true), (2, 'Zafiro', 'organization', true), (3, 'y banco', 'name', true), (4, 'Norte Azul', 'organization', true)) x(o, v, t, b)""",
 )
 
 # --- Location of any needle.
@@ -374,6 +415,16 @@ _add(
         for needle in _NEEDLES
     ),
 )
+
+
+def _located_together(spark: SparkSession, d: str) -> DataFrame:
+    """The same occurrences, of all needles by one scan of each text."""
+    found = _table(spark, d, "documents").select("doc_id", locate_all(F.col("text"), F.array(*map(F.lit, _NEEDLES))).alias("found"))
+    each = found.select("doc_id", F.explode(F.arrays_zip(F.array(*map(F.lit, _NEEDLES)).alias("needle"), "found")).alias("x"))
+    return each.select("doc_id", "x.needle", F.size("x.found").cast("long").alias("n")).filter("n > 0")
+
+
+_add("locate_together", _located_together, ORACLE_SQL["locate_occurrences"])
 _add(
     "exact_substrings",
     lambda s, d: _table(s, d, "documents").select("doc_id", F.explode(R.exact_substrings(F.col("text"), F.lit("of the"))).alias("found")),
@@ -396,7 +447,7 @@ _add(
 
 def _addresses(spark: SparkSession, d: str) -> DataFrame:
     c = _table(spark, d, "customer")
-    street = F.concat(F.lit("Calle Morelos "), (F.col("c_custkey") % 900 + 100).cast("string"))
+    street = F.concat(F.lit("Calle Hidalgo "), (F.col("c_custkey") % 900 + 100).cast("string"))
     return c.select(
         "c_custkey", street.alias("street"), F.concat(F.lit("Vive en "), street, F.lit(", Colonia Centro, Piso 3, C.P. "), F.lpad(F.col("c_custkey").cast("string"), 5, "0"), F.lit(". Fin")).alias("text")
     )
@@ -407,7 +458,7 @@ _add(
     lambda s, d: _addresses(s, d)
     .select("c_custkey", F.explode(R.occurrence_ranges(F.col("text"), F.col("street"), F.lit("address"))).alias("r"), R.street_core(F.col("street")).alias("core"))
     .select("c_custkey", "r.start", "r.end", "core"),
-    """SELECT c_custkey, 8::INTEGER AS start, (8 + length('Calle Morelos 100, Colonia Centro, Piso 3, C.P. 00000'))::INTEGER AS "end", 'calle morelos ' || (c_custkey % 900 + 100) AS core FROM customer""",
+    """SELECT c_custkey, 8::INTEGER AS start, (8 + length('Calle Hidalgo 100, Colonia Centro, Piso 3, C.P. 00000'))::INTEGER AS "end", 'calle hidalgo ' || (c_custkey % 900 + 100) AS core FROM customer""",
 )
 
 # --- Folds over spans, made from line items: within an order, start is (l_partkey % 40), length 3 + l_suppkey % 9, priority the line number.
@@ -452,15 +503,16 @@ _add(
 
 
 def _supplemented(spark: SparkSession, d: str) -> DataFrame:
+    none = F.array().cast(f"array<{S.SPAN}>")
     base = _spans(spark, d, "l_linenumber <= 1").select("l_orderkey", S.claim(F.col("spans")).alias("spans"))
     more = _spans(spark, d, "l_linenumber > 1").select("l_orderkey", F.transform("spans", lambda x: x.withField("value", F.lit("Juan Soto"))).alias("more"))
-    return _flat(base.join(more, "l_orderkey", "left"), supplement(F.col("spans"), F.coalesce("more", F.array().cast(f"array<{S.SPAN}>"))))
+    return _flat(base.join(more, "l_orderkey", "full"), supplement(F.coalesce("spans", none), F.coalesce("more", none)))
 
 
 _add(
     "supplement_spans",
     _supplemented,
-    f"""WITH RECURSIVE {_SPANS.replace("FROM lineitem", "FROM lineitem WHERE l_linenumber = 1 OR (l_quantity % 4 < 2 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1))")}, {_CLAIM}
+    f"""WITH RECURSIVE {_SPANS.replace("FROM lineitem", "FROM lineitem WHERE l_linenumber = 1 OR l_quantity % 4 < 2")}, {_CLAIM}
       SELECT l_orderkey, s, e, type, rule_id::INTEGER AS rule_id FROM claimed WHERE ok""",
 )
 
@@ -468,8 +520,9 @@ _add(
 def _merged(spark: SparkSession, d: str) -> DataFrame:
     base = _spans(spark, d, "l_linenumber <= 2").select("l_orderkey", S.claim(F.col("spans")).alias("base"))
     more = _spans(spark, d, "l_linenumber > 2").select("l_orderkey", F.col("spans").alias("more"))
-    both = base.join(more, "l_orderkey")
-    return _flat(both, S.by_start(S.merge(F.col("base"), F.col("more"))))
+    none = F.array().cast(f"array<{S.SPAN}>")
+    both = base.join(more, "l_orderkey", "full")
+    return _flat(both, S.by_start(S.merge(F.coalesce("base", none), F.coalesce("more", none))))
 
 
 #: A replaced span keeps its place in the list, so the list is carried as a whole: [start, end, contextual, rule].
@@ -478,7 +531,7 @@ _add(
     "merge_layers",
     _merged,
     f"""WITH RECURSIVE {_SPANS}, item AS (SELECT *, CASE WHEN type = 'email' THEN 0 ELSE 1 END AS ctx, ['name', 'organization', 'address', 'email'] AS kinds FROM spans),
-    steps AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS k FROM item WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 2) AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2)),
+    steps AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS k FROM item),
     m AS (SELECT l_orderkey, 0::BIGINT AS k, []::BIGINT[][] AS acc FROM (SELECT DISTINCT l_orderkey FROM steps)
       UNION ALL SELECT n.l_orderkey, n.k,
         CASE WHEN len({_OVER}) = 0 THEN list_append(m.acc, [n.s, n.e, n.ctx, n.rule_id, list_position(n.kinds, n.type)])
@@ -494,7 +547,7 @@ _add(
 
 _SNIPPETS = (
     "enero", "de la", "Julio Soto", "María Soto", "Juan", "C. Juez Quinto", "Ana Juez en Turno", "Grupo Azul S.A. de C.V.", "Norte", "Sol", "pago multa",
-    "pago Norte", "2024", "1999", "ab1", "abcde", "expediente largo", "12345", "CDMX", "Ciudad de México", "Calle Morelos 5", "ok", "abc", "  ", "m.n. pesos",
+    "pago Norte", "2024", "1999", "ab1", "abcde", "expediente largo", "12345", "CDMX", "Ciudad de México", "Calle Hidalgo 5", "ok", "abc", "  ", "m.n. pesos",
 )
 
 
@@ -532,8 +585,8 @@ _add(
 _CLASSIFIED = {
     "": "name",
     "juan.soto@correo.mx": "email",
-    "RFC HEHL850315AB1": "rfc",
-    "Avenida Juárez": "address",
+    "RFC GAMR770821QX3": "rfc",
+    "Avenida Madero": "address",
     "vive en la ciudad de Puebla": "address",
     "Cédula Profesional en trámite": "cedula",
     "Alfa, Persona Moral": "organization",
@@ -543,7 +596,7 @@ _CLASSIFIED = {
     "Pasaporte vencido": "identifier",
     "Nacida en mayo": "identifier",
     "Juan Pérez": "name",
-    "55 1234 5678": "phone",
+    "33 4821 9056": "phone",
 }
 _add(
     "classify_snippets",
@@ -565,10 +618,16 @@ _add(
     + " ".join(f"WHEN {' OR '.join(f'contains(t, {_sql_text(h)})' for h in hints)} THEN '{kind}'" for hints, kind in ((V.ADDRESS_HINTS, "address"), (V.LICENCE_HINTS, "cedula"), (V.ORGANIZATION_HINTS, "organization"), (V.IDENTIFIER_HINTS, "identifier")))
     + " ELSE 'name' END AS type FROM b",
 )
+#: Licences with an accent of its own (as texts from PDF files have), within a letter, and without; and what isn't one.
+_add(
+    "classify_decomposed",
+    lambda s, d: _table(s, d, "supplier").select("s_suppkey", C.classify(F.concat(F.element_at(F.array(*map(F.lit, ("Ce\u0301dula", "Cédula", "CEDULA", "Regla"))), (F.col("s_suppkey") % 4 + 1).cast("int")), F.lit(" profesional de "), "s_name")).alias("type")),
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 3 THEN 'cedula' ELSE 'name' END AS type FROM supplier",
+)
 _add(
     "redactable_snippets",
-    lambda s, d: _snippet_frame(s, d, ["[CORREO 1]", "[RFC -]", "[correo 1]", "a", " ab ", "[OTRO 1]", ""]).filter(E.redactable(F.col("snippet"))).select("n_nationkey", "snippet"),
-    "SELECT n_nationkey, snippet FROM nation, (VALUES ('[correo 1]'), (' ab '), ('[OTRO 1]')) t(snippet)",
+    lambda s, d: _snippet_frame(s, d, ["[CORREO 1]", "[RFC -]", "[correo 1]", "a", " ab ", "[OTRO 1]", "[OTRO 1", "[Otro 1]", "[OTRO uno]", ""]).filter(E.redactable(F.col("snippet"))).select("n_nationkey", "snippet"),
+    "SELECT n_nationkey, snippet FROM nation, (VALUES ('[correo 1]'), (' ab '), ('[OTRO 1'), ('[Otro 1]'), ('[OTRO uno]')) t(snippet)",
 )
 _add(
     "can_redact",
@@ -673,6 +732,11 @@ _add(
     lambda s, d: H.search(_history(s, d), "  THE of ").select("id"),
     f"WITH {_HIST} SELECT id FROM hist WHERE contains(lower(file_name), 'the of') OR contains(search_preview, 'the of')",
 )
+_add(
+    "history_search_indexed",
+    lambda s, d: H.search_indexed(_history(s, d), H.postings(_history(s, d)), "  THE of ").select("id"),
+    ORACLE_SQL["history_search"],
+)
 _add(
     "history_in_flight",
     lambda s, d: H.with_in_flight(_known(s, d), _history(s, d)).select("id", "rank"),
@@ -760,13 +824,14 @@ _add(
 )
 _add(
     "type_dimension",
-    lambda s, d: D.type_dimension(_table(s, d, "nation")),
-    "SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})" for a, b, c in V.TYPES) + ") t(type, display_name, tag_label)",
+    lambda s, d: D.with_names(_written(s, d).transform(D.findings)).groupBy("type", "display_name", "tag_label").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT type, display_name, tag_label, n FROM (VALUES " + ", ".join(f"({_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})" for a, b, c in V.TYPES) + ") t(type, display_name, tag_label) JOIN (SELECT type, count(*) AS n FROM nation, (VALUES "
+    + ", ".join(f"('{t}')" for found, _ in _TEXTS.values() for t, *_ in found) + ") f(type) GROUP BY type) USING (type)",
 )
 _add(
     "model_chunks",
     lambda s, d: chunks(_table(s, d, "documents")).select("doc_id", "chunk_idx", "start", F.length("chunk").alias("n")),
-    f"""WITH RECURSIVE c AS (SELECT doc_id, text, length(text) AS size, 0 AS i, 0 AS a, {(cut := "CASE WHEN A + 1800 < length(text) AND contains(substr(text, A + 1, 1800), chr(10)) THEN A + length(substr(text, A + 1, 1800)) - strpos(reverse(substr(text, A + 1, 1800)), chr(10)) + 1 ELSE least(A + 1800, length(text)) END").replace("A +", "0 +")} AS e
+    f"""WITH RECURSIVE c AS (SELECT doc_id, text, length(text) AS size, 0 AS i, 0 AS a, {(cut := "CASE WHEN A + 1800 < length(text) AND contains(substr(text, A + 2, 1799), chr(10)) THEN A + length(substr(text, A + 1, 1800)) - strpos(reverse(substr(text, A + 1, 1800)), chr(10)) + 1 ELSE least(A + 1800, length(text)) END").replace("A +", "0 +")} AS e
       FROM documents WHERE trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> ''
       UNION ALL SELECT doc_id, text, size, i + 1, b, {cut.replace("A +", "b +")} FROM (SELECT *, CASE WHEN e - 200 > a THEN e - 200 ELSE e END AS b FROM c WHERE e < size))
     SELECT doc_id, i::INTEGER AS chunk_idx, a::INTEGER AS start, (e - a)::INTEGER AS n FROM c""",
@@ -784,6 +849,8 @@ _add(
 def _paged(path: str, content: bytes) -> list[tuple[str | None, str | None]]:
     if b"damaged" in content:
         raise OSError("no pages")
+    if content == b"no sheets":
+        return []
     return [(p, None) if len(p) > 50 else (p, "leído") for p in content.decode().split("|")]
 
 
@@ -813,6 +880,8 @@ _FILES = {
     "e.doc": ("cast('OLD text' AS binary)", "'text'", "NULL"),
     "f.pdf": (f"cast('{_LONG}|x||y' AS binary)", f"concat('{_LONG}', chr(10), 'leído', chr(10), 'leído', chr(10), 'leído')", "NULL"),
     "g.pdf": ("cast('damaged' AS binary)", "NULL", "'unreadablePDF'"),
+    "l.pdf": ("cast('no sheets' AS binary)", "NULL", "'emptyDocument'"),
+    "m.pdf": ("cast(' ' AS binary)", "'leído'", "NULL"),
     "h.bin": ("cast('x' AS binary)", "NULL", "'unsupportedFileType'"),
     "i.txt": ("cast(' \t' AS binary)", "NULL", "'emptyDocument'"),
     "j.txt": ("cast(NULL AS binary)", "NULL", "'readFailed'"),
@@ -834,9 +903,11 @@ _add(
 )
 _add(
     "reading_order",
-    lambda s, d: F_.reading_order(_table(s, d, "part").select((F.col("p_partkey") % 50).alias("page"), F.col("p_name").alias("text"), ((F.col("p_partkey") % 97) / 97).alias("min_x"), (F.col("p_size") / 60).alias("max_y")), "page"),
-    """SELECT page, regexp_replace(string_agg(text, chr(10) ORDER BY row, min_x, text), '^\s+|\s+$', '', 'g') AS text FROM
-      (SELECT p_partkey % 50 AS page, p_name AS text, (p_partkey % 97)::DOUBLE / 97 AS min_x, floor((1 - p_size::DOUBLE / 60) / 0.02::DOUBLE) AS row FROM part) GROUP BY page""",
+    lambda s, d: F_.reading_order(_table(s, d, "part").select((F.col("p_partkey") % 50).alias("page"), F.col("p_name").alias("text"), ((F.col("p_partkey") % 97) / 97).alias("min_x"), (F.col("p_size") * 0.007 + (F.col("p_partkey") % 5) * 0.001).alias("max_y")), "page"),
+    r"""WITH o AS (SELECT p_partkey % 50 AS page, p_name AS text, (p_partkey % 97)::DOUBLE / 97 AS min_x, p_size * 0.007::DOUBLE + (p_partkey % 5) * 0.001::DOUBLE AS max_y FROM part),
+      g AS (SELECT *, coalesce((round(lag(max_y) OVER w - max_y, 6) > 0.02)::INTEGER, 0) AS gap FROM o WINDOW w AS (PARTITION BY page ORDER BY max_y DESC, min_x, text)),
+      r AS (SELECT *, sum(gap) OVER (PARTITION BY page ORDER BY max_y DESC, min_x, text ROWS UNBOUNDED PRECEDING) AS row FROM g)
+      SELECT page, regexp_replace(string_agg(text, chr(10) ORDER BY row, min_x, text), '^\s+|\s+$', '', 'g') AS text FROM r GROUP BY page""",
 )
 
 

@@ -69,12 +69,15 @@ def pages_text(pages: Column) -> Column:
 def reading_order(observations: DataFrame, *page: str) -> DataFrame:
     """(page, text) of recognised lines (page, text, min_x, max_y in 0..1): from the top, and from the left within a row.
 
-    Rows are bands of the tolerance, which makes the order a strict one.
+    A row ends where the next lower line is more than the tolerance below: so lines within it of each other always share a row, wherever
+    they lie, and the order is a strict one. Windows are within one page, whose lines are few.
     """
-    row = F.floor((1 - F.col("max_y")) / V.OCR_ROW)
-    return observations.groupBy(*page).agg(
-        trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(row.alias("row"), F.col("min_x").alias("x"), F.col("text").alias("t")))), lambda o: o["t"]), "\n")).alias("text")
-    )
+    down = W.partitionBy(*page).orderBy(F.desc("max_y"), "min_x", "text")
+    # Places are compared to a millionth of the page, so that sums of floating point numbers at the tolerance stay within it.
+    gap = F.round(F.lag("max_y").over(down) - F.col("max_y"), 6) > V.OCR_ROW
+    rows = observations.withColumn("velum_gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("velum_row", F.sum("velum_gap").over(down.rowsBetween(W.unboundedPreceding, 0)))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("velum_row").alias("row"), F.col("min_x").alias("x"), F.col("text").alias("t"))))
+    return rows.groupBy(*page).agg(trim(F.array_join(F.transform(listed, lambda o: o["t"]), "\n")).alias("text"))
 
 
 def raster_size(width: Column, height: Column, rotation: Column) -> Column:
@@ -88,19 +91,43 @@ def raster_size(width: Column, height: Column, rotation: Column) -> Column:
 _PART = re.compile(r"^word/(document|footnotes|endnotes|header[^/]*|footer[^/]*)\.xml$", re.IGNORECASE)
 
 
+class _WordText:
+    """Collects the text of a WordprocessingML part as its elements come."""
+
+    def __init__(self) -> None:
+        self.out: list[str] = []
+        self.inside = 0
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        name = tag.rpartition("}")[2]
+        self.inside += name == "t"
+        if name == "tab":
+            self.out.append("\t")
+        elif name in ("br", "cr") or name == "p" and self.out:
+            self.out.append("\n")
+
+    def end(self, tag: str) -> None:
+        self.inside -= tag.rpartition("}")[2] == "t"
+
+    def data(self, text: str) -> None:
+        if self.inside:
+            self.out.append(text)
+
+    def close(self) -> str:
+        return "".join(self.out)
+
+
 def wordprocessing_text(xml: bytes) -> str:
-    """The text of a part: runs, tabs, breaks, and a line break before each paragraph but the first output."""
-    out: list[str] = []
-    for event, node in ElementTree.iterparse(io.BytesIO(xml), ("start", "end")):
-        name = node.tag.rpartition("}")[2]
-        if event == "start":
-            if name == "tab":
-                out.append("\t")
-            elif name in ("br", "cr") or name == "p" and out:
-                out.append("\n")
-        elif name == "t":
-            out.append(node.text or "")
-    return "".join(out)
+    """The text of a part: runs, tabs, breaks, and a line break before each paragraph but the first output; of a damaged part, what
+    stands before the damage."""
+    text = _WordText()
+    parser = ElementTree.XMLParser(target=text)
+    try:
+        parser.feed(xml)
+        parser.close()
+    except ElementTree.ParseError:
+        pass
+    return text.close()
 
 
 def docx_text(content: bytes) -> str:
@@ -150,7 +177,7 @@ def extract(files: DataFrame, page_reader: PageReader | None = None, doc_reader:
                 rows.append((None, None, None))
             elif e == "pdf":
                 pages = pdf(p, bytes(c))
-                rows.append((None, None if pages else "unreadablePDF", pages))
+                rows.append((None, "unreadablePDF" if pages is None else None if pages else "emptyDocument", pages))
             else:
                 rows.append((*word(p, bytes(c)), None))
         return pd.DataFrame(rows, columns=["text", "error", "pages"])
@@ -164,8 +191,8 @@ def extract(files: DataFrame, page_reader: PageReader | None = None, doc_reader:
     error = (
         F.when(~F.coalesce(ext.isin(*V.EXTENSIONS), F.lit(False)), "unsupportedFileType")
         .when(content.isNull(), "readFailed")
+        .when(F.col("parsed.error").isNotNull(), F.col("parsed.error"))
         .when((ext == "pdf") & (paged == ""), "unreadablePDF")
-        .otherwise(F.col("parsed.error"))
     )
     every = done.select("path", "file_hash", text.alias("text"), error.alias("error_code"))
     blank = F.col("error_code").isNull() & F.coalesce(trim(F.col("text")) == "", F.lit(True))

@@ -81,6 +81,24 @@ def load_index(spark: SparkSession, index_root: str, records_path: str) -> DataF
     return H.ordered(read_table(spark, index_root) if there else H.rebuild(read_records(spark, records_path)))
 
 
+def write_search_index(history: DataFrame, path: str) -> None:
+    """The history dealt into folders by id, and for each gram the folders that have it (PARTS at most)."""
+    dealt = history.withColumn("part", _part(F.col("id")))
+    dealt.repartition("part").sortWithinPartitions("id").write.partitionBy("part").parquet(f"{path}/rows")
+    H.postings(dealt, "part").repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
+
+
+def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """:func:`velum.operators.history.search` of a written index: only folders that have all grams of the query are read.
+
+    The grams' filter reaches the index's row groups, and the list of folders is bounded by their number.
+    """
+    rows = spark.read.parquet(f"{path}/rows")
+    if H.query_grams(query):
+        rows = rows.filter(F.col("part").isin([r["part"] for r in H.places_with(spark.read.parquet(f"{path}/grams"), query, "part").collect()]))
+    return H.search(rows, query).drop("part")
+
+
 def notification(n: Column, active: Column, watching: Column) -> Column:
     """The message after a scan, in the singular or plural; none while the user is looking on."""
     message = F.when(n == 1, "1 hallazgo para revisar").otherwise(F.concat(n.cast("string"), F.lit(" hallazgos para revisar")))

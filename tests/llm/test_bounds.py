@@ -67,3 +67,25 @@ def test_a_bitmap_has_bits_for_what_is_counted(spark):
     inside = np.array([r["h"] for r in h.collect()], np.int64)
     outside = np.array([r["h"] for r in spark.range(10**6, 10**6 + 20_000).select(F.xxhash64("id").alias("h")).collect()], np.int64)
     assert 8 * len(bits) == 1 << 16 and substring_dedup._in_bitmap(bits, inside).all() and substring_dedup._in_bitmap(bits, outside).mean() < 0.1
+
+
+def test_what_the_rules_find_does_not_stay(spark):
+    from velum.llm import surrogates
+    from velum.operators import detect
+    from velum.rules import BY_NAME
+
+    texts = [
+        "RFC VICR770821QX3, CURP vicr770821mjclms04 y clave GRMNLS85031512M300.",
+        "Llame al 3348219056 o al 33 4821 9056, (33) 4821-9056; CLABE 646180110400000007, tarjeta 4111 1111 1111 1111.",
+        "x@y.example, ANA@NORTE.MX; versión v1.2.3.4 y 300.1.2.999 quedan, 10.20.30.40 no. RFC VICR770821QX3 otra vez.",
+    ]
+    rules = [BY_NAME[n] for n in ("curp", "voter_key", "rfc", "email", "card", "clabe", "phone")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = surrogates.pseudonymise(docs)
+    values = lambda df: {(r["type"], r["value"].upper()) for r in detect.findings(df, rules).collect()}
+    before = values(docs)
+    assert len(before) == 10 and not before & values(out)
+    new = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert "v1.2.3.4 y 300.1.2.999 quedan" in new[2] and "10.20.30.40" not in new[2] and ".example.example" not in new[2]
+    same = [w for w in new[0].replace(",", " ").split() if len(w) == 13]
+    assert len(same) == 1 and same[0] in new[2] and new[0].split()[3].rstrip(",").islower()

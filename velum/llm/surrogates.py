@@ -1,7 +1,7 @@
 """Surrogates for personal data (built-in functions only).
 
-One pattern finds e-mail addresses, IP addresses, phone, card and social security numbers, access keys, secrets after a cue, and names
-after a title. Each distinct entity gets one surrogate of its type, drawn by a keyed hash of its normal form: given names by gender (of a
+One pattern finds e-mail addresses, IP addresses, phone, card, account and social security numbers, official identifiers (tax, population
+and voter's keys), access keys, secrets after a cue, and names after a title. Each distinct entity gets one surrogate of its type, drawn by a keyed hash of its normal form: given names by gender (of a
 known first name, else of the titles it is met with) and script, surnames by script, numbers with as many digits, secrets of the same
 signs, valid check digits where there were some. Each occurrence is then written in its own format: its separators, its capitals.
 
@@ -45,16 +45,21 @@ _NAME = "\\p{Lu}[\\p{Ll}']+(?:-\\p{Lu}\\p{Ll}+)?(?: \\p{Lu}[\\p{Ll}']+(?:-\\p{Lu
 _CUE = "(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?"
 #: Each alternative begins with what is cheap to test and seldom there.
 _NAMED = f"(?<= )(?=\\p{{Lu}})(?<=(?<![\\p{{L}}-])(?:{_TITLES})[.]?[ ]){_NAME}"
+_OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
+#: Three to six letters, a date and a mark: keys of tax payers, persons and voters.
+_OFFICIAL = "(?i:[A-ZÑ&]{3,4}\\d{6}[A-Z0-9]{3}|[A-Z]{4}\\d{6}[HM][A-Z]{5}[A-Z0-9]\\d|[A-Z]{6}\\d{8}[HM][A-Z0-9]{3})"
 PATTERN = "|".join(
     (
         "(?<![\\p{L}\\p{N}._%+-])(?=[^\\s@]+@)[\\p{L}\\p{N}._%+-]+@[\\p{L}\\p{N}-]+(?:\\.[\\p{L}\\p{N}-]+)*\\.\\p{L}{2,}",
         f"(?<=[=: \"'])(?i:(?<={_CUE}[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?))(?=[_/+.-]*[A-Za-z0-9])[A-Za-z0-9_/+.-]{{6,}}[A-Za-z0-9_/+-]",
         "A(?<![A-Za-z0-9]A)KIA[0-9A-Z]{16}(?![A-Za-z0-9])",
         "(?=[\\d(+])(?:"
-        "(?<![\\d.])\\d{1,3}(?:\\.\\d{1,3}){3}(?!\\.?\\d)"
+        f"(?<![\\p{{L}}\\d.]){_OCTET}(?:\\.{_OCTET}){{3}}(?!\\.?\\d)"
         "|(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])"
         "|(?<!\\d)\\d(?:[ -]?\\d){12,18}(?!\\d)"
-        "|(?<![\\d+])(?:\\+\\d{1,3}[ .-]?)?(?:\\(\\d{2,4}\\)[ .-]?|\\d{2,4}[ .-])\\d{3,4}[ .-]\\d{4}(?!\\d))",
+        "|(?<![\\d+])(?:\\+\\d{1,3}[ .-]?)?(?:\\(\\d{2,4}\\)[ .-]?|\\d{2,4}[ .-])\\d{3,4}[ .-]\\d{4}(?!\\d)"
+        "|(?<![\\p{L}\\d.,-])\\d{10}(?![\\p{L}\\d]))",
+        f"(?<![\\p{{L}}\\p{{N}}&]){_OFFICIAL}(?![\\p{{L}}\\p{{N}}])",
         _NAMED,
     )
 )
@@ -93,6 +98,7 @@ def kind(value: Column, cued: Column) -> Column:
         .when(value.rlike("^\\d{1,3}(\\.\\d{1,3}){3}$"), "ip")
         .when(value.rlike("^AKIA[0-9A-Z]{16}$"), "access_key")
         .when(value.rlike("^\\d{3}-\\d{2}-\\d{4}$"), "ssn")
+        .when(value.rlike(f"^{_OFFICIAL}$"), "official")
         .when(value.rlike("^\\d[\\d -]+\\d$") & (digits >= 13), "card")
         .when(value.rlike("^[+(\\d][\\d() .-]+\\d$"), "phone")
         .otherwise("name")
@@ -104,6 +110,7 @@ def normal(kind_: Column, value: Column) -> Column:
     return (
         F.when(kind_.isin("ssn", "card", "phone"), F.regexp_replace(value, "\\D", ""))
         .when(kind_.isin("email", "given", "surname"), F.lower(value))
+        .when(kind_ == "official", F.upper(value))
         .otherwise(value)
     )
 
@@ -187,7 +194,8 @@ def _email(norm: Column, seed: Column, attempt: Column, key: str) -> Column:
     """Other letters and digits before the at; one other name for each domain, with its last part."""
     domain = F.substring_index(norm, "@", -1)
     name = F.translate(F.substring(_hex(F.concat(F.lit(key + "|domain|"), domain)), 1, 20), "0123456789", "ghijklmnop")
-    return F.concat(_secret(F.substring_index(norm, "@", 1), seed, attempt), F.lit("@"), name, F.lit(".example."), F.substring_index(domain, ".", -1))
+    last = F.substring_index(domain, ".", -1)
+    return F.concat(_secret(F.substring_index(norm, "@", 1), seed, attempt), F.lit("@"), name, F.lit(".example"), F.when(last == "example", "").otherwise(F.concat(F.lit("."), last)))
 
 
 def _script(norm: Column) -> Column:
@@ -249,13 +257,14 @@ def render(kind_: Column, value: Column, surrogate: Column) -> Column:
         F.when(kind_.isin("ssn", "card", "phone"), filled)
         .when(kind_.isin("given", "surname"), F.when(capitals, F.upper(surrogate)).otherwise(F.initcap(surrogate)))
         .when((kind_ == "email") & capitals, F.upper(surrogate))
+        .when(kind_ == "official", F.when(value == F.lower(value), F.lower(surrogate)).otherwise(F.upper(surrogate)))
         .otherwise(surrogate)
     )
 
 
 def likely(text: Column) -> Column:
     """Whether a text can hold an entity: scans that are cheap at each place."""
-    return F.coalesce(text.contains("@") | text.rlike("\\d[\\d ().-]{6}") | text.contains("AKIA") | text.rlike(_CUED) | text.rlike(_TITLED), F.lit(False))
+    return F.coalesce(text.contains("@") | text.rlike("\\d[\\d ().-]{5}") | text.contains("AKIA") | text.rlike(_CUED) | text.rlike(_TITLED), F.lit(False))
 
 
 def _known(text: Column) -> Column:

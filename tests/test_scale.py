@@ -245,3 +245,17 @@ def test_a_written_search_index_reads_only_what_may_match(spark, tmp_path):
     read = store.search_index(spark, f"{tmp_path}/index", "zorro").select(F.input_file_name()).distinct().count()
     plan = store.search_index(spark, f"{tmp_path}/index", "zorro")._jdf.queryExecution().executedPlan().toString()
     assert read <= 2 and "PartitionFilters: [part" in plan.replace("isnotnull(part#", "part#")
+
+
+def test_page_ranges_give_what_whole_files_give(spark):
+    pages = {f"f{n}.pdf": [(f"página {i} " + "palabra " * 9, None) if i % 3 else ("x", f"leída {i}") for i in range(n)] for n in (0, 1, 2, 7, 120)} | {"g.pdf": [(None, None)] * 3}
+    def part(path, first, last):
+        if path == "bad.pdf" and first > 1:
+            raise OSError
+        return pages.get(path, [("y" * 50, None)] * 4)[first:last]
+
+    names = [*pages, "bad.pdf"]
+    out = {r["path"]: (r["text"], r["error_code"]) for r in F_.extract_ranges(spark.createDataFrame([(n,) for n in names], "path string"), lambda p: len(pages.get(p, [0] * 4)), part, 2).collect()}
+    whole = F_.extract(spark.createDataFrame([(n, bytearray(b"x")) for n in pages], "path string, content binary"), lambda p, c: pages[p]).collect()
+    assert {k: v for k, v in out.items() if k != "bad.pdf"} == {r["path"]: (r["text"], r["error_code"]) for r in whole} and out["bad.pdf"] == (None, "unreadablePDF")
+    assert out["f120.pdf"][0].count("\n") == 119

@@ -811,6 +811,37 @@ _add(
     t AS (SELECT path, n, CASE WHEN length(regexp_replace(em, '[^\\p{L}\\p{M}\\p{N}]', '', 'g')) >= 40 THEN regexp_replace(em, '^\\s+|\\s+$', '', 'g') ELSE coalesce(re, nullif(regexp_replace(em, '^\\s+|\\s+$', '', 'g'), '')) END AS t FROM p)
     SELECT path, string_agg(t, chr(10) ORDER BY n) AS text FROM t WHERE t <> '' GROUP BY path""",
 )
+
+
+def _paged_range(path: str, first: int, last: int) -> list[tuple[str | None, str | None]]:
+    """Pages of a supplier's file: long ones as they are, short ones to be recognised, and each seventh without anything."""
+    if path.endswith("5"):
+        raise OSError("no pages")
+    page = lambda i: f"Página {i} de {path}: " + "texto que se puede leer " * 3
+    return [(None, "") if i % 7 == 6 else (page(i) + "\f", None) if i % 2 == 0 else ("corto", f" leído {i} ") for i in range(first, last)]
+
+
+def _by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A file of a few pages for each supplier, by ranges of three; those whose number ends in 5 can't be read, in 0 can't be counted."""
+    files = _table(spark, d, "supplier").select(F.concat(F.lit("/in/"), F.col("s_suppkey").cast("string")).alias("path"))
+
+    def pages(path: str) -> int:
+        if path.endswith("0"):
+            raise OSError("no file")
+        return int(path[4:]) % 23
+
+    return F_.extract_ranges(files, pages, _paged_range, 3)
+
+
+_add(
+    "pdf_page_ranges",
+    _by_ranges,
+    """WITH f AS (SELECT s_suppkey, concat('/in/', s_suppkey) AS path, s_suppkey % 23 AS n FROM supplier),
+    p AS (SELECT path, unnest(range(n)) AS i FROM f WHERE s_suppkey % 5 > 0),
+    t AS (SELECT path, i, CASE WHEN i % 7 = 6 THEN '' WHEN i % 2 = 0 THEN trim(concat('Página ', i, ' de ', path, ': ', repeat('texto que se puede leer ', 3))) ELSE concat('leído ', i) END AS t FROM p),
+    j AS (SELECT path, string_agg(t, chr(10) ORDER BY i) AS text FROM t WHERE t <> '' GROUP BY path)
+    SELECT path, text, CASE WHEN s_suppkey % 10 = 0 THEN 'unreadablePDF' WHEN n = 0 THEN 'emptyDocument' WHEN text IS NULL THEN 'unreadablePDF' END AS error_code FROM f LEFT JOIN j USING (path)""",
+)
 _add(
     "raster_size",
     lambda s, d: _table(s, d, "part").select("p_partkey", F_.raster_size(F.col("p_partkey") % 900 + 100.0, F.lit(792.0), (F.col("p_size") % 4 * 90).cast("int")).alias("r")).select("p_partkey", "r.width", "r.height"),

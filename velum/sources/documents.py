@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -19,6 +19,9 @@ from velum.functions.text import trim
 
 #: Reads (path, content) into one text per page, in order, as (embedded text, recognised text); None for what is missing.
 PageReader = Callable[[str, bytes], list[tuple[str | None, str | None]]]
+#: Counts the pages of the file at a path, and reads those from a first to before a last one, as PageReader does.
+PageCounter = Callable[[str], int]
+RangeReader = Callable[[str, int, int], list[tuple[str | None, str | None]]]
 #: Reads (path, content) of a legacy Word file.
 DocReader = Callable[[str, bytes], str]
 
@@ -199,6 +202,46 @@ def extract(files: DataFrame, page_reader: PageReader | None = None, doc_reader:
     return every.select("path", "file_hash", F.when(F.col("error_code").isNull() & ~blank, F.col("text")).alias("text"), F.when(blank, "emptyDocument").otherwise(F.col("error_code")).alias("error_code"))
 
 
+def extract_ranges(files: DataFrame, counter: PageCounter, reader: RangeReader, pages: int = 50) -> DataFrame:
+    """(path, text, error_code) of paged files (path) by ranges of ``pages`` pages, each a row of its own for a task: so a file of many pages
+    is read by many tasks, none of which holds its bytes, and files are opened by their path where the readers run.
+
+    The rows are those that :func:`extract` gives with a reader of whole files: a file that can't be counted, or a range of it that can't be
+    read, is unreadablePDF, as is one whose pages hold no text; one without pages is emptyDocument.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = []
+            for path in pdf["path"]:
+                try:
+                    sizes.append(counter(path))
+                except Exception:  # an outside reader's own errors
+                    sizes.append(-1)
+            yield pd.DataFrame({"path": pdf["path"], "n_pages": sizes})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, first, last in zip(pdf["path"], pdf["first"], pdf["last"], strict=True):
+                try:
+                    rows += [(path, int(first) + i, a, b, True) for i, (a, b) in enumerate(reader(path, int(first), int(last)))]
+                except Exception:  # an outside reader's own errors
+                    rows.append((path, int(first), None, None, False))
+            yield pd.DataFrame(rows, columns=["path", "page_no", "embedded", "recognised", "ok"])
+
+    counted = files.select("path").mapInPandas(count, "path string, n_pages int")
+    first = F.explode_outer(F.when(F.col("n_pages") > 0, F.sequence(F.lit(0), F.col("n_pages") - 1, F.lit(pages))))
+    ranges = counted.select("path", "n_pages", first.alias("first")).withColumn("last", F.least(F.col("first") + pages, F.col("n_pages")))
+    # Dealt by path and range, so that the ranges of one file go to different tasks.
+    some = ranges.filter("first is not null").select("path", "first", "last").repartition("path", "first")
+    found = some.mapInPandas(read, "path string, page_no int, embedded string, recognised string, ok boolean")
+    texts = found.groupBy("path").agg(F.every("ok").alias("ok"), pages_text(F.sort_array(F.collect_list(F.struct("page_no", "embedded", "recognised")))).alias("text"))
+    none = ranges.filter("first is null").select("path", F.lit(None).cast("string").alias("text"), F.when(F.col("n_pages") == 0, "emptyDocument").otherwise("unreadablePDF").alias("error_code"))
+    good = F.col("ok") & (F.col("text") != "")
+    return texts.select("path", F.when(good, F.col("text")).alias("text"), F.when(~good, "unreadablePDF").alias("error_code")).unionByName(none)
+
+
 def with_failures(listed: DataFrame, done: DataFrame) -> DataFrame:
     """``done`` with a row of the code readFailed for each listed path (path) that it lacks."""
     joined = listed.select("path").join(done, "path", "left")

@@ -10,7 +10,7 @@ only. So the driver gets 2 * TRAIN_PER_LABEL * TRAIN_LINES lines at most (37 MB)
 
 Memory: a worker holds a slice of texts, one whole text at least (about 150 bytes a byte of one-letter lines, less else).
 
-Defined cases: of texts that share a doc_id the least is learned from; a text without a line with a word (also null and empty ones) gets the share of good texts among those learned from;
+Defined cases: of texts that share a doc_id the least is learned from; a text without a line with a word (also null and empty ones) gets the share of good pieces (of PIECE lines) among those learned from;
 without any label to learn from every score is 0.5; null labels teach nothing; repeated rows are scored each; empty tables
 give an empty result; other columns are not looked at.
 """

@@ -288,7 +288,7 @@ def _moved_pieces(spark: SparkSession, d: str) -> DataFrame:
 _add("incremental_changed_pieces", _moved_pieces, ORACLE_SQL["incremental_changed_text"])
 
 # --- All rules together, on texts with several types, overlaps, rejected values and repeats: text -> (type, rule, start, value) of each
-# finding and the redacted text, worked out by hand from the rules; the SQL states them for each nation.
+# finding and the redacted text, worked out by hand from the rules; the SQL states them for each supplier.
 
 _TEXTS: dict[str, tuple[list[tuple[str, int, int, str]], str]] = {
     "Tel. +52 33 4821 9056, (33) 4821-9056, 33 4821 9056, 555 123 4567 y 3348219056.": (
@@ -329,27 +329,27 @@ _TEXTS: dict[str, tuple[list[tuple[str, int, int, str]], str]] = {
 
 
 def _written(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text): the texts above for each nation."""
+    """(doc_id, text): the texts above for each supplier."""
     each = F.posexplode(F.array(*map(F.lit, _TEXTS))).alias("i", "text")
-    return _table(spark, d, "nation").select("n_nationkey", each).select((F.col("n_nationkey") * 100 + F.col("i")).alias("doc_id"), "text")
+    return _table(spark, d, "supplier").select("s_suppkey", each).select((F.col("s_suppkey") * 100 + F.col("i")).alias("doc_id"), "text")
 
 
 _add(
     "detect_together",
     lambda s, d: D.findings(_written(s, d)).select("doc_id", "type", "rule_id", "start", "end", "value"),
-    'SELECT n_nationkey * 100 + i AS doc_id, type, rule_id, start, (start + length(value))::INTEGER AS "end", value FROM nation, (VALUES '
+    'SELECT s_suppkey * 100 + i AS doc_id, type, rule_id, start, (start + length(value))::INTEGER AS "end", value FROM supplier, (VALUES '
     + ", ".join(f"({i}, '{t}', {r}, {a}, {_sql_text(v)})" for i, (found, _) in enumerate(_TEXTS.values()) for t, r, a, v in found)
     + ") t(i, type, rule_id, start, value)",
 )
 _add(
     "candidates_together",
     lambda s, d: D.candidates(D.findings(_written(s, d))).select("doc_id", "ordinal", "original_text", "type"),
-    "SELECT n_nationkey * 100 + i AS doc_id, ordinal::INTEGER AS ordinal, value AS original_text, type FROM nation, (VALUES "
+    "SELECT s_suppkey * 100 + i AS doc_id, ordinal::INTEGER AS ordinal, value AS original_text, type FROM supplier, (VALUES "
     + ", ".join(f"({i}, '{t}', {o}, {_sql_text(v)})" for i, (found, _) in enumerate(_TEXTS.values()) for o, (t, _, _, v) in enumerate(found, 1) if v != "A.B@C.MX")
     + ") t(i, type, ordinal, value)",
 )
 _REDACTED = (
-    "SELECT n_nationkey * 100 + i AS doc_id, redacted, n AS n_replaced_candidates FROM nation, (VALUES "
+    "SELECT s_suppkey * 100 + i AS doc_id, redacted, n AS n_replaced_candidates FROM supplier, (VALUES "
     + ", ".join(f"({i}, {_sql_text(out)}, {len({v.lower() for _, _, _, v in found})}::BIGINT)" for i, (found, out) in enumerate(_TEXTS.values()))
     + ") t(i, redacted, n)"
 )
@@ -370,7 +370,7 @@ _LABELS = "CASE type " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, _, c in V.TYPE
 _add(
     "review_retype",
     _retyped,
-    f"""WITH c AS (SELECT n_nationkey * 100 + i AS doc_id, ordinal::INTEGER AS ordinal, CASE WHEN ordinal = 1 THEN 'identifier' ELSE found END AS type, ordinal <> 3 AS is_selected FROM nation, {_CANDIDATES})
+    f"""WITH c AS (SELECT s_suppkey * 100 + i AS doc_id, ordinal::INTEGER AS ordinal, CASE WHEN ordinal = 1 THEN 'identifier' ELSE found END AS type, ordinal <> 3 AS is_selected FROM supplier, {_CANDIDATES})
     SELECT *, concat('[', {_LABELS}, ' ', CASE WHEN is_selected THEN (sum(is_selected::INTEGER) OVER (PARTITION BY doc_id, type ORDER BY ordinal))::VARCHAR ELSE '-' END, ']') AS tag FROM c""",
 )
 
@@ -387,10 +387,10 @@ def _inserted(spark: SparkSession, d: str) -> DataFrame:
 _add(
     "manual_insert",
     _inserted,
-    f"""WITH c AS (SELECT n_nationkey * 100 + i AS doc_id, i, ordinal, value AS original_text, type FROM nation, (VALUES
+    f"""WITH c AS (SELECT s_suppkey * 100 + i AS doc_id, i, ordinal, value AS original_text, type FROM supplier, (VALUES
       {", ".join(f"({i}, '{t}', {o}, {_sql_text(v)})" for i, (found, _) in enumerate(_TEXTS.values()) for o, (t, _, _, v) in enumerate(found, 1) if v != "A.B@C.MX")}) t(i, type, ordinal, value))
     SELECT doc_id, ordinal::INTEGER AS ordinal, original_text, type, false AS is_selected FROM c WHERE i <> 2
-    UNION ALL SELECT n_nationkey * 100 + 2, o::INTEGER, v, t, b FROM nation, (VALUES (1, 'marca Sol', 'name', true), (2, 'Zafiro', 'organization', true), (3, 'y banco', 'name', true), (4, 'Norte Azul', 'organization', true)) x(o, v, t, b)""",
+    UNION ALL SELECT s_suppkey * 100 + 2, o::INTEGER, v, t, b FROM supplier, (VALUES (1, 'marca Sol', 'name', true), (2, 'Zafiro', 'organization', true), (3, 'y banco', 'name', true), (4, 'Norte Azul', 'organization', true)) x(o, v, t, b)""",
 )
 
 # --- Location of any needle.
@@ -556,8 +556,8 @@ def _values(items) -> str:
 
 
 def _snippet_frame(spark: SparkSession, d: str, items) -> DataFrame:
-    """Each snippet for each nation: the table makes the rows, both engines the same."""
-    return _table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, items))).alias("snippet"))
+    """Each snippet for each supplier: the table makes the rows, both engines the same."""
+    return _table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(*map(F.lit, items))).alias("snippet"))
 
 
 def _in(items) -> str:
@@ -574,7 +574,7 @@ _add(
     .agg(F.count(F.lit(1)).alias("n")),
     f"""WITH x AS (SELECT snippet, type, lower(trim(regexp_replace(snippet, '\\s+', ' ', 'g'))) AS norm FROM (VALUES {_values(_SNIPPETS)}) a(snippet), (VALUES {_values([t for t, _, _ in V.TYPES])}) b(type)),
     y AS (SELECT *, string_split(norm, ' ') AS t, {_in(_BASE)} AS base, {_in([*V.MONTHS, *V.LEGAL_TERMS])} AS dated, {_in([*_BASE, *V.COMMON_NOUNS])} AS listed FROM x WHERE norm <> '')
-    SELECT snippet, type, (SELECT count(*) FROM nation) AS n FROM y WHERE len(list_filter(t, lambda w: NOT list_contains(base, w))) > 0 AND CASE type
+    SELECT snippet, type, (SELECT count(*) FROM supplier) AS n FROM y WHERE len(list_filter(t, lambda w: NOT list_contains(base, w))) > 0 AND CASE type
       WHEN 'name' THEN len(t) >= 2 AND NOT list_has_any(t, dated) AND NOT regexp_matches(norm, '^(c\\. juez|c juez|juez de|jueza de|magistrado|magistrada)') AND norm NOT LIKE '%juez de lo%' AND NOT (norm LIKE '%juez%' AND norm LIKE '%en turno%')
       WHEN 'organization' THEN contains(norm, 's.a.') OR contains(norm, 's. de r.l') OR contains(norm, 's.a.p.i') OR (len(list_filter(t, lambda w: NOT list_contains(listed, w))) > 0 AND (len(t) > 1 OR length(norm) >= 5))
       WHEN 'identifier' THEN NOT (len(t) = 1 AND length(norm) < 5) AND NOT regexp_matches(norm, '^(19|20)\\d\\d$') AND (regexp_matches(norm, '\\d') OR length(norm) >= 10)
@@ -600,15 +600,15 @@ _CLASSIFIED = {
 }
 _add(
     "classify_snippets",
-    lambda s, d: _snippet_frame(s, d, _CLASSIFIED).select("n_nationkey", "snippet", C.classify(F.col("snippet")).alias("type")),
-    "SELECT n_nationkey, snippet, type FROM nation, (VALUES " + ", ".join(f"({_sql_text(a)}, '{b}')" for a, b in _CLASSIFIED.items()) + ") t(snippet, type)",
+    lambda s, d: _snippet_frame(s, d, _CLASSIFIED).select("s_suppkey", "snippet", C.classify(F.col("snippet")).alias("type")),
+    "SELECT s_suppkey, snippet, type FROM supplier, (VALUES " + ", ".join(f"({_sql_text(a)}, '{b}')" for a, b in _CLASSIFIED.items()) + ") t(snippet, type)",
 )
 _add(
     "classify_with_model",
     lambda s, d: _snippet_frame(s, d, _CLASSIFIED).select(
-        "n_nationkey", "snippet", C.classify_with(F.when(F.col("n_nationkey") % 2 == 0, F.when(F.col("n_nationkey") % 4 == 0, "clabe").otherwise("unknown")), F.col("snippet")).alias("type")
+        "s_suppkey", "snippet", C.classify_with(F.when(F.col("s_suppkey") % 2 == 0, F.when(F.col("s_suppkey") % 4 == 0, "clabe").otherwise("unknown")), F.col("snippet")).alias("type")
     ),
-    "SELECT n_nationkey, snippet, CASE WHEN n_nationkey % 4 = 0 THEN 'clabe' ELSE type END AS type FROM nation, (VALUES " + ", ".join(f"({_sql_text(a)}, '{b}')" for a, b in _CLASSIFIED.items()) + ") t(snippet, type)",
+    "SELECT s_suppkey, snippet, CASE WHEN s_suppkey % 4 = 0 THEN 'clabe' ELSE type END AS type FROM supplier, (VALUES " + ", ".join(f"({_sql_text(a)}, '{b}')" for a, b in _CLASSIFIED.items()) + ") t(snippet, type)",
 )
 _add(
     "classify_benchmark",
@@ -626,8 +626,8 @@ _add(
 )
 _add(
     "redactable_snippets",
-    lambda s, d: _snippet_frame(s, d, ["[CORREO 1]", "[RFC -]", "[correo 1]", "a", " ab ", "[OTRO 1]", "[OTRO 1", "[Otro 1]", "[OTRO uno]", ""]).filter(E.redactable(F.col("snippet"))).select("n_nationkey", "snippet"),
-    "SELECT n_nationkey, snippet FROM nation, (VALUES ('[correo 1]'), (' ab '), ('[OTRO 1'), ('[Otro 1]'), ('[OTRO uno]')) t(snippet)",
+    lambda s, d: _snippet_frame(s, d, ["[CORREO 1]", "[RFC -]", "[correo 1]", "a", " ab ", "[OTRO 1]", "[OTRO 1", "[Otro 1]", "[OTRO uno]", ""]).filter(E.redactable(F.col("snippet"))).select("s_suppkey", "snippet"),
+    "SELECT s_suppkey, snippet FROM supplier, (VALUES ('[correo 1]'), (' ab '), ('[OTRO 1'), ('[Otro 1]'), ('[OTRO uno]')) t(snippet)",
 )
 _add(
     "can_redact",
@@ -636,8 +636,8 @@ _add(
 )
 _add(
     "refine_type",
-    lambda s, d: _table(s, d, "nation").select("n_nationkey", E.refine(F.lit("name"), F.when(F.col("n_nationkey") % 2 == 0, "name").otherwise("phone"), F.when(F.col("n_nationkey") % 3 > 0, "email")).alias("type")),
-    "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 1 THEN 'phone' WHEN n_nationkey % 3 > 0 THEN 'email' ELSE 'name' END AS type FROM nation",
+    lambda s, d: _table(s, d, "supplier").select("s_suppkey", E.refine(F.lit("name"), F.when(F.col("s_suppkey") % 2 == 0, "name").otherwise("phone"), F.when(F.col("s_suppkey") % 3 > 0, "email")).alias("type")),
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN 'phone' WHEN s_suppkey % 3 > 0 THEN 'email' ELSE 'name' END AS type FROM supplier",
 )
 
 
@@ -850,13 +850,13 @@ _add(
 )
 _add(
     "notifications",
-    lambda s, d: _table(s, d, "nation").select("n_nationkey", notification(F.col("n_regionkey"), F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") % 3 == 0).alias("message")),
-    """SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN NULL WHEN n_regionkey = 1 THEN '1 hallazgo para revisar' ELSE concat(n_regionkey, ' hallazgos para revisar') END AS message FROM nation""",
+    lambda s, d: _table(s, d, "supplier").select("s_suppkey", notification(F.col("s_nationkey"), F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 3 == 0).alias("message")),
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN NULL WHEN s_nationkey = 1 THEN '1 hallazgo para revisar' ELSE concat(s_nationkey, ' hallazgos para revisar') END AS message FROM supplier""",
 )
 _add(
     "type_dimension",
     lambda s, d: D.with_names(_written(s, d).transform(D.findings)).groupBy("type", "display_name", "tag_label").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT type, display_name, tag_label, n FROM (VALUES " + ", ".join(f"({_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})" for a, b, c in V.TYPES) + ") t(type, display_name, tag_label) JOIN (SELECT type, count(*) AS n FROM nation, (VALUES "
+    "SELECT type, display_name, tag_label, n FROM (VALUES " + ", ".join(f"({_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})" for a, b, c in V.TYPES) + ") t(type, display_name, tag_label) JOIN (SELECT type, count(*) AS n FROM supplier, (VALUES "
     + ", ".join(f"('{t}')" for found, _ in _TEXTS.values() for t, *_ in found) + ") f(type) GROUP BY type) USING (type)",
 )
 _add(
@@ -869,8 +869,8 @@ _add(
 )
 _add(
     "needle_patterns",
-    lambda s, d: _table(s, d, "nation").select("n_nationkey", needle_pattern(F.concat(F.lit("C.  "), "n_name")).alias("pattern")),
-    "SELECT n_nationkey, concat('(?iuU)\\bC\\.\\s+', array_to_string(list_transform(string_split_regex(n_name, '\\s+'), lambda t: concat('\\b', regexp_replace(t, '([.#-])', '\\\\\\1', 'g'), '\\b')), '\\s+')) AS pattern FROM nation",
+    lambda s, d: _table(s, d, "supplier").select("s_suppkey", needle_pattern(F.concat(F.lit("C.  "), "s_name")).alias("pattern")),
+    "SELECT s_suppkey, concat('(?iuU)\\bC\\.\\s+', array_to_string(list_transform(string_split_regex(s_name, '\\s+'), lambda t: concat('\\b', regexp_replace(t, '([.#-])', '\\\\\\1', 'g'), '\\b')), '\\s+')) AS pattern FROM supplier",
 )
 
 
@@ -902,11 +902,11 @@ def _docx(name: str) -> bytes:
 
 
 _LONG = "una página con texto bastante para que se le crea, sin duda"
-#: File name -> content as Spark's SQL, and text and error as Duck's, for a nation's name.
+#: File name -> content as Spark's SQL, and text and error as Duck's, for a supplier's name.
 _FILES = {
-    "a.txt": ("cast(n_name AS binary)", "n_name", "NULL"),
+    "a.txt": ("cast(s_name AS binary)", "s_name", "NULL"),
     "b.TEXT": ("encode('año', 'ISO-8859-1')", "'año'", "NULL"),
-    "c.docx": ("docx", "concat(n_name, chr(10), 'a', chr(9), 'b', chr(10), 'c', chr(10), chr(10), 'alto', chr(10), chr(10), 'pie')", "NULL"),
+    "c.docx": ("docx", "concat(s_name, chr(10), 'a', chr(9), 'b', chr(10), 'c', chr(10), chr(10), 'alto', chr(10), chr(10), 'pie')", "NULL"),
     "d.docx": ("cast('no zip' AS binary)", "'no zip'", "NULL"),
     "e.doc": ("cast('OLD text' AS binary)", "'text'", "NULL"),
     "f.pdf": (f"cast('{_LONG}|x||y' AS binary)", f"concat('{_LONG}', chr(10), 'leído', chr(10), 'leído', chr(10), 'leído')", "NULL"),
@@ -921,16 +921,16 @@ _FILES = {
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    nations = _table(spark, d, "nation").withColumn("docx", F.udf(_docx, "binary")("n_name"))
+    suppliers = _table(spark, d, "supplier").withColumn("docx", F.udf(_docx, "binary")("s_name"))
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.expr(sql).alias("content")) for name, (sql, _, _) in _FILES.items()])).alias("f")
-    files = nations.select("n_nationkey", each).select(F.concat(F.lit("/in/"), F.col("n_nationkey").cast("string"), F.lit("."), F.col("f.name")).alias("path"), "f.content")
+    files = suppliers.select("s_suppkey", each).select(F.concat(F.lit("/in/"), F.col("s_suppkey").cast("string"), F.lit("."), F.col("f.name")).alias("path"), "f.content")
     return F_.extract(files, _paged, _old_word).select("path", "text", "error_code")
 
 
 _add(
     "extract_files",
     _extracted,
-    " UNION ALL ".join(f"SELECT concat('/in/', n_nationkey, '.{name}') AS path, {text} AS text, {error} AS error_code FROM nation" for name, (_, text, error) in _FILES.items()),
+    " UNION ALL ".join(f"SELECT concat('/in/', s_suppkey, '.{name}') AS path, {text} AS text, {error} AS error_code FROM supplier" for name, (_, text, error) in _FILES.items()),
 )
 _add(
     "reading_order",
@@ -953,21 +953,21 @@ _add("progress_counts", _progress, "SELECT count(*) AS rows, count(nullif(text,
 
 
 def _answer(instructions: str, chunk: str) -> dict[str, list[str]]:
-    """A model that names a nation's parties and repeats itself, and fails on chunks without any."""
+    """A model that names a supplier's parties and repeats itself, and fails on chunks without any."""
     if "Firma" not in chunk:
         raise ValueError("nothing asked" if not instructions else "no parties")
     return {"names": ["Ana Ruiz", " ana  ruiz", "Ana Ruiz Soto", "x"] + [f"Nadie {i}" for i in range(40)], "organizations": ["Norte Azul"], "phones": ["no hay"]}
 
 
 def _letters(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text): a letter for each nation, longer than a chunk, with its parties at the start."""
-    return _table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("Firma Ana Ruiz Soto de Norte Azul en "), "n_name", F.lit(".\nANA RUIZ firma. "), F.repeat(F.lit("relleno "), F.lit(400))).alias("text"))
+    """(doc_id, text): a letter for each supplier, longer than a chunk, with its parties at the start."""
+    return _table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat(F.lit("Firma Ana Ruiz Soto de Norte Azul en "), "s_name", F.lit(".\nANA RUIZ firma. "), F.repeat(F.lit("relleno "), F.lit(400))).alias("text"))
 
 
 _add(
     "model_answers",
     lambda s, d: gather(generate(chunks(_letters(s, d)), _answer)).select("doc_id", F.size("names").alias("n_names"), F.size("organizations").alias("n_organizations"), F.size("emails").alias("n_emails")),
-    "SELECT n_nationkey AS doc_id, 24 AS n_names, 1 AS n_organizations, 0 AS n_emails FROM nation",
+    "SELECT s_suppkey AS doc_id, 24 AS n_names, 1 AS n_organizations, 0 AS n_emails FROM supplier",
 )
 
 
@@ -983,6 +983,6 @@ def _context(spark: SparkSession, d: str) -> DataFrame:
 _add(
     "model_layer",
     _context,
-    """SELECT n_nationkey AS doc_id, type, start, "end", value, source FROM nation, (VALUES ('name', 0, 5, 'Firma Sol', 'tagger'), ('name', 6, 19, 'Ana Ruiz Soto', 'model'), ('organization', 23, 33, 'Norte Azul', 'model')) t(type, start, "end", value, source)
-    UNION ALL SELECT n_nationkey, 'name', 39 + length(n_name), 47 + length(n_name), 'ANA RUIZ', 'model' FROM nation""",
+    """SELECT s_suppkey AS doc_id, type, start, "end", value, source FROM supplier, (VALUES ('name', 0, 5, 'Firma Sol', 'tagger'), ('name', 6, 19, 'Ana Ruiz Soto', 'model'), ('organization', 23, 33, 'Norte Azul', 'model')) t(type, start, "end", value, source)
+    UNION ALL SELECT s_suppkey, 'name', 39 + length(s_name), 47 + length(s_name), 'ANA RUIZ', 'model' FROM supplier""",
 )

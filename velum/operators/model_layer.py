@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from velum import fixed_values as V
 from velum.functions import spans as S
 from velum.functions.filters import should_keep
+from velum.functions.needles import locate_all
 from velum.functions.text import normalise, trim
-from velum.operators.redact import locate
 
 #: A model gets instructions and a chunk, and returns {field: list of strings} for the fields of MODEL_FIELDS.
 Model = Callable[[str, str], dict[str, list[str]]]
@@ -119,26 +119,27 @@ def gather(answers: DataFrame, key: str = "doc_id") -> DataFrame:
     return ok.groupBy(key).agg(*lists)
 
 
-def _located(text: Column, values: Column, kind: str, rank: int) -> Column:
-    """Spans of all occurrences of a list's values: the first of each normal form, filtered by what matched."""
+def _wanted(values: Column, kind: str, rank: int) -> Column:
+    """What is looked for of a list's values: the first of each normal form, as array<struct<type,rule_id,value>>."""
     keyed = F.filter(F.transform(values, lambda v: F.struct(normalise(v).alias("n"), trim(v).alias("v"))), lambda x: F.length(x["n"]) >= V.MIN_MODEL_VALUE)
-    firsts = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, 1, i), lambda y: y["n"] == x["n"]))
-    found = F.flatten(
-        F.transform(
-            firsts,
-            lambda x: F.transform(
-                locate(text, x["v"]),
-                lambda m: F.struct(F.lit(kind).alias("type"), m["start"].alias("start"), m["end"].alias("end"), S.cut(text, m["start"], m["end"]).alias("value"), F.lit(1000 + rank).alias("rule_id"), F.lit("model").alias("source")),
-            ),
-        )
-    )
-    return F.filter(found, lambda x: should_keep(x["value"], x["type"]))
+    firsts = S.once(keyed, lambda k: F.filter(k, lambda x, i: ~F.exists(F.slice(k, 1, i), lambda y: y["n"] == x["n"])))
+    return F.transform(firsts, lambda x: F.struct(F.lit(kind).alias("type"), F.lit(1000 + rank).alias("rule_id"), x["v"].alias("value")))
 
 
 def answer_spans(docs: DataFrame, answers: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans): what the gathered answers name, where it stands in the text, without spans inside longer ones of their type."""
-    every = F.concat(*[_located(F.col(text), F.coalesce(F.col(f), F.array().cast("array<string>")), kind, i) for i, (f, kind, _) in enumerate(V.MODEL_FIELDS)])
-    return docs.select(key, text).join(answers, key).select(key, S.by_start(S.drop_contained(every)).alias("spans"))
+    """(key, spans): what the gathered answers name, where it stands in the text (filtered by what stands there), without spans inside longer
+    ones of their type. One scan of a text finds all its values."""
+    none = F.array().cast(f"array<{S.SPAN}>")
+    wanted = F.concat(*[_wanted(F.coalesce(F.col(f), F.array().cast("array<string>")), kind, i) for i, (f, kind, _) in enumerate(V.MODEL_FIELDS)])
+    joined = docs.select(key, text).join(answers, key).select(key, text, wanted.alias("wanted"))
+    located = joined.withColumn("found", locate_all(F.col(text), F.transform("wanted", lambda w: w["value"])))
+
+    def span(w: Column, m: Column) -> Column:
+        value = S.cut(F.col(text), m["start"], m["end"]).alias("value")
+        return F.struct(w["type"].alias("type"), m["start"].alias("start"), m["end"].alias("end"), value, w["rule_id"].alias("rule_id"), F.lit("model").alias("source"))
+
+    every = F.coalesce(F.flatten(F.zip_with("wanted", "found", lambda w, places: F.transform(places, lambda m: span(w, m)))), none)
+    return located.select(key, S.by_start(S.drop_contained(F.filter(every, lambda x: should_keep(x["value"], x["type"])))).alias("spans"))
 
 
 def supplement(spans: Column, tagger: Column) -> Column:

@@ -74,3 +74,44 @@ def test_even_and_uneven_white_space_fold_alike():
                 want, places = want + (" " if c.isspace() else c), [*places, i]
         assert (body, list(at)) == (want, places)
         assert N.key_of(text) == want.strip(" ")
+
+
+def test_model_layer_keeps_texts_where_they_are(spark, tmp_path):
+    spark.range(2600).select(F.col("id").alias("s_suppkey"), F.lit("S").alias("s_name")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = Q.QUERIES["model_layer"](spark, str(tmp_path))
+    ran = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in ran and ran.count("SortMergeJoin") == 1
+    assert ran.count("Exchange hashpartitioning") == 2  # the texts' own dealing and that of the tagger's spans
+    assert not [x for x in ran.split("\n") if "Filter (" in x and "transform(" in x]  # spans are made once
+    assert "regexp_replace" not in plan(M.chunks(Q._letters(spark, str(tmp_path))))  # before the dealing, so in one task
+
+
+def test_answers_in_a_texts_row_are_those_by_chunks(spark):
+    rng = random.Random(7)
+    asked = spark.sparkContext.accumulator(0)
+    words = ["Ana Ruiz", "ana  RUIZ", "Ana Ruiz Soto", "Norte Azul", "Calle Sol 12, col. Mar", "a@b.mx", "relleno", "falla", "\n", "ñandú", "\U0001f600"]
+
+    def model(_, chunk):
+        asked.add(1)
+        if chunk.count("falla") % 3 == 2:
+            raise ValueError("no answer")
+        return {"names": ["x", *(f"Nadie {i}" for i in range(chunk.count("a") % 30)), " ana\truiz ", "Ana Ruiz Soto", "ANA RUIZ"], "organizations": ["Norte Azul"], "addresses": ["Calle Sol 12, col. Mar"], "emails": ["a@b.mx"] * 20}
+
+    texts = [None, "", " \n\u2003\x85", "\x1c", "Ana Ruiz", "falla falla", *(" ".join(rng.choice(words) for _ in range(rng.choice([3, 40, 400, 2500]))) for _ in range(30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    by_chunks = M.answer_spans(docs, M.gather(M.generate(M.chunks(docs), model)))
+    want = {r["doc_id"]: r["spans"] for r in by_chunks.collect()}
+    once, asked.value = asked.value, 0
+    tagger = docs.filter("doc_id % 2 = 0").select("doc_id", F.array().cast(f"array<{M.S.SPAN}>").alias("spans"))
+    got = {r["doc_id"]: r["spans"] for r in M.contextual(docs, model, tagger).collect()}
+    assert got == {i: want.get(i, []) for i in range(len(texts))} and sum(map(len, got.values())) > 500
+    assert asked.value == once == M.chunks(docs).count()
+
+
+def test_first_of_each_form_of_many_answers(spark):
+    value = lambda *v: [r["value"] for r in spark.createDataFrame([(list(v),)], "v array<string>").select(M._wanted(F.col("v"), "name", 0).alias("w")).first()["w"]]
+    assert value("Zoé Sol", "b", " ana  ruiz", None, "zoé  SOL", "Ana Ruiz", "", "eco") == ["Zoé Sol", "ana  ruiz", "eco"]
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.concat(F.lit("Nadie "), i.cast("string"))).alias("v"))
+    began = time.perf_counter()
+    assert many.select(F.size(M._wanted(F.col("v"), "name", 0))).first()[0] == 30_000
+    assert time.perf_counter() - began < 20
